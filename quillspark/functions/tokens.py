@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 # The token patterns, valid both as Java and as RE2 patterns.
 WORD = r"[\p{L}\p{N}]+"
@@ -36,12 +38,23 @@ def sentences(text: Column) -> Column:
     return F.filter(found, lambda s: s != "")
 
 
-def ngrams(tokens: Column, n: int) -> Column:
-    """All n-grams, each joined by a space: tokens hold no space, so this loses nothing."""
-    if n == 1:
-        return tokens
-    grams = F.transform(
-        F.sequence(F.lit(1), F.size(tokens) - (n - 1)),
-        lambda i: F.array_join(F.slice(tokens, i, n), " "),
-    )
-    return F.when(F.size(tokens) >= n, grams).otherwise(F.array().cast("array<string>"))
+def gram_rows(df: DataFrame, keys: Sequence[str], tokens: Column, orders: Sequence[int]) -> DataFrame:
+    """One row per n-gram: keys, ``n``, ``gram`` (its tokens joined by spaces; no token holds one).
+
+    The token array is zipped with itself shifted, so every position yields its
+    n-grams by plain concatenation in generated code. A lambda over positions
+    would evaluate the tokenizer once per position.
+    """
+    span = max(orders)
+    listed = df.select(*keys, tokens.alias("_t"))
+    shifted = [F.slice("_t", k + 1, F.size("_t")).alias(f"_w{k}") for k in range(span)]
+    placed = listed.select(*keys, F.inline(F.arrays_zip(*shifted)))
+
+    def gram(n: int) -> Column:
+        parts: list[Column] = [F.col("_w0")]
+        for k in range(1, n):
+            parts += [F.lit(" "), F.col(f"_w{k}")]
+        return F.concat(*parts)  # null past the end
+
+    rows = F.array(*[F.struct(F.lit(n).alias("n"), gram(n).alias("gram")) for n in orders])
+    return placed.select(*keys, F.inline(rows)).filter(F.col("gram").isNotNull())

@@ -86,9 +86,13 @@ class NaiveBayes:
 
 def softmax(scores: Column) -> Column:
     """Probabilities of an array of log scores."""
-    shifted = F.transform(scores, lambda s: F.exp(s - F.array_max(scores)))
-    total = F.aggregate(shifted, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(shifted, lambda s: s / total)
+    # Lambdas see maximum and total as bound variables, so neither is computed per element.
+    shifted = F.transform(
+        F.array(F.array_max(scores)), lambda top: F.transform(scores, lambda s: F.exp(s - top)))[0]
+    return F.transform(
+        F.array(shifted), lambda parts: F.transform(
+            F.array(F.aggregate(parts, F.lit(0.0), lambda acc, x: acc + x)),
+            lambda total: F.transform(parts, lambda p: p / total))[0])[0]
 
 
 def fit_logistic(df: DataFrame, text: str = "text", label: str = "label",

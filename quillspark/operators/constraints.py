@@ -38,7 +38,8 @@ class Constraint:
 
 def range_score(count: Column, lower: int, upper: int, zero_to_one: bool = True) -> Column:
     """1 inside the range and ``1/(distance+1)`` outside, or 0 and minus the distance."""
-    distance = F.greatest(count - F.lit(upper), F.lit(lower) - count, F.lit(0)).cast("double")
+    outside = F.greatest(count - F.lit(upper), F.lit(lower) - count, F.lit(0)).cast("double")
+    distance = F.when(count.isNotNull(), outside)  # greatest skips nulls
     return 1.0 / (distance + 1.0) if zero_to_one else -distance
 
 
@@ -190,7 +191,13 @@ def class_score(logits: Column, desired: Column | int, selection: str = "softmax
         return value
     top = F.array_max(logits)
     if selection == "softmax":
-        total = F.aggregate(logits, F.lit(0.0), lambda acc, x: acc + F.exp(x - top))
+        # The largest value rides in the accumulator, so it is found once and not per element.
+        start = F.struct(top.alias("top"), F.lit(0.0).alias("total"))
+        total = F.aggregate(
+            logits, start,
+            lambda acc, x: F.struct(acc["top"].alias("top"), (acc["total"] + F.exp(x - acc["top"])).alias("total")),
+            lambda acc: acc["total"],
+        )
         return F.exp(value - top) / total
     if selection == "diff":
         # The first of equal logits counts as the top one.

@@ -21,9 +21,11 @@ def _tokens(text: Column) -> Column:
 
 def bigrams(df: DataFrame, text: str, *keep: str) -> DataFrame:
     """One row per token: the token before it (or the start mark) and itself."""
-    listed = df.select(*keep, _tokens(F.col(text)).alias("_t")).filter(F.size("_t") > 0)
-    before = F.concat(F.array(F.lit(START)), F.slice("_t", 1, F.size("_t") - 1))
-    return listed.select(*keep, F.inline(F.arrays_zip(before.alias("v"), F.col("_t").alias("w"))))
+    listed = df.select(*keep, _tokens(F.col(text)).alias("_t"))
+    before = F.concat(F.array(F.lit(START)), F.slice("_t", 1, F.greatest(F.size("_t") - 1, F.lit(0))))
+    rows = listed.select(*keep, F.inline(F.arrays_zip(before.alias("v"), F.col("_t").alias("w"))))
+    # Testing the size instead would run the tokenizer a second time, in the pushed filter.
+    return rows.filter(F.col("w").isNotNull())
 
 
 @dataclass(frozen=True)

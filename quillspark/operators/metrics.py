@@ -6,20 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quillspark.functions.tokens import ngrams, words_and_marks
+from quillspark.functions.tokens import gram_rows, words_and_marks
 
 MAX_ORDER = 4
 
 
-def _orders(text: Column, orders: Sequence[int]) -> Column:
-    """n-grams of several orders as ``(n, gram)`` structs."""
-    tokens = words_and_marks(text)
-    return F.concat(*[
-        F.transform(ngrams(tokens, n), lambda g, n=n: F.struct(F.lit(n).alias("n"), g.alias("gram")))
-        for n in orders
-    ])
-
-
 def distinct_n(cands: DataFrame, group: str, gen: str = "gen", orders: Sequence[int] = (1, 2, 3, 4),
                normalize: str = "candidates") -> DataFrame:
     """Distinct n-grams of a group's candidates over its candidates (or its n-grams).
@@ -31,7 +22,7 @@ def distinct_n(cands: DataFrame, group: str, gen: str = "gen", orders: Sequence[
         raise ValueError(f"unknown normalization {normalize!r}")
     kept = cands.filter(F.col(gen).isNotNull()).select(group, gen)
     sizes = kept.groupBy(group).agg(F.count(F.lit(1)).alias("_candidates")).filter(F.col("_candidates") > 1)
-    grams = kept.select(group, F.inline(_orders(F.col(gen), orders)))
+    grams = gram_rows(kept, [group], words_and_marks(F.col(gen)), orders)
     distinct = grams.groupBy(group, "n", "gram").agg(F.count(F.lit(1)).alias("_times"))
     per_order = distinct.groupBy(group).agg(
         *[F.count_if(F.col("n") == n).alias(f"_d{n}") for n in orders],
@@ -59,7 +50,7 @@ def _clipped(df: DataFrame, ids: str, pred: str, refs: str, orders: Sequence[int
         F.transform(F.col(refs), lambda text, i: F.struct(i.alias("side"), text.alias("text"))),
     )
     texts = placed.select(ids, F.inline(sides))
-    grams = texts.select(ids, "side", F.inline(_orders(F.col("text"), orders)))
+    grams = gram_rows(texts, [ids, "side"], words_and_marks(F.col("text")), orders)
     counts = grams.groupBy(ids, "n", "gram", "side").agg(F.count(F.lit(1)).alias("c"))
     in_pred = F.coalesce(F.max(F.when(F.col("side") == -1, F.col("c"))), F.lit(0))
     in_refs = F.coalesce(F.max(F.when(F.col("side") >= 0, F.col("c"))), F.lit(0))

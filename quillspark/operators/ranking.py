@@ -88,10 +88,17 @@ def hash_cuts(df: DataFrame, ids: Sequence[str], seed: int,
         rows = sorted(tuple(r) for r in keys.filter(near).collect())
         for rank, (bucket, offset, _) in open_ranks.items():
             inside = [r for r in rows if r[0].startswith(bucket)]
-            found[rank] = Cut(columns, inside[offset - 1])
+            found[rank] = Cut(columns, _at(inside, offset, ids))
     return [found[r] for r in ranks]
 
 
+def _at(rows: list[tuple], rank: int, keys: Sequence[str]) -> tuple:
+    """The key at a rank; two rows with that key would make the cut inexact."""
+    if rank < len(rows) and rows[rank] == rows[rank - 1]:
+        raise ValueError(f"{list(keys)} is not a unique row key")
+    return rows[rank - 1]
+
+
 def _locate(hist: dict[str, int], rank: int) -> tuple[str, int, int]:
     seen = 0
     for bucket in sorted(hist):
@@ -129,5 +136,5 @@ def order_cut(df: DataFrame, order_by: Sequence[str], n: int) -> Cut:
             part = part.filter(F.col(name).between(low, high))
         if size <= LEAF_ROWS:
             rows = sorted(tuple(r) for r in part.collect())
-            return Cut(columns, rows[rank - 1])
+            return Cut(columns, _at(rows, rank, order_by))
     raise ValueError(f"{list(order_by)} is not a unique order key")

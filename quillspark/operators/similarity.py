@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 _MAXIMA = T.ArrayType(T.DoubleType())
 _BEST = T.StructType([T.StructField("pred", _MAXIMA), T.StructField("ref", _MAXIMA)])
@@ -13,18 +13,17 @@ _BEST = T.StructType([T.StructField("pred", _MAXIMA), T.StructField("ref", _MAXI
 BLOCK = 256
 
 
-def _unit(vector: Column) -> Column:
-    wide = vector.cast("array<double>")
-    norm = F.sqrt(F.aggregate(wide, F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.transform(wide, lambda x: x / norm)
-
-
 @F.pandas_udf(_BEST)
 def _best_matches(pred: pd.Series, ref: pd.Series) -> pd.DataFrame:
-    """Row and column maxima of the cosine matrix of two blocks of unit vectors."""
+    """Row and column maxima of the cosine matrix of two blocks of vectors."""
+
+    def unit(vectors) -> np.ndarray:
+        stacked = np.stack(list(vectors)).astype(np.float64)
+        return stacked / np.linalg.norm(stacked, axis=1, keepdims=True)
+
     rows, cols = [], []
     for p, r in zip(pred, ref):
-        cosine = np.stack(list(p)) @ np.stack(list(r)).T
+        cosine = unit(p) @ unit(r).T
         rows.append(cosine.max(axis=1))
         cols.append(cosine.max(axis=0))
     return pd.DataFrame({"pred": rows, "ref": cols})
@@ -38,18 +37,18 @@ def greedy_match(df: DataFrame, pair: str, side: str, position: str, vector: str
     (pair, block), so that a pair of any length is a grid of small products
     spread over tasks, and only one maximum per vector leaves each product.
     """
-    unit = df.select(
+    placed = df.select(
         pair, side, (F.col(position) / block).cast("bigint").alias("_block"),
-        F.struct(F.col(position).alias("at"), _unit(F.col(vector)).alias("v")).alias("_item"),
+        F.struct(F.col(position).alias("at"), F.col(vector).alias("v")).alias("_item"),
     )
-    blocks = unit.groupBy(pair, side, "_block").agg(F.sort_array(F.collect_list("_item")).alias("_items"))
+    blocks = placed.groupBy(pair, side, "_block").agg(F.sort_array(F.collect_list("_item")).alias("_items"))
     pred = blocks.filter(F.col(side) == 0).select(
         pair, F.col("_block").alias("_p"), F.col("_items").alias("_pred"))
     ref = blocks.filter(F.col(side) == 1).select(
         pair, F.col("_block").alias("_r"), F.col("_items").alias("_ref"))
     # Each prediction block visits every reference block of its pair.
     spans = (
-        unit.filter(F.col(side) == 1).groupBy(pair)
+        placed.filter(F.col(side) == 1).groupBy(pair)
         .agg(F.min("_block").alias("_first"), F.max("_block").alias("_last"))
     )
     grid = (

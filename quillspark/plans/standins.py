@@ -118,10 +118,12 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Assistant turns as predictions; the user turn and the pair's whole text as references."""
+    """Assistant turns as predictions; the user turn, and the reply without its third word, as references."""
+    words = F.split("replied", " ")
+    rest = F.concat(F.slice(words, 1, 2), F.slice(words, 4, F.size(words)))
     return conv_pairs(spark, sf_dir).select(
         F.concat_ws("-", "conv_id", "turn").alias("pair_id"), F.col("replied").alias("pred"),
-        F.array(F.col("asked"), F.concat_ws(" ", "replied", "asked")).alias("refs"), F.col("asked").alias("ref"))
+        F.array(F.col("asked"), F.array_join(rest, " ")).alias("refs"), F.col("asked").alias("ref"))
 
 
 def shifted_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
