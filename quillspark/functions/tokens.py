@@ -38,15 +38,18 @@ def sentences(text: Column) -> Column:
     return F.filter(found, lambda s: s != "")
 
 
-def gram_rows(df: DataFrame, keys: Sequence[str], tokens: Column, orders: Sequence[int]) -> DataFrame:
+def gram_rows(df: DataFrame, keys: Sequence[str], tokens: Column, orders: Sequence[int],
+              count_texts: bool = False) -> DataFrame:
     """One row per n-gram: keys, ``n``, ``gram`` (its tokens joined by spaces; no token holds one).
 
     The token array is zipped with itself shifted, so every position yields its
     n-grams by plain concatenation in generated code. A lambda over positions
-    would evaluate the tokenizer once per position.
+    would evaluate the tokenizer once per position. ``count_texts`` adds one row
+    of order 0 per text, from a null in front of its tokens.
     """
     span = max(orders)
-    listed = df.select(*keys, tokens.alias("_t"))
+    front = F.array(F.lit(None).cast("string"))
+    listed = df.select(*keys, (F.concat(front, tokens) if count_texts else tokens).alias("_t"))
     shifted = [F.slice("_t", k + 1, F.size("_t")).alias(f"_w{k}") for k in range(span)]
     placed = listed.select(*keys, F.inline(F.arrays_zip(*shifted)))
 
@@ -56,5 +59,9 @@ def gram_rows(df: DataFrame, keys: Sequence[str], tokens: Column, orders: Sequen
             parts += [F.lit(" "), F.col(f"_w{k}")]
         return F.concat(*parts)  # null past the end
 
-    rows = F.array(*[F.struct(F.lit(n).alias("n"), gram(n).alias("gram")) for n in orders])
+    rows = [F.struct(F.lit(n).alias("n"), gram(n).alias("gram")) for n in orders]
+    if count_texts:
+        text_row = F.when(F.col("_w0").isNull(), F.lit(""))
+        rows.append(F.struct(F.lit(0).alias("n"), text_row.alias("gram")))
+    rows = F.array(*rows)
     return placed.select(*keys, F.inline(rows)).filter(F.col("gram").isNotNull())

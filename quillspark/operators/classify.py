@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quillspark.functions.tokens import words
 from quillspark.operators.joins import lookup
-from quillspark.session import materialize
+from quillspark.session import fresh_path, materialize
 
 CLASS_LIMIT = 1000
 
@@ -104,7 +104,11 @@ def fit_logistic(df: DataFrame, text: str = "text", label: str = "label",
         IDF(inputCol="_tf", outputCol="_features"),
         LogisticRegression(featuresCol="_features", labelCol=label, maxIter=20, regParam=0.01),
     ]
-    return Pipeline(stages=stages).fit(df)
+    # The written model comes back without its training summary, which holds on to
+    # the session and so keeps the model from being shipped to tasks.
+    path = fresh_path(df.sparkSession, "logistic")
+    Pipeline(stages=stages).fit(df).write().save(path)
+    return PipelineModel.load(path)
 
 
 def target_score(label: Column, score: Column, target: str = "1") -> Column:

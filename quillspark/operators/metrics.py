@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quillspark.functions.tokens import gram_rows, words_and_marks
+from quillspark.operators.joins import split_hot
+from quillspark.session import shuffle_width
 
 MAX_ORDER = 4
 
@@ -15,26 +17,37 @@ def distinct_n(cands: DataFrame, group: str, gen: str = "gen", orders: Sequence[
                normalize: str = "candidates") -> DataFrame:
     """Distinct n-grams of a group's candidates over its candidates (or its n-grams).
 
-    Groups with one candidate drop out. Equal n-grams of a group meet by hash of
-    group and n-gram, so a hot group spreads over all tasks.
+    Groups with one candidate drop out. The candidates of an ordinary group are
+    placed together, text by text, and their n-grams never leave the task. The
+    n-grams of a hot group meet by hash of group and n-gram over all tasks.
     """
     if normalize not in ("candidates", "ngrams"):
         raise ValueError(f"unknown normalization {normalize!r}")
     kept = cands.filter(F.col(gen).isNotNull()).select(group, gen)
-    sizes = kept.groupBy(group).agg(F.count(F.lit(1)).alias("_candidates")).filter(F.col("_candidates") > 1)
-    grams = gram_rows(kept, [group], words_and_marks(F.col(gen)), orders)
-    distinct = grams.groupBy(group, "n", "gram").agg(F.count(F.lit(1)).alias("_times"))
-    per_order = distinct.groupBy(group).agg(
-        *[F.count_if(F.col("n") == n).alias(f"_d{n}") for n in orders],
-        *[F.sum(F.when(F.col("n") == n, F.col("_times"))).alias(f"_t{n}") for n in orders],
-    )
-    joined = sizes.join(per_order, group, "left")
+    usual, hot = split_hot(kept, group)
+    placed = usual.repartition(shuffle_width(cands.sparkSession), group)
+    counted = _gram_counts(placed, group, gen, orders).unionByName(_gram_counts(hot, group, gen, orders))
 
     def value(n: int) -> Column:
         under = F.col("_candidates") if normalize == "candidates" else F.col(f"_t{n}")
         return F.coalesce(F.col(f"_d{n}") / under, F.lit(0.0)).alias(f"distinct_{n}_gram")
 
-    return joined.select(group, *[value(n) for n in orders])
+    return counted.filter(F.col("_candidates") > 1).select(group, *[value(n) for n in orders])
+
+
+def _gram_counts(rows: DataFrame, group: str, gen: str, orders: Sequence[int]) -> DataFrame:
+    """Per group: candidates, and distinct and total n-grams of each order.
+
+    Every candidate adds one row of order 0, whose count is the group's size: no
+    second aggregate and no join.
+    """
+    grams = gram_rows(rows, [group], words_and_marks(F.col(gen)), orders, count_texts=True)
+    times = grams.groupBy(group, "n", "gram").agg(F.count(F.lit(1)).alias("_times"))
+    return times.groupBy(group).agg(
+        F.sum(F.when(F.col("n") == 0, F.col("_times"))).alias("_candidates"),
+        *[F.count_if(F.col("n") == n).alias(f"_d{n}") for n in orders],
+        *[F.sum(F.when(F.col("n") == n, F.col("_times"))).alias(f"_t{n}") for n in orders],
+    )
 
 
 def _clipped(df: DataFrame, ids: str, pred: str, refs: str, orders: Sequence[int]) -> DataFrame:
@@ -43,8 +56,7 @@ def _clipped(df: DataFrame, ids: str, pred: str, refs: str, orders: Sequence[int
     ``refs`` is an array of texts. Texts are placed by row id once; every count
     after that is local to its partition, because all its keys start with the id.
     """
-    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.select(ids, pred, refs).repartition(width, ids)
+    placed = df.select(ids, pred, refs).repartition(shuffle_width(df.sparkSession), ids)
     sides = F.concat(
         F.array(F.struct(F.lit(-1).alias("side"), F.col(pred).alias("text"))),
         F.transform(F.col(refs), lambda text, i: F.struct(i.alias("side"), text.alias("text"))),

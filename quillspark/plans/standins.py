@@ -11,6 +11,7 @@ from quillspark.functions import tokens as tk
 from quillspark.functions.parse import parse_verdict
 from quillspark.functions.text import lead_words
 from quillspark.operators.reshape import melt_candidates
+from quillspark.sources.readers import spread
 
 N_GENS = 3
 
@@ -42,6 +43,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A text table for work that costs far more than its scan."""
+    return spread(table(spark, sf_dir, name))
+
+
 def third(words: Column, j: int) -> Column:
     """The j-th third of the words after the fifteenth; null when empty."""
     size = F.greatest(F.ceil((F.size(words) - 15) / 3), F.lit(0)).cast("int")
@@ -50,7 +56,7 @@ def third(words: Column, j: int) -> Column:
 
 def cand(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wide candidates: the lead words as the prompt, the rest of the text in three parts."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.split("text", " ").alias("w"))
+    docs = texts(spark, sf_dir).select("doc_id", "text", F.split("text", " ").alias("w"))
     return docs.select("doc_id", lead_words(F.col("text")).alias("prompt"),
                        *[third(F.col("w"), j).alias(f"gen_{j}") for j in range(N_GENS)])
 
@@ -85,7 +91,7 @@ def conv_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    return texts(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id")
 
 
 def news(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +101,7 @@ def news(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(lang == "fr", "By . Name . Last updated at noon . ")
         .when(lang == "de", "PUBLISHED: today. 10:00 EST. ").when(lang == "es", "By x|y. ").otherwise("")
     )
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir).select(
         "doc_id", F.concat(front, "text").alias("article"), F.col("source").alias("highlights"))
 
 
@@ -114,7 +120,7 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", tk.sentences(F.col("text")).alias("abstract"))
+    return texts(spark, sf_dir).select("doc_id", tk.sentences(F.col("text")).alias("abstract"))
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ SELECT doc_id, round(CASE WHEN n BETWEEN 100 AND 200 THEN 1 ELSE 1.0::DOUBLE / (
   AS score, (CASE WHEN n BETWEEN 100 AND 200 THEN 0 ELSE -greatest(n - 200, 100 - n) END)::DOUBLE AS distance FROM n""")
 def word_count_range(spark: SparkSession, sf: str) -> DataFrame:
     text = F.col("text")
-    return table(spark, sf, "documents").select(
+    return st.texts(spark, sf).select(
         "doc_id", F.round(cs.StructRange(lower=100, upper=200).score(text), 6).alias("score"),
         cs.StructRange(lower=100, upper=200, zero_to_one=False).score(text).alias("distance"))
 
@@ -39,7 +39,7 @@ SELECT doc_id, round(0.5 * CASE WHEN n BETWEEN 5 AND 9 THEN 1 ELSE 1.0::DOUBLE /
   AS score FROM n""")
 def sentence_count_range(spark: SparkSession, sf: str) -> DataFrame:
     score = cs.StructRange(kind="sentence", lower=5, upper=9, weight=0.5).score(F.col("text"))
-    return table(spark, sf, "documents").select("doc_id", F.round(score, 6).alias("score"))
+    return st.texts(spark, sf).select("doc_id", F.round(score, 6).alias("score"))
 
 
 @query(f"""
@@ -49,7 +49,7 @@ SELECT lang, round(avg((n BETWEEN 20 AND 200)::INTEGER::DOUBLE), 6) AS in_range,
   round(avg((starts_with(core, 'The') AND ends_with(core, 's'))::INTEGER::DOUBLE), 6) AS start_end FROM n GROUP BY lang""")
 def constraint_success_rate(spark: SparkSession, sf: str) -> DataFrame:
     text = F.col("text")
-    flags = table(spark, sf, "documents").select(
+    flags = st.texts(spark, sf).select(
         "lang", cs.StructRange(lower=20, upper=200, zero_to_one=False).success(text).alias("a"),
         cs.StartEnd(start="The", end="s").success(text).alias("b"))
     return flags.groupBy("lang").agg(F.round(F.avg("a"), 6).alias("in_range"), F.round(F.avg("b"), 6).alias("start_end"))
@@ -67,7 +67,7 @@ FROM n""")
 def pos_count_range(spark: SparkSession, sf: str) -> DataFrame:
     """Tagged words twice: inside the row, and through a lexicon table."""
     lexicon = spark.createDataFrame(list(st.LEXICON.items()), "token string, tag string")
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = st.texts(spark, sf).select("doc_id", "text")
     counted = cs.tagged_counts(docs, "doc_id", "text", lexicon, "DET")
     inside = cs.StructRange(pos="DET", lower=5, upper=20, lexicon=st.LEXICON).score(F.col("text"))
     return counted.select("doc_id", "n_tagged", F.round(inside, 6).alias("score"),
@@ -116,7 +116,7 @@ SELECT lang, source, 'SR_' || kind || '_' || coalesce(pos, 'None') || '_' || lo
 def constraint_spec_text(spark: SparkSession, sf: str) -> DataFrame:
     """A specification per language and source, from the lengths found there, as key and instruction."""
     size = cs.StructRange().count(F.col("text"))
-    spec = table(spark, sf, "documents").select("lang", "source", size.alias("n")).groupBy("lang", "source").agg(
+    spec = st.texts(spark, sf).select("lang", "source", size.alias("n")).groupBy("lang", "source").agg(
         F.min("n").alias("lo"), F.max("n").alias("hi"))
     kind = F.when(F.col("lang") == "es", "sentence").otherwise("word")
     pos = F.when(F.col("lang") == "en", "NOUN").when(F.col("lang") == "de", "VERB")
@@ -173,13 +173,13 @@ def _bigram_model(spark: SparkSession, sf: str) -> BigramModel:
 
 @query(with_tables(FLUENCY_SQL, "SELECT doc_id, round(fluency, 6) AS fluency FROM flu"))
 def lm_fluency(spark: SparkSession, sf: str) -> DataFrame:
-    scored = _bigram_model(spark, sf).fluency(table(spark, sf, "documents"), "doc_id", "text")
+    scored = _bigram_model(spark, sf).fluency(st.texts(spark, sf), "doc_id", "text")
     return scored.select("doc_id", F.round("fluency", 6).alias("fluency"))
 
 
 @query(with_tables(FLUENCY_SQL, "SELECT doc_id, round(exp(-fluency), 4) AS perplexity FROM flu"))
 def lm_perplexity(spark: SparkSession, sf: str) -> DataFrame:
-    scored = _bigram_model(spark, sf).perplexity(table(spark, sf, "documents"), "doc_id", "text")
+    scored = _bigram_model(spark, sf).perplexity(st.texts(spark, sf), "doc_id", "text")
     return scored.select("doc_id", F.round("perplexity", 4).alias("perplexity"))
 
 

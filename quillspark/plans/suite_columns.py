@@ -30,7 +30,7 @@ SELECT doc_id, array_to_string(list_sort(list_distinct({st.words_lower_sql('text
 FROM documents""")
 def concepts_prompt(spark: SparkSession, sf: str) -> DataFrame:
     words = F.array_sort(F.array_distinct(tk.words(F.lower("text"))))
-    return table(spark, sf, "documents").select("doc_id", tx.concept_prompt(words).alias("prompt"))
+    return st.texts(spark, sf).select("doc_id", tx.concept_prompt(words).alias("prompt"))
 
 
 @query(with_tables(st.CONV_PAIRS, f"""
@@ -52,7 +52,7 @@ p AS (SELECT doc_id, nullif(array_to_string(s[1:l], ' '), '') AS s1,
   nullif(array_to_string(s[1 + 2 * l:3 * l], ' '), '') AS s3 FROM l)
 SELECT doc_id, ' ' || s1 || ' ' || s2 || ' ' || s3 AS prompt FROM p""")
 def story_prompt(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", tk.sentences(F.col("text")).alias("s"))
+    docs = st.texts(spark, sf).select("doc_id", tk.sentences(F.col("text")).alias("s"))
     size = F.ceil(F.size("s") / 5).cast("int")
     fifths = [
         F.nullif(F.array_join(F.slice("s", F.lit(1) + size * i, size), " "), F.lit("")).alias(f"sentence{i + 1}")
@@ -225,7 +225,7 @@ SELECT doc_id, array_to_string(list_concat(ids, list_transform(range(80 - len(id
 FROM padded""")
 def token_ids_padded(spark: SparkSession, sf: str) -> DataFrame:
     """The language-model training set of good documents, and the same labels with padding masked."""
-    vocab = rs.vocabulary(table(spark, sf, "documents"), "text", 2000)
+    vocab = rs.vocabulary(st.texts(spark, sf), "text", 2000)
     rows = st.labelled(spark, sf).select("doc_id", "text", F.col("quality").alias("label"))
     ids = rs.lm_set(rows, "doc_id", vocab)
     return ids.select("doc_id", F.array_join("token_ids", " ").alias("token_ids"),

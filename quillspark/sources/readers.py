@@ -36,3 +36,14 @@ def read_many(spark: SparkSession, paths: Sequence[str], schemas: Sequence[Struc
     """Several files or folders with differing columns, a common subset kept."""
     frames = [read_csv(spark, path, schema, sep) for path, schema in zip(paths, schemas)]
     return union_all([frame.select(*columns) for frame in frames])
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows of a small scan over all task slots, for work that costs far more than reading.
+
+    A table of few splits would leave most slots idle while its texts are
+    tokenized. A scan with at least as many splits as slots comes back as it is,
+    so large tables are never shuffled for this.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
