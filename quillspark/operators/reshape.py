@@ -175,7 +175,7 @@ def group_targets(df: DataFrame, context: str, value: str, order: str,
     marked = rows.join(hot, "_h", "left")
     usual = marked.filter(F.col("_hot").isNull()).withColumn("page", F.lit(0))
     large = (
-        marked.filter(F.col("_hot")).repartitionByRange("context", "_item.o")
+        marked.filter(F.col("_hot")).repartitionByRange(shuffle_width(df.sparkSession), "context", "_item.o")
         .withColumn("page", F.spark_partition_id())
     )
     paged = usual.unionByName(large).groupBy("context", "page").agg(

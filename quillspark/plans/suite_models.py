@@ -134,7 +134,7 @@ def nb_train(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def lr_train(spark: SparkSession, sf: str) -> DataFrame:
     rows = _split(spark, sf)
-    model = cl.fit_logistic(_part(rows, "train"))
+    model = cl.fit_logistic(_part(rows, "train"), features=1 << 16)
     return model.transform(_part(rows, "validation")).select("doc_id", "label", "prediction")
 
 

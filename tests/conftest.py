@@ -1,9 +1,12 @@
+"""Shared session for the tests."""
+
 import os
 import sys
 
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from quillspark.session import local_session  # noqa: E402
 
