@@ -26,7 +26,9 @@ def distinct_n(cands: DataFrame, group: str, gen: str = "gen", orders: Sequence[
     kept = cands.filter(F.col(gen).isNotNull()).select(group, gen)
     usual, hot = split_hot(kept, group)
     placed = usual.repartition(shuffle_width(cands.sparkSession), group)
-    counted = _gram_counts(placed, group, gen, orders).unionByName(_gram_counts(hot, group, gen, orders))
+    counted = _gram_counts(placed, group, gen, orders)
+    if hot is not None:
+        counted = counted.unionByName(_gram_counts(hot, group, gen, orders))
 
     def value(n: int) -> Column:
         under = F.col("_candidates") if normalize == "candidates" else F.col(f"_t{n}")

@@ -247,8 +247,12 @@ RECIPES: dict[str, Callable[..., DataFrame]] = {
 
 def finish(df: DataFrame, name: str, ids: str | Sequence[str], path: str | None = None,
            max_points: int | None = None, seed: int = sp.SEED, threshold: float | None = None) -> DataFrame:
-    """Drop nulls, binarize, cap by seed, split exactly, and write when a path is given."""
-    rows = df.dropna()
+    """Drop nulls, binarize, cap by seed, split exactly, and write when a path is given.
+
+    The recipe's rows are written once: sample and split then count over the id
+    column of that table instead of running the recipe again for every pass.
+    """
+    rows = materialize(df.dropna(), "recipe")
     if threshold is not None and "label" in rows.columns:
         rows = rows.withColumn("label", lb.binarize(F.col("label"), threshold))
     if max_points is not None:

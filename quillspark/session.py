@@ -57,7 +57,7 @@ def shared_folder(spark: SparkSession) -> str:
 
     Only a local session may fall back to a temporary folder.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None and spark.sparkContext.master.startswith("local"):
         folder = tempfile.mkdtemp(prefix="quillspark-")
         spark.conf.set("spark.checkpoint.dir", folder)

@@ -13,11 +13,15 @@ PROMPT_STRUCT = "prompt struct<text: string>, continuation struct<text: string>"
 
 
 def read_csv(spark: SparkSession, path: str | Sequence[str], schema: StructType | str,
-             sep: str = ",") -> DataFrame:
-    """Headered delimited text with quoted newlines."""
+             sep: str = ",", multi_line: bool = True) -> DataFrame:
+    """Headered delimited text with quoted newlines.
+
+    A file with quoted newlines is read by one task; pass ``multi_line=False``
+    for a corpus of large files without them, which is then split.
+    """
     return (
         spark.read.schema(schema)
-        .option("header", True).option("multiLine", True).option("enforceSchema", False)
+        .option("header", True).option("multiLine", multi_line).option("enforceSchema", False)
         .option("sep", sep).option("quote", '"').option("escape", '"')
         .csv(path)
     )

@@ -107,6 +107,36 @@ def test_lookup_with_hot_and_cold_and_unknown(spark):
     assert {r["id"]: r["x"] for r in found} == {i: values.get(w) for i, w in enumerate(words)}
 
 
+def test_scoring_without_any_automatic_broadcast(spark):
+    """Count tables too large to broadcast join by shuffle, to the same scores."""
+    train = spark.createDataFrame([(i, f"the w{i % 7} of w{i % 5}") for i in range(50)], "id int, text string")
+
+    def scores():
+        model = BigramModel.fit(train, "text")
+        bayes = NaiveBayes.fit(train.withColumn("label", F.col("id") % 2), "text", "label")
+        fluency = {r["id"]: round(r["fluency"], 9) for r in model.fluency(train, "id", "text").collect()}
+        return fluency, {r["id"]: r["label"] for r in bayes.predict(train, "id", "text").collect()}
+
+    usual = scores()
+    names = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    for name in names:
+        spark.conf.set(name, "-1")
+    try:
+        assert scores() == usual
+    finally:
+        for name in names:
+            spark.conf.unset(name)
+
+
+@pytest.mark.parametrize("most", [1, 100])
+def test_split_hot_loses_no_row(spark, most):
+    df = spark.createDataFrame([("a", i) for i in range(30)] + [("b", i) for i in range(12)] + [("c", 0)], "k string, i int")
+    usual, hot = jn.split_hot(df, "k", floor=10, most=most)
+    assert sorted(usual.union(hot).collect()) == sorted(df.collect())
+    assert "c" in {r["k"] for r in usual.collect()}
+    assert jn.split_hot(df, "k")[1] is None
+
+
 def test_evidence_indexes_out_of_range(spark):
     df = spark.createDataFrame([(["a.", "b."], [1, 5])], "abstract array<string>, idx array<int>")
     assert df.select(jn.pick_sentences(F.col("abstract"), F.col("idx")).alias("x")).first()["x"] == "b."
