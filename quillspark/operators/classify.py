@@ -10,7 +10,7 @@ from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quillspark.functions.tokens import words
-from quillspark.operators.joins import lookup
+from quillspark.operators.joins import SPREAD, split_lookup, stand_in
 from quillspark.session import fresh_path, materialize
 
 CLASS_LIMIT = 1000
@@ -20,7 +20,8 @@ CLASS_LIMIT = 1000
 class NaiveBayes:
     """Multinomial naive Bayes with add-one smoothing over lower-cased words."""
 
-    table: DataFrame  # token, n, ll: array of log likelihoods, in class order
+    table: DataFrame  # token, n, tf and ll: counts and log likelihoods, in class order
+    n_tokens: int
     classes: list
     priors: list[float]
     total: int
@@ -39,25 +40,28 @@ class NaiveBayes:
 
         spelled = df.select(F.col(label).alias("_c"), F.explode(words(F.lower(F.col(text)))).alias("token"))
         tf = F.array(*[F.count_if(F.col("_c") == F.lit(c)) for c in classes])
-        counts = materialize(spelled.groupBy("token").agg(tf.alias("tf")), "token-counts")
+        grouped = spelled.groupBy("token").agg(F.count(F.lit(1)).alias("n"), tf.alias("tf"))
+        counts = materialize(grouped, "token-counts")
         sums = [F.sum(F.col("tf")[i]).alias(f"n{i}") for i in range(len(classes))]
         first = counts.agg(F.count(F.lit(1)).alias("v"), *sums).first()
         of_class = [first[f"n{i}"] or 0 for i in range(len(classes))]
         ll = F.array(*[
             F.log((F.col("tf")[i] + 1) / F.lit(float(of_class[i] + first["v"]))) for i in range(len(classes))
         ])
-        n = F.aggregate("tf", F.lit(0).cast("bigint"), lambda acc, x: acc + x)
-        return NaiveBayes(counts.select("token", n.alias("n"), "tf", ll.alias("ll")), classes, priors,
-                          sum(of_class))
+        return NaiveBayes(counts.withColumn("ll", ll), first["v"], classes, priors, sum(of_class))
 
     def scores(self, df: DataFrame, ids: str, text: str) -> DataFrame:
         """``ids, scores``: one joint log score per class; unknown words do not count.
 
-        Rows without words keep their priors. Frequent words are answered by a
-        bounded broadcast and a row's words are summed map-side.
+        Rows without words keep their priors: each row has one word more than its
+        text, which no text holds. A row's words are summed before the last shuffle.
         """
-        spelled = df.select(ids, F.explode_outer(words(F.lower(F.col(text)))).alias("token"))
-        known = lookup(spelled, self.table.select("token", "n", "ll"), ["token"], "n", self.total)
+        end = F.array(stand_in(F.pmod(F.xxhash64(ids), F.lit(SPREAD))))
+        spelled = df.select(ids, F.explode(
+            F.concat(F.coalesce(words(F.lower(F.col(text))), F.array().cast("array<string>")), end)).alias("token"))
+        near, far = split_lookup(spelled, self.table.select("token", "n", "ll"), ["token"], "n", self.total,
+                                 self.n_tokens)
+        known = near if far is None else near.unionByName(far)
         sums = [
             F.coalesce(F.sum(F.col("ll")[i]), F.lit(0.0)) + F.lit(prior)
             for i, prior in enumerate(self.priors)

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillspark.functions.tokens import words
-from quillspark.operators.joins import lookup
+from quillspark.operators.joins import lookup, split_lookup
 from quillspark.session import materialize
 
 START = "<s>"
@@ -30,29 +30,41 @@ def bigrams(df: DataFrame, text: str, *keep: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class BigramModel:
-    pairs: DataFrame  # v, w, n: count of w after v
-    contexts: DataFrame  # v, n_v: count of v as a left side
+    pairs: DataFrame  # v, w, n: count of w after v; n_v: count of v as a left side
+    contexts: DataFrame  # v, n_v
+    n_pairs: int
+    n_contexts: int
     n_words: int  # distinct trained words
     total: int  # trained tokens
 
     @staticmethod
     def fit(df: DataFrame, text: str) -> BigramModel:
-        counted = bigrams(df, text).groupBy("v", "w").agg(F.count(F.lit(1)).alias("n"))
-        pairs = materialize(counted, "bigrams")
-        contexts = materialize(pairs.groupBy("v").agg(F.sum("n").alias("n_v")), "contexts")
-        total = contexts.agg(F.coalesce(F.sum("n_v"), F.lit(0))).first()[0]
-        return BigramModel(pairs, contexts, pairs.select("w").distinct().count(), total)
+        counted = materialize(bigrams(df, text).groupBy("v", "w").agg(F.count(F.lit(1)).alias("n")), "bigrams")
+        contexts = materialize(counted.groupBy("v").agg(F.sum("n").alias("n_v")), "contexts")
+        pairs = materialize(counted.join(contexts, "v").select("v", "w", "n", "n_v"), "pairs")
+        facts = pairs.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0)), F.count_distinct("w")).first()
+        return BigramModel(pairs, contexts, facts[0], contexts.count(), facts[2], facts[1])
 
     def fluency(self, df: DataFrame, ids: str, text: str) -> DataFrame:
         """Mean log probability per row, with add-one smoothing; rows without words are absent.
 
-        Tokens meet the counts through ``lookup``: frequent pairs and contexts are
-        answered by a bounded broadcast, the long tail by an even shuffle. Tokens
-        of a row leave the join summed by map-side combining.
+        A seen pair brings the count of its context along. Only unseen pairs, all
+        of them among the facts that were shuffled anyway, ask for their context.
+        Tokens leave the joins summed by row before the last shuffle.
         """
         rows = bigrams(df, text, ids)
-        rows = lookup(rows, self.contexts, ["v"], "n_v", self.total)
-        rows = lookup(rows, self.pairs, ["v", "w"], "n", self.total)
+        near, far = split_lookup(rows, self.pairs, ["v", "w"], "n", self.total, self.n_pairs)
+        if far is None:
+            return self._averaged(self._with_contexts(near, ids), ids)
+        both = near.select(ids, "n", "n_v").unionByName(self._with_contexts(far, ids))
+        return self._averaged(both, ids)
+
+    def _with_contexts(self, rows: DataFrame, ids: str) -> DataFrame:
+        contexts = self.contexts.withColumnRenamed("n_v", "_n_v")
+        found = lookup(rows, contexts, "v", "_n_v", self.total, self.n_contexts, asking=F.col("n_v").isNull())
+        return found.select(ids, "n", F.coalesce("n_v", "_n_v").alias("n_v"))
+
+    def _averaged(self, rows: DataFrame, ids: str) -> DataFrame:
         seen = F.coalesce(F.col("n"), F.lit(0)) + F.lit(1)
         room = F.coalesce(F.col("n_v"), F.lit(0)) + F.lit(self.n_words + 1)
         return rows.groupBy(ids).agg(F.avg(F.log(seen / room)).alias("fluency"))
@@ -80,7 +92,7 @@ class BigramModel:
         """The most frequent next word, ``steps`` times, ties to the smaller word."""
         last = F.element_at(F.concat(F.array(F.lit(START)), _tokens(F.col(prompt))), -1)
         asked = df.select(ids, last.alias("v"))
-        found = lookup(asked, self.continuations(steps), ["v"], "n_v", self.total)
+        found = lookup(asked, self.continuations(steps), "v", "n_v", self.total, self.n_contexts)
         return found.select(ids, F.coalesce("gen", F.lit("")).alias("gen"))
 
     def sampler(self) -> DataFrame:
@@ -92,7 +104,7 @@ class BigramModel:
         running sum goes over hash buckets first, so a word that precedes very
         many others is summed in many tasks.
         """
-        keyed = self.pairs.withColumn("_b", F.substring(F.md5("w"), 1, 2))
+        keyed = self.pairs.select("v", "w", "n").withColumn("_b", F.substring(F.md5("w"), 1, 2))
         inner = Window.partitionBy("v", "_b").orderBy("w")
         buckets = keyed.groupBy("v", "_b").agg(F.sum("n").alias("_s"), F.count(F.lit(1)).alias("_c"))
         outer = Window.partitionBy("v").orderBy("_b")
@@ -122,7 +134,7 @@ class BigramModel:
         state = df.select(ids, F.explode(F.array(*map(F.lit, range(n_gens)))).alias("cand_idx"),
                           F.lit("").alias("gen"), last.alias("v"))
         for step in range(steps):
-            sized = lookup(state, facts, ["v"], "n_v", self.total)
+            sized = lookup(state, facts, "v", "n_v", self.total, self.n_contexts)
             draw = F.md5(F.concat_ws(":", F.col(ids).cast("string"), "cand_idx", F.lit(str(step)), F.lit(str(seed))))
             number = F.conv(F.substring(draw, 1, 15), 16, 10).cast("bigint")
             drawn = sized.withColumn("_u", number % F.col("n_v"))

@@ -98,26 +98,39 @@ def test_rerank_ties_and_top_k(spark):
     assert sorted((r["p"], r["c"]) for r in tied) == [(1, 0), (1, 1), (2, 0)]
 
 
-def test_lookup_with_hot_and_cold_and_unknown(spark):
+@pytest.mark.parametrize("limit", [1, 2, 100])
+def test_lookups_with_hot_and_cold_and_unknown(spark, monkeypatch, limit):
+    monkeypatch.setattr(jn, "BROADCAST_ROWS", limit)
     dim = spark.createDataFrame([("the", 900, 1.0), ("cat", 2, 2.0), ("dog", 1, 3.0)], "w string, n bigint, x double")
     words = ["the"] * 50 + ["cat", "dog", "bird", None]
     fact = spark.createDataFrame(list(enumerate(words)), "id int, w string")
-    found = jn.lookup(fact, dim, ["w"], "n", 903, share=0.5).collect()
     values = {"the": 1.0, "cat": 2.0, "dog": 3.0}
-    assert {r["id"]: r["x"] for r in found} == {i: values.get(w) for i, w in enumerate(words)}
+    expected = {i: values.get(w) for i, w in enumerate(words)}
+    found = jn.lookup(fact, dim, "w", "n", 903, 3).collect()
+    assert len(found) == len(words) and {r["id"]: r["x"] for r in found} == expected
+    near, far = jn.split_lookup(fact, dim, ["w"], "n", 903, 3)
+    assert (far is None) == (limit == 100)
+    rows = near.collect() + (far.collect() if far is not None else [])
+    assert len(rows) == len(words) and {r["id"]: r["x"] for r in rows} == expected
 
 
-def test_scoring_without_any_automatic_broadcast(spark):
+def test_scoring_does_not_depend_on_broadcasts(spark, monkeypatch):
     """Count tables too large to broadcast join by shuffle, to the same scores."""
-    train = spark.createDataFrame([(i, f"the w{i % 7} of w{i % 5}") for i in range(50)], "id int, text string")
+    train = spark.createDataFrame([(i, f"the w{i % 7} of w{i % 5}" if i else "") for i in range(50)], "id int, text string")
+    texts = train.union(spark.createDataFrame([(50, "new the new w1 w9"), (51, None)], "id int, text string"))
 
     def scores():
         model = BigramModel.fit(train, "text")
         bayes = NaiveBayes.fit(train.withColumn("label", F.col("id") % 2), "text", "label")
-        fluency = {r["id"]: round(r["fluency"], 9) for r in model.fluency(train, "id", "text").collect()}
-        return fluency, {r["id"]: r["label"] for r in bayes.predict(train, "id", "text").collect()}
+        fluency = {r["id"]: round(r["fluency"], 9) for r in model.fluency(texts, "id", "text").collect()}
+        greedy = {r["id"]: r["gen"] for r in model.continue_greedy(texts, "id", "text", 4).collect()}
+        drawn = sorted(tuple(r) for r in model.continue_sampled(texts, "id", "text", 2, 7).collect())
+        return fluency, greedy, drawn, {r["id"]: (r["label"], round(r["score"], 9)) for r in
+                                        bayes.predict(texts, "id", "text").collect()}
 
     usual = scores()
+    assert len(usual[0]) == 50 and len(usual[3]) == 52
+    monkeypatch.setattr(jn, "BROADCAST_ROWS", 4)
     names = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
     for name in names:
         spark.conf.set(name, "-1")
