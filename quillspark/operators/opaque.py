@@ -79,8 +79,8 @@ def generate(df: DataFrame, generator: CandidateFunction, n_gens: int = DEFAULT_
              prompt: str = "prompt", max_words: int | None = None) -> DataFrame:
     """The long candidate table; candidates that failed are dropped."""
     asked = fan_out(df, n_gens, prompt, max_words)
-    # Model calls dominate, so rows are spread evenly rather than by input file.
-    spread = asked.repartition(shuffle_width(df.sparkSession), *[F.col(c) for c in asked.columns])
+    # Model calls dominate, so rows are dealt out evenly, equal prompts too.
+    spread = asked.repartition(shuffle_width(df.sparkSession))
     made = spread.withColumn("gen", candidate_replies(generator, F.col(prompt), F.col("cand_idx")))
     return made.filter(F.col("gen").isNotNull())
 

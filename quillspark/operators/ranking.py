@@ -108,21 +108,22 @@ def _locate(hist: dict[str, int], rank: int) -> tuple[str, int, int]:
     raise ValueError("rank beyond the table")
 
 
-def order_cut(df: DataFrame, order_by: Sequence[str], n: int) -> Cut:
+def order_cut(df: DataFrame, order_by: Sequence[str], n: int | Callable[[int], int]) -> Cut:
     """The cut at 1-based rank ``n`` of a unique whole-number order key.
 
-    The key may have several columns; a first column that holds one value in a
+    The rank may depend on the row count. The key may have several columns; a first column that holds one value in a
     third of the rows is narrowed down by the next column.
     """
     columns = tuple(F.col(c) for c in order_by)
-    if n < 1:
-        return Cut(columns, None)
     part = df.select(*[F.col(c).cast("bigint").alias(c) for c in order_by])
-    rank = n
     for position, name in enumerate(order_by):
         low, high, size = part.agg(F.min(name), F.max(name), F.count(F.lit(1))).first()
-        if position == 0 and n >= size:
-            return Cut(columns, None, everything=True)
+        if position == 0:
+            rank = n(size) if callable(n) else n
+            if rank < 1:
+                return Cut(columns, None)
+            if rank >= size:
+                return Cut(columns, None, everything=True)
         while size > LEAF_ROWS and high > low:
             shift = max(0, (high - low).bit_length() - RANGE_BITS_PER_PASS)
             bucket = F.shiftright(F.col(name), shift)

@@ -82,7 +82,7 @@ def prefixes(df: DataFrame, text: str, max_words: int | None = None, include_ful
         longest = F.least(longest, F.lit(max_words))
     bounded = df.withColumn("_n", longest).filter(F.col("_n") >= 1)
     runs = bounded.withColumn("_from", F.explode(F.sequence(F.lit(1), F.col("_n"), F.lit(chunk))))
-    spread = runs.repartition(shuffle_width(df.sparkSession), *[F.col(c) for c in runs.columns])
+    spread = runs.repartition(shuffle_width(df.sparkSession))
     lengths = F.sequence(F.col("_from"), F.least(F.col("_from") + (chunk - 1), F.col("_n")))
     rows = spread.withColumn("n_words", F.explode(lengths))
     rows = rows.withColumn("prefix", first_parts(F.col(text), " ", F.col("n_words")))

@@ -84,7 +84,7 @@ def carve_validation(df: DataFrame, order_by: str | Sequence[str], keep: int = 2
     """Move all but the last ``keep`` validation rows into train."""
     keys = _names(order_by)
     validation = df.filter(F.col(split) == SPLITS[1])
-    cut = order_cut(validation, keys, validation.count() - keep)
+    cut = order_cut(validation, keys, lambda rows: rows - keep)
     moved = (F.col(split) == SPLITS[1]) & cut.upto()
     return df.withColumn(split, F.when(moved, SPLITS[0]).otherwise(F.col(split)))
 

@@ -92,7 +92,7 @@ n AS (SELECT *, len({st.words_sql('text')}) AS n, len({st.SENT}) AS s,
 SELECT doc_id, cand_idx, round(
   CASE WHEN n BETWEEN 40 AND 80 THEN 1 ELSE 1.0::DOUBLE / (greatest(n - 80, 40 - n) + 1) END
   + 0.5 * CASE WHEN s BETWEEN 2 AND 4 THEN 1 ELSE 1.0::DOUBLE / (greatest(s - 4, 2 - s) + 1) END
-  + 2.0 * j, 6) AS score FROM n"""))
+  + 2.0 * j, 10) AS score FROM n"""))
 def merged_constraints(spark: SparkSession, sf: str) -> DataFrame:
     judged = st.judged(spark, sf)
     scored = judged.withColumn("judge", parse.judge_score(parse.parse_verdict(F.col("response"))))
@@ -101,7 +101,7 @@ def merged_constraints(spark: SparkSession, sf: str) -> DataFrame:
         cs.ScoreColumn(weight=2.0, column="judge"),
     ], use_prompt=True)
     return scored.select("doc_id", "cand_idx",
-                         F.round(merged.score(F.col("gen"), F.col("prompt")), 6).alias("score"))
+                         F.round(merged.score(F.col("gen"), F.col("prompt")), 10).alias("score"))
 
 
 @query(f"""
