@@ -6,12 +6,13 @@ crosses to Python, in Arrow batches; all other columns stay in the JVM.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator, Sequence
 from typing import Optional
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import DoubleType, StringType
 
 from quillspark.functions.text import fill, lead_words, scored_text
 from quillspark.session import shuffle_width
@@ -54,6 +55,37 @@ def replies(fn: BatchFunction, text: Column, tries: int = TRIES) -> Column:
     return run.asNondeterministic()(text)
 
 
+def score_text(df: DataFrame, scorer: Callable[[Sequence[str]], Sequence[float]], text: Column,
+               out: str = "score", tries: int = TRIES) -> DataFrame:
+    """A number per text from an outside scorer, in batches; failures are null."""
+
+    @F.pandas_udf(DoubleType())
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            found = pd.Series([None] * len(batch), index=batch.index, dtype="float64")
+            asked = batch.notna()
+            if asked.any():
+                found[asked] = pd.Series(_attempt(scorer, [batch[asked].tolist()], tries), dtype="float64").to_numpy()
+            yield found
+
+    return df.withColumn(out, run.asNondeterministic()(text))
+
+
+def throttled(fn: Callable, per_minute: float) -> Callable:
+    """Keep a task below a number of texts per minute, for services with a quota.
+
+    Tasks do not know of each other: divide a service's quota by the tasks that run at once.
+    """
+
+    def slow(texts, *rest):
+        start = time.monotonic()
+        found = fn(texts, *rest)
+        time.sleep(max(0.0, 60.0 * len(texts) / per_minute - (time.monotonic() - start)))
+        return found
+
+    return slow
+
+
 def candidate_replies(fn: CandidateFunction, prompt: Column, cand_idx: Column,
                       tries: int = TRIES) -> Column:
     @F.pandas_udf(StringType())

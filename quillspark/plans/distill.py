@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from quillspark.functions.parse import parse_cot, parse_score, parse_verdict
+from quillspark.functions.parse import judge_score, parse_cot, parse_score, parse_verdict
 from quillspark.functions.text import scored_text
 from quillspark.operators.classify import NaiveBayes
 from quillspark.operators.metrics import accuracy
@@ -20,6 +20,20 @@ def verdicts(judged: DataFrame, score: bool = False, cot: bool = False) -> DataF
     return judged.withColumn("pred", parse_score(reply) if score else parse_verdict(reply))
 
 
+def judged_eval(cands: DataFrame, judge_fn: BatchFunction, template: str, n: int = 1, score: bool = False,
+                cot: bool = False, desired_class: int = 1) -> DataFrame:
+    """How well candidates meet a constraint in a judge's eyes, per candidate number.
+
+    The template may be a zero-shot or a few-shot one; ``unread`` counts the
+    replies that could not be read.
+    """
+    judged = verdicts(judge(cands, judge_fn, template, n), score, cot)
+    value = judge_score(F.col("pred"), desired_class)
+    return judged.groupBy("cand_idx").agg(
+        F.avg(value).alias("score"), F.count_if(F.col("pred").isNull()).alias("unread"),
+        F.count(F.lit(1)).alias("n_samples"))
+
+
 def training_rows(judged: DataFrame, include_prompt: bool = True) -> DataFrame:
     """Rows with a verdict as ``text`` and ``label``; row keys stay."""
     text = scored_text(F.col("prompt"), F.col("gen"), include_prompt)

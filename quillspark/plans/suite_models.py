@@ -78,6 +78,18 @@ def rouge_n(spark: SparkSession, sf: str) -> DataFrame:
     return scored.select("doc_id", *[F.round(c, 6).alias(c) for c in ("recall", "precision", "f1")])
 
 
+@query(with_tables(st.CAND, f"""
+, q AS (SELECT *, replace('{pr.judge_template('humor').replace("'", "''")}', '[text]', prompt || ' ' || gen) AS q
+  FROM cand_long),
+j AS (SELECT cand_idx, CASE WHEN q IS NOT NULL THEN len(string_split(q, ' ')) % 2 END AS pred FROM q)
+SELECT cand_idx, round(avg(CASE WHEN pred = 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS score,
+  count(*) - count(pred) AS unread, count(*) AS n_samples FROM j GROUP BY cand_idx"""))
+def judged_eval(spark: SparkSession, sf: str) -> DataFrame:
+    """Every candidate of every document judged against the undesired class."""
+    report = ds.judged_eval(st.cand_long(spark, sf), length_judge, pr.judge_template("humor"), n=3, desired_class=0)
+    return report.withColumn("score", F.round("score", 6))
+
+
 NB_SQL = st.SPLIT_TRAIN + f""",
 nb_train AS (SELECT toxic AS label, text FROM parts WHERE split = 'train'),
 nb_tok AS (SELECT label, unnest({st.words_lower_sql('text')}) AS token FROM nb_train),

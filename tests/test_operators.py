@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 import warnings
 from collections import Counter
 
@@ -354,6 +355,23 @@ def test_model_failures_become_null(spark):
     assert found == {0: "A", 1: None, 2: None, 3: "C"}
 
 
+def test_outside_scorer(spark):
+    def scorer(texts):
+        if any(t == "bad" for t in texts):
+            raise RuntimeError("down")
+        return [float(len(t)) for t in texts]
+
+    df = spark.createDataFrame([("abc",), ("bad",), (None,)], "t string").coalesce(1)
+    found = {r["t"]: r["score"] for r in op.score_text(df, scorer, F.col("t")).collect()}
+    assert found == {"abc": 3.0, "bad": None, None: None}
+
+
+def test_throttle_waits():
+    start = time.monotonic()
+    assert op.throttled(lambda texts: texts, 6000)(["a"] * 20) == ["a"] * 20
+    assert time.monotonic() - start >= 0.19
+
+
 def test_fan_out_limits(spark):
     df = spark.createDataFrame([("a b c",), (None,)], "prompt string")
     rows = op.fan_out(df, 2, max_words=2).collect()
