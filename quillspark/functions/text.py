@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
 
-from quillspark.functions.tokens import pieces, strip
+from quillspark.functions.tokens import bind, pieces, strip
 
 # News boilerplate.
 BYLINE_PIECE = "By "
@@ -38,10 +38,10 @@ def lead_sentences(text: Column, n: int = LEAD_SENTENCES) -> Column:
 
 def strip_boilerplate(text: Column, markers: Sequence[str] = BOILERPLATE_MARKERS) -> Column:
     """Drop a leading byline, then every leading piece that holds a marker."""
-    parts = F.split(strip(text), "[.]")
-    after_byline = F.when(
-        F.element_at(parts, 1) == BYLINE_PIECE, F.slice(parts, 3, F.greatest(F.size(parts) - 2, F.lit(0)))
-    ).otherwise(parts)
+
+    def without_byline(parts: Column) -> Column:
+        rest = F.slice(parts, 3, F.greatest(F.size(parts) - 2, F.lit(0)))
+        return F.when(F.element_at(parts, 1) == BYLINE_PIECE, rest).otherwise(parts)
 
     def is_boilerplate(piece: Column) -> Column:
         hit = F.lit(False)
@@ -49,9 +49,12 @@ def strip_boilerplate(text: Column, markers: Sequence[str] = BOILERPLATE_MARKERS
             hit = hit | piece.contains(marker)
         return hit
 
-    first_kept = F.array_position(F.transform(after_byline, is_boilerplate), False).cast("int")
-    kept = F.slice(after_byline, first_kept, F.size(after_byline))
-    return F.when(first_kept == 0, F.lit("")).otherwise(F.array_join(kept, "."))
+    def from_first_kept(parts: Column) -> Column:
+        first = F.array_position(F.transform(parts, is_boilerplate), False).cast("int")
+        return bind(first, lambda k: F.when(k == 0, F.lit("")).otherwise(
+            F.array_join(F.slice(parts, k, F.size(parts)), ".")))
+
+    return bind(bind(F.split(strip(text), "[.]"), without_byline), from_first_kept)
 
 
 def strip_tags(text: Column) -> Column:

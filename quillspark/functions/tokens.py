@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -14,6 +14,15 @@ SENTENCE = r"[^.!?]+[.!?]*"
 WHITESPACE = " \t\n\r\x0b\x0c"
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once per row.
+
+    An expression that occurs several times, above all in branches of a ``when``,
+    may be evaluated each time; a lambda's variable is not.
+    """
+    return F.transform(F.array(value), use)[0]
+
+
 def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITESPACE))
 

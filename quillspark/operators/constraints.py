@@ -94,11 +94,11 @@ class StructRange(Constraint):
         return F.size(words)
 
     def evaluate(self, text: Column) -> Column:
-        return range_score(self.count(text), self.lower, self.upper, self.zero_to_one)
+        return tk.bind(
+            self.count(text), lambda count: range_score(count, self.lower, self.upper, self.zero_to_one))
 
     def success(self, text: Column) -> Column:
-        best = 1.0 if self.zero_to_one else 0.0
-        return (self.evaluate(text) == best).cast("int")
+        return self.count(text).between(self.lower, self.upper).cast("int")
 
     def instruction(self) -> str:
         if self.lower == self.upper:
@@ -122,10 +122,12 @@ class StartEnd(Constraint):
     end: str | None = None
 
     def evaluate(self, text: Column) -> Column:
-        core = strip_ends(text)
-        starts = F.lit(True) if self.start is None else core.startswith(self.start)
-        ends = F.lit(True) if self.end is None else core.endswith(self.end)
-        return (starts.cast("double") + ends.cast("double")) / 2.0
+        def met(core: Column) -> Column:
+            starts = F.lit(True) if self.start is None else core.startswith(self.start)
+            ends = F.lit(True) if self.end is None else core.endswith(self.end)
+            return (starts.cast("double") + ends.cast("double")) / 2.0
+
+        return tk.bind(strip_ends(text), met)
 
     def success(self, text: Column) -> Column:
         return (self.evaluate(text) == 1.0).cast("int")
