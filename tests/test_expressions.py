@@ -151,3 +151,13 @@ def test_target_score(spark):
     score = cl.target_score(F.col("l"), F.col("s"), "POS")
     assert value(spark, score, l="pos", s=0.8) == pytest.approx(0.8)
     assert value(spark, score, l="neg", s=0.8) == pytest.approx(0.2)
+
+
+def test_small_helpers(spark):
+    assert value(spark, tx.icontains(F.col("t"), "ABC"), t="xabcx") is True
+    assert value(spark, tx.with_instruction(F.col("t"), "]", "["), t="x") == "[x]"
+    assert value(spark, lb.demo_target(F.col("s")), s=6.0) == "False"
+    assert value(spark, lb.demo_target(F.col("s")), s=7.0) == "True"
+    assert value(spark, tx.mask_pad(tx.pad_ids(F.array(F.lit(5)), 3, 0), 0), t="") == [5, -100, -100]
+    assert value(spark, cs.top2_margin(F.array(F.lit(1.0), F.lit(4.0), F.lit(2.0))), t="") == 2.0
+    assert value(spark, tk.bind(F.col("s"), lambda s: s + s), s=2.0) == 4.0

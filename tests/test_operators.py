@@ -497,3 +497,20 @@ def test_row_ids_follow_through_a_recipe(spark):
     raw = recipes.with_row_id(spark.createDataFrame([("a", 0), ("a", 1), ("b", 1)], "text string, label int"))
     done = recipes.finish(recipes.binary_reviews(raw), "imdb", "row_id")
     assert done.count() == 3 and set(done.columns) == {"row_id", "text", "label", "split"}
+
+
+def test_runs_flags_and_caps(spark):
+    df = spark.createDataFrame([(1, True, "p"), (2, False, None)], "id int, flag boolean, prompt string")
+    yes, no = fl.partition_by_flag(df, "flag")
+    assert (yes.count(), no.count(), fl.nonnull(df, "prompt").count()) == (1, 1, 1)
+    marked = wr.with_run(df, {"seed": 42}).withColumn("run", wr.run_key(seed=F.col("seed"), judge="j"))
+    assert {r["run"] for r in marked.collect()} == {"seed=42/judge=j"}
+    assert rs.capped(numbers(spark, 50), ["k"], 7).count() == 7 and rs.capped(df, ["id"], None) is df
+    path = fresh_path(spark, "appended")
+    wr.append_finished(df, path, ["id"], ["prompt"])
+    assert jn.pending(df, spark.read.parquet(path), ["id"]).count() == 1
+
+
+def test_spread_leaves_large_scans_alone(spark):
+    assert rd.spread(spark.range(0, 10, 1, 20)).rdd.getNumPartitions() == 20
+    assert rd.spread(spark.range(0, 10, 1, 1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
