@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import common, packing, token_counts, token_store
+from quillspark.llm import common, fm_index, licences, line_rules, packing, quadratic, token_counts, token_store
 from quillspark.session import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,15 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.checksums(token_store.read_tokens(spark, path))
 
 
+@query
+def op2_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the line-frequency verdict."""
+    return line_rules.judged(common.table(spark, sf_dir, "documents")).drop("text_hash", "host")
+
+
+ORACLES["op2_line_rules"] = line_rules.ORACLE
+
+
 @query
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 2048 tokens."""
@@ -37,7 +46,29 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.with_checksums(packing.pack(docs, public_tokenizers.path(BYTE_BPE)))
 
 
+@query
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all texts."""
+    return quadratic.scored(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
 @query
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every text by the 32k model."""
     return token_counts.count_tokens(common.table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_BPE))
+
+
+@query
+def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence statements in all texts."""
+    return licences.scanned(common.table(spark, sf_dir, "documents")).drop("detections")
+
+
+@query
+def op9_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages in all texts."""
+    found = fm_index.scanned(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+    return found.drop("text_hash", "spans")
+
+
+ORACLES["op9_fm_index"] = fm_index.ORACLE
