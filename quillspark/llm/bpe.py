@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +18,20 @@ ODD_SPACE = re.compile(r"\s ")
 CUT = re.compile(r"(?<=\S)(?= )")
 SENTENCE_END = (".", "!", "?")
 
+# A word of Latin letters with an optional mark, and the same once more behind a line break: the
+# pre-tokenizer cuts these in front of marks and on both sides of the break, and nowhere else.
+WORD = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)(?:(\n)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?))?")
+
+
+def _byte_characters() -> dict[int, str]:
+    """The character that stands for each byte in the vocabulary: itself if it prints, else the next one from U+0100."""
+    printing = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = (b for b in range(256) if b not in printing)
+    return {b: chr(b) for b in printing} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+BYTE_CHARACTERS = _byte_characters()
+
 
 class _Memo(dict):
     """Numbers pieces in the order they are met."""
@@ -34,8 +49,10 @@ class _Memo(dict):
 class PieceEncoder:
     """``encode(texts)`` gives for each text its ids and the lengths of its pieces.
 
-    ``limit`` bounds the pieces kept between calls and ``budget`` the characters a
-    single call of the library gets.
+    ``limit`` bounds the pieces and the words kept between calls and ``budget`` the characters a single
+    call of the library gets. A piece that is a plain word goes to the library's BPE model as the
+    pre-token it is, without its mark, so that a word is merged once however it is followed;
+    any other piece goes through the whole tokenizer.
     """
 
     def __init__(self, path: str, limit: int = 400_000, budget: int = 1 << 20):
@@ -44,6 +61,10 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.limit, self.budget = limit, budget
+        self.words: dict[str, bytes] = {}
+        probe = [" Été", "The.", " a,", " One.\nTwo,", "x\ny"]
+        self.plain = [self._word(WORD.fullmatch(p)) for p in probe] == [
+            np.array(e.ids, dtype=np.int32).tobytes() for e in self.tokenizer.encode_batch_fast(probe, add_special_tokens=False)]
         self._reset()
 
     def _reset(self) -> None:
@@ -54,33 +75,64 @@ class PieceEncoder:
         self.lengths = np.zeros(1 << 12, dtype=np.int64)
         self.ends = np.zeros(1 << 12, dtype=bool)
 
+    def _merge(self, pretoken: str) -> bytes:
+        """The ids of a pre-token as bytes of 32-bit integers."""
+        found = self.words.get(pretoken)
+        if found is None:
+            spelled = pretoken.encode().decode("latin-1").translate(BYTE_CHARACTERS)
+            found = array("i", [t.id for t in self.tokenizer.model.tokenize(spelled)]).tobytes()
+            self.words[pretoken] = found
+        return found
+
+    def _word(self, match: re.Match) -> bytes:
+        word, mark, line, *rest = match.groups()
+        words = self.words
+        found = words.get(word) or self._merge(word)
+        if mark:
+            found += words.get(mark) or self._merge(mark)
+        if line:
+            found += b"".join(self._merge(part) for part in (line, *rest) if part)
+        return found
+
+    def _whole(self, pieces: list[str]) -> Iterator[bytes]:
+        at = 0
+        while at < len(pieces):
+            size, end = 0, at
+            while end < len(pieces) and (size < self.budget or end == at):
+                size += len(pieces[end])
+                end += 1
+            for found in self.tokenizer.encode_batch_fast(pieces[at:end], add_special_tokens=False):
+                yield array("i", found.ids).tobytes()
+            at = end
+
     def _learn(self) -> None:
         """Encode the pieces met since the last call."""
         new, self.memo.new = self.memo.new, []
+        if not new:
+            return
         first = len(self.memo) - len(new)
         while len(self.starts) < len(self.memo):
             self.starts, self.lengths, self.ends = (
                 np.concatenate([a, np.zeros_like(a)]) for a in (self.starts, self.lengths, self.ends))
-        at = 0
-        while at < len(new):
-            size, end = 0, at
-            while end < len(new) and (size < self.budget or end == at):
-                size += len(new[end])
-                end += 1
-            for k, found in enumerate(self.tokenizer.encode_batch_fast(new[at:end], add_special_tokens=False), first + at):
-                ids = found.ids
-                while self.used + len(ids) > len(self.ids):
-                    self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-                self.ids[self.used : self.used + len(ids)] = ids
-                self.starts[k], self.lengths[k] = self.used, len(ids)
-                self.ends[k] = new[k - first].endswith(SENTENCE_END) or "\n" in new[k - first]
-                self.used += len(ids)
-            at = end
+        matches = [WORD.fullmatch(piece) if self.plain else None for piece in new]
+        whole = self._whole([piece for piece, match in zip(new, matches) if match is None])
+        coded = [self._word(match) if match else next(whole) for match in matches]
+        lengths = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded)) // 4
+        ids = np.frombuffer(b"".join(coded), dtype=np.int32)
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        part = slice(first, first + len(new))
+        self.starts[part], self.lengths[part] = self.used + np.cumsum(lengths) - lengths, lengths
+        self.ends[part] = [piece.endswith(SENTENCE_END) or "\n" in piece for piece in new]
+        self.used += len(ids)
 
     def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Per text: ids, ids per piece, and whether a sentence or line ends in the piece."""
         if len(self.memo) > self.limit or self.used > 16 * self.limit:
             self._reset()
+        if len(self.words) > self.limit:
+            self.words.clear()
         coded = []
         for text in texts:
             if not text:
