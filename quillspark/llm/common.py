@@ -213,3 +213,11 @@ def id_lists(ids: np.ndarray, counts: np.ndarray) -> pa.ListArray:
     offsets = np.zeros(len(counts) + 1, dtype=np.int32)
     np.cumsum(counts, out=offsets[1:])
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """Adds ``_k1, _k2``: the id, and a hash of id and text. Only equal rows share both; neither is null."""
+    return docs.withColumns({
+        "_k1": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)),
+        "_k2": F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))),
+    })

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillspark.llm import common, fm_index, licences, line_rules, packing, quadratic, token_counts, token_store
+from quillspark.llm import (
+    common, fm_index, licences, line_rules, lsh_forest, packing, quadratic, superkmers, token_counts, token_store,
+)
 from quillspark.session import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,6 +66,16 @@ def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scanned(common.table(spark, sf_dir, "documents")).drop("detections")
 
 
+@query
+def op8_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near-duplicate documents and each document's links."""
+    found = lsh_forest.near_duplicates(common.table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "n_links", "n_copies")
+
+
+ORACLES["op8_lsh_forest"] = lsh_forest.ORACLE
+
+
 @query
 def op9_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages in all texts."""
@@ -72,3 +84,13 @@ def op9_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op9_fm_index"] = fm_index.ORACLE
+
+
+@query
+def op10_superkmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every text without repeated runs of 35 words."""
+    found = superkmers.removals(common.table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+ORACLES["op10_superkmers"] = superkmers.ORACLE
