@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillspark.llm import (
-    common, fm_index, licences, line_rules, lsh_forest, packing, quadratic, superkmers, token_counts, token_store,
+    common, fm_index, lattice_lm, licences, line_rules, lsh_forest, packing, quadratic, superkmers, token_counts, token_store,
 )
 from quillspark.session import fresh_path
 
@@ -48,6 +48,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.with_checksums(packing.pack(docs, public_tokenizers.path(BYTE_BPE)))
 
 
+@query
+def op4_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities of all texts under the word base and under the piece lattice."""
+    return lattice_lm.scored(common.table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_BPE))
+
+
 @query
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all texts."""
