@@ -18,7 +18,8 @@ BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 LIBRARY = Tokenizer.from_file(BYTE_BPE)
 MODEL = sentencepiece.SentencePieceProcessor(model_file=PIECES)
-ODD = st.text(alphabet=list("ab .,'\n\tÉß日  \x1c!9_▁") + ["<|endoftext|>", "the", "’s", "\U0001F600"], max_size=60)
+PARTS = [*"ab .,'\n\tÉß日\xa0\u2003\x1c!9_▁", "<|endoftext|>", "the", " The", "’s", "\U0001F600", "  ", ".\n"]
+ODD = st.lists(st.sampled_from(PARTS), max_size=40).map("".join)
 
 
 def ids_of(text):
