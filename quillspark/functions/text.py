@@ -82,8 +82,10 @@ def concept_prompt(concepts: Column) -> Column:
 
 def story_prompt(sentences: Sequence[Column], k: int = STORY_SENTENCES) -> Column:
     """The first k sentences, each after a space; null when one is missing."""
+    if k > len(sentences):
+        raise ValueError(f"{len(sentences)} sentence columns, asked for {k}")
     parts: list[Column] = []
-    for sentence in list(sentences)[: min(k, 5)]:
+    for sentence in list(sentences)[:k]:
         parts += [F.lit(" "), sentence]
     return F.concat(*parts)
 

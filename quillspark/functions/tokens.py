@@ -54,13 +54,16 @@ def gram_rows(df: DataFrame, keys: Sequence[str], tokens: Column, orders: Sequen
     The token array is zipped with itself shifted, so every position yields its
     n-grams by plain concatenation in generated code. A lambda over positions
     would evaluate the tokenizer once per position. ``count_texts`` adds one row
-    of order 0 per text, from a null in front of its tokens.
+    of order 0 per text, from a null in front of its tokens; its ``gram`` is the
+    number of tokens.
     """
     span = max(orders)
     front = F.array(F.lit(None).cast("string"))
-    listed = df.select(*keys, (F.concat(front, tokens) if count_texts else tokens).alias("_t"))
+    none = F.array().cast("array<string>")
+    listed = df.select(*keys, (F.concat(front, F.coalesce(tokens, none)) if count_texts else tokens).alias("_t"))
     shifted = [F.slice("_t", k + 1, F.size("_t")).alias(f"_w{k}") for k in range(span)]
-    placed = listed.select(*keys, F.inline(F.arrays_zip(*shifted)))
+    size = [(F.size("_t") - 1).cast("string").alias("_size")] if count_texts else []
+    placed = listed.select(*keys, *size, F.inline(F.arrays_zip(*shifted)))
 
     def gram(n: int) -> Column:
         parts: list[Column] = [F.col("_w0")]
@@ -70,7 +73,7 @@ def gram_rows(df: DataFrame, keys: Sequence[str], tokens: Column, orders: Sequen
 
     rows = [F.struct(F.lit(n).alias("n"), gram(n).alias("gram")) for n in orders]
     if count_texts:
-        text_row = F.when(F.col("_w0").isNull(), F.lit(""))
+        text_row = F.when(F.col("_w0").isNull(), F.col("_size"))
         rows.append(F.struct(F.lit(0).alias("n"), text_row.alias("gram")))
     rows = F.array(*rows)
     return placed.select(*keys, F.inline(rows)).filter(F.col("gram").isNotNull())

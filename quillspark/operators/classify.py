@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.regression import LinearRegression
 from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -13,8 +14,6 @@ from quillspark.functions.tokens import words
 from quillspark.operators.joins import SPREAD, split_lookup, stand_in
 from quillspark.session import fresh_path, materialize
 
-CLASS_LIMIT = 1000
-
 
 @dataclass(frozen=True)
 class NaiveBayes:
@@ -30,10 +29,8 @@ class NaiveBayes:
     def fit(df: DataFrame, text: str, label: str) -> NaiveBayes:
         import math
 
-        rows = df.groupBy(label).count().limit(CLASS_LIMIT + 1).collect()
-        if len(rows) > CLASS_LIMIT:
-            raise ValueError(f"{label} has more than {CLASS_LIMIT} classes")
-        sizes = {r[0]: r[1] for r in rows if r[0] is not None}
+        df = df.filter(F.col(label).isNotNull())  # rows without a label teach nothing
+        sizes = {r[0]: r[1] for r in df.groupBy(label).count().collect()}  # one row per class
         classes = sorted(sizes)
         everything = sum(sizes.values())
         priors = [math.log(sizes[c] / everything) for c in classes]
@@ -59,8 +56,7 @@ class NaiveBayes:
         end = F.array(stand_in(F.pmod(F.xxhash64(ids), F.lit(SPREAD))))
         spelled = df.select(ids, F.explode(
             F.concat(F.coalesce(words(F.lower(F.col(text))), F.array().cast("array<string>")), end)).alias("token"))
-        near, far = split_lookup(spelled, self.table.select("token", "n", "ll"), ["token"], "n", self.total,
-                                 self.n_tokens)
+        near, far = split_lookup(spelled, self.table.select("token", "n", "ll"), ["token"], "n", self.total)
         known = near if far is None else near.unionByName(far)
         sums = [
             F.coalesce(F.sum(F.col("ll")[i]), F.lit(0.0)) + F.lit(prior)
@@ -115,6 +111,20 @@ def fit_logistic(df: DataFrame, text: str = "text", label: str = "label",
     return PipelineModel.load(path)
 
 
+def fit_linear(df: DataFrame, text: str = "text", label: str = "label",
+               features: int = 1 << 18) -> PipelineModel:
+    """The same features with linear regression, for a label that is a number."""
+    stages = [
+        RegexTokenizer(inputCol=text, outputCol="_words", gaps=False, pattern=r"[\p{L}\p{N}]+"),
+        HashingTF(inputCol="_words", outputCol="_tf", numFeatures=features),
+        IDF(inputCol="_tf", outputCol="_features"),
+        LinearRegression(featuresCol="_features", labelCol=label, maxIter=20, regParam=0.01, solver="l-bfgs"),
+    ]
+    path = fresh_path(df.sparkSession, "linear")
+    Pipeline(stages=stages).fit(df).write().save(path)
+    return PipelineModel.load(path)
+
+
 def target_score(label: Column, score: Column, target: str = "1") -> Column:
     """The score when the label is the target, ignoring case; else one minus it."""
     return F.when(F.lower(label.cast("string")) == target.lower(), score).otherwise(1.0 - score)

@@ -41,16 +41,24 @@ def row_report(stages: dict[str, DataFrame]) -> DataFrame:
 
 
 def partition_by_flag(df: DataFrame, flag: str) -> tuple[DataFrame, DataFrame]:
-    return df.filter(F.col(flag)), df.filter(~F.col(flag))
+    """Rows whose flag is set, and the others; a null flag is not set."""
+    on = F.coalesce(F.col(flag), F.lit(False))
+    return df.filter(on), df.filter(~on)
 
 
-def target_class(df: DataFrame, label: str, cls: int = 1, warn_below: float | None = 0.2) -> DataFrame:
-    """Keep one class; warn when it is a small part of the table."""
-    if warn_below is not None:
-        total, kept = df.agg(F.count(F.lit(1)), F.count_if(F.col(label) == cls)).first()
-        if kept < warn_below * total:
-            warnings.warn(f"class {cls} keeps {kept} of {total} rows")
-    return df.filter(F.col(label) == cls)
+def target_class(df: DataFrame, label: str, cls: int = 1) -> tuple[DataFrame, Observation]:
+    """One class, and rows before and kept: counted by the job that consumes the result (see ``warn_if_few``)."""
+    counts = Observation()
+    chosen = F.col(label) == cls
+    observed = df.observe(counts, F.count(F.lit(1)).alias("before"), F.count_if(chosen).alias("kept"))
+    return observed.filter(chosen), counts
+
+
+def warn_if_few(counts: Observation, share: float = 0.2) -> None:
+    """Warn when fewer than this share of the rows were kept; call it after the action."""
+    found = counts.get
+    if found["kept"] < share * found["before"]:
+        warnings.warn(f"{found['kept']} of {found['before']} rows kept")
 
 
 def nonnull(df: DataFrame, col: str) -> DataFrame:

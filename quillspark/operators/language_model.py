@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillspark.functions.tokens import words
-from quillspark.operators.joins import lookup, split_lookup
+from quillspark.operators.joins import SPREAD, lookup, split_lookup, stand_in
 from quillspark.session import materialize
 
 START = "<s>"
@@ -19,11 +19,18 @@ def _tokens(text: Column) -> Column:
     return words(F.lower(text))
 
 
-def bigrams(df: DataFrame, text: str, *keep: str) -> DataFrame:
-    """One row per token: the token before it (or the start mark) and itself."""
-    listed = df.select(*keep, _tokens(F.col(text)).alias("_t"))
+def bigrams(df: DataFrame, text: str, *keep: str, empty: Column | None = None) -> DataFrame:
+    """One row per token: the token before it (or the start mark) and itself.
+
+    A text without tokens has no row, or with ``empty`` one row with that token.
+    """
+    listed = df.select(*keep, F.coalesce(_tokens(F.col(text)), F.array().cast("array<string>")).alias("_t"),
+                       *([empty.alias("_empty")] if empty is not None else []))
     before = F.concat(F.array(F.lit(START)), F.slice("_t", 1, F.greatest(F.size("_t") - 1, F.lit(0))))
-    rows = listed.select(*keep, F.inline(F.arrays_zip(before.alias("v"), F.col("_t").alias("w"))))
+    rest = [*keep, "_empty"] if empty is not None else keep
+    rows = listed.select(*rest, F.inline(F.arrays_zip(before.alias("v"), F.col("_t").alias("w"))))
+    if empty is not None:
+        return rows.withColumn("w", F.coalesce("w", "_empty")).drop("_empty")
     # Testing the size instead would run the tokenizer a second time, in the pushed filter.
     return rows.filter(F.col("w").isNotNull())
 
@@ -46,28 +53,30 @@ class BigramModel:
         return BigramModel(pairs, contexts, facts[0], contexts.count(), facts[2], facts[1])
 
     def fluency(self, df: DataFrame, ids: str, text: str) -> DataFrame:
-        """Mean log probability per row, with add-one smoothing; rows without words are absent.
+        """Mean log probability per row, with add-one smoothing; null for a row without words.
 
         A seen pair brings the count of its context along. Only unseen pairs, all
         of them among the facts that were shuffled anyway, ask for their context.
         Tokens leave the joins summed by row before the last shuffle.
         """
-        rows = bigrams(df, text, ids)
-        near, far = split_lookup(rows, self.pairs, ["v", "w"], "n", self.total, self.n_pairs)
+        # A stand-in for the missing token spreads rows without words; no pair holds it.
+        rows = bigrams(df, text, ids, empty=stand_in(F.pmod(F.xxhash64(ids), F.lit(SPREAD))))
+        near, far = split_lookup(rows, self.pairs, ["v", "w"], "n", self.total)
         if far is None:
             return self._averaged(self._with_contexts(near, ids), ids)
-        both = near.select(ids, "n", "n_v").unionByName(self._with_contexts(far, ids))
+        both = near.select(ids, "w", "n", "n_v").unionByName(self._with_contexts(far, ids))
         return self._averaged(both, ids)
 
     def _with_contexts(self, rows: DataFrame, ids: str) -> DataFrame:
         contexts = self.contexts.withColumnRenamed("n_v", "_n_v")
-        found = lookup(rows, contexts, "v", "_n_v", self.total, self.n_contexts, asking=F.col("n_v").isNull())
-        return found.select(ids, "n", F.coalesce("n_v", "_n_v").alias("n_v"))
+        found = lookup(rows, contexts, "v", "_n_v", self.total, asking=F.col("n_v").isNull())
+        return found.select(ids, "w", "n", F.coalesce("n_v", "_n_v").alias("n_v"))
 
     def _averaged(self, rows: DataFrame, ids: str) -> DataFrame:
         seen = F.coalesce(F.col("n"), F.lit(0)) + F.lit(1)
         room = F.coalesce(F.col("n_v"), F.lit(0)) + F.lit(self.n_words + 1)
-        return rows.groupBy(ids).agg(F.avg(F.log(seen / room)).alias("fluency"))
+        value = F.when(~F.col("w").startswith(stand_in(F.lit(""))), F.log(seen / room))
+        return rows.groupBy(ids).agg(F.avg(value).alias("fluency"))
 
     def perplexity(self, df: DataFrame, ids: str, text: str) -> DataFrame:
         scored = self.fluency(df, ids, text)
@@ -82,9 +91,11 @@ class BigramModel:
         best = self.pairs.groupBy("v").agg(F.min_by("w", F.struct(-F.col("n"), F.col("w"))).alias("w"))
         best = materialize(best, "successors")
         chain = best.select("v", F.col("w").alias("gen"), F.col("w").alias("last"))
-        step = best.select(F.col("v").alias("last"), "w")
+        # Many words share a successor; its weight is how often it occurs.
+        step = materialize(
+            best.join(self.contexts, "v").select(F.col("v").alias("last"), "w", F.col("n_v").alias("_n")), "steps")
         for _ in range(steps - 1):
-            longer = chain.join(step, "last", "left")
+            longer = lookup(chain, step, "last", "_n", self.total)
             chain = longer.select("v", F.concat_ws(" ", "gen", "w").alias("gen"), F.col("w").alias("last"))
         return materialize(chain.join(self.contexts, "v").select("v", "n_v", "gen"), "continuations")
 
@@ -92,7 +103,7 @@ class BigramModel:
         """The most frequent next word, ``steps`` times, ties to the smaller word."""
         last = F.element_at(F.concat(F.array(F.lit(START)), _tokens(F.col(prompt))), -1)
         asked = df.select(ids, last.alias("v"))
-        found = lookup(asked, self.continuations(steps), "v", "n_v", self.total, self.n_contexts)
+        found = lookup(asked, self.continuations(steps), "v", "n_v", self.total)
         return found.select(ids, F.coalesce("gen", F.lit("")).alias("gen"))
 
     def sampler(self) -> DataFrame:
@@ -134,7 +145,7 @@ class BigramModel:
         state = df.select(ids, F.explode(F.array(*map(F.lit, range(n_gens)))).alias("cand_idx"),
                           F.lit("").alias("gen"), last.alias("v"))
         for step in range(steps):
-            sized = lookup(state, facts, "v", "n_v", self.total, self.n_contexts)
+            sized = lookup(state, facts, "v", "n_v", self.total)
             draw = F.md5(F.concat_ws(":", F.col(ids).cast("string"), "cand_idx", F.lit(str(step)), F.lit(str(seed))))
             number = F.conv(F.substring(draw, 1, 15), 16, 10).cast("bigint")
             drawn = sized.withColumn("_u", number % F.col("n_v"))

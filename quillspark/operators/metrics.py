@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quillspark.functions.tokens import gram_rows, words_and_marks
+from quillspark.operators.filters import pending_metric, union_all
 from quillspark.operators.joins import split_hot
 from quillspark.session import shuffle_width
 
@@ -26,9 +27,7 @@ def distinct_n(cands: DataFrame, group: str, gen: str = "gen", orders: Sequence[
     kept = cands.filter(F.col(gen).isNotNull()).select(group, gen)
     usual, hot = split_hot(kept, group)
     placed = usual.repartition(shuffle_width(cands.sparkSession), group)
-    counted = _gram_counts(placed, group, gen, orders)
-    if hot is not None:
-        counted = counted.unionByName(_gram_counts(hot, group, gen, orders))
+    counted = _gram_counts(placed, group, gen, orders).unionByName(_gram_counts(hot, group, gen, orders))
 
     def value(n: int) -> Column:
         under = F.col("_candidates") if normalize == "candidates" else F.col(f"_t{n}")
@@ -52,32 +51,36 @@ def _gram_counts(rows: DataFrame, group: str, gen: str, orders: Sequence[int]) -
     )
 
 
-def _clipped(df: DataFrame, ids: str, pred: str, refs: str, orders: Sequence[int],
-             one_ref: bool = False) -> DataFrame:
-    """Per row and order: n-grams of the prediction, and those the references also hold.
+def _clipped(df: DataFrame, ids: str, pred: str, refs: str, orders: Sequence[int]) -> DataFrame:
+    """Per row: for each order n-grams of the prediction, and those the references also hold, and text lengths.
 
-    ``refs`` is an array of texts. Texts are placed by row id once; every count
-    after that is local to its partition, because all its keys start with the id.
-    With one reference, counting by side takes one aggregate instead of two.
+    ``refs`` is an array of texts. Rows are numbered, so rows with one id stay
+    apart, and their texts placed by number once; every count after that is local
+    to its partition, because all its keys start with the number. Lengths come
+    along as rows of order 0, which a text without tokens has too.
     """
-    placed = df.select(ids, pred, refs).repartition(shuffle_width(df.sparkSession), ids)
+    numbered = df.select(ids, pred, refs).withColumn("_row", F.monotonically_increasing_id())
+    placed = numbered.repartition(shuffle_width(df.sparkSession), "_row")
     sides = F.concat(
         F.array(F.struct(F.lit(-1).alias("side"), F.col(pred).alias("text"))),
-        F.transform(F.col(refs), lambda text, i: F.struct(i.alias("side"), text.alias("text"))),
+        F.transform(F.coalesce(F.col(refs), F.array().cast("array<string>")),
+                    lambda text, i: F.struct(i.alias("side"), text.alias("text"))),
     )
-    texts = placed.select(ids, F.inline(sides))
-    grams = gram_rows(texts, [ids, "side"], words_and_marks(F.col("text")), orders)
-    if one_ref:
-        met = grams.groupBy(ids, "n", "gram").agg(
-            F.count_if(F.col("side") == -1).alias("p"), F.count_if(F.col("side") >= 0).alias("r"))
-    else:
-        counts = grams.groupBy(ids, "n", "gram", "side").agg(F.count(F.lit(1)).alias("c"))
-        in_pred = F.coalesce(F.max(F.when(F.col("side") == -1, F.col("c"))), F.lit(0))
-        in_refs = F.coalesce(F.max(F.when(F.col("side") >= 0, F.col("c"))), F.lit(0))
-        met = counts.groupBy(ids, "n", "gram").agg(in_pred.alias("p"), in_refs.alias("r"))
-    return met.groupBy(ids, "n").agg(
-        F.sum("p").alias("in_pred"), F.sum("r").alias("in_refs"),
-        F.sum(F.least("p", "r")).alias("overlap"),
+    keys = ["_row", ids]
+    texts = placed.select(*keys, F.inline(sides))
+    grams = gram_rows(texts, [*keys, "side"], words_and_marks(F.col("text")), orders, count_texts=True)
+    # A length belongs to its side, so the side becomes part of the key.
+    grams = grams.withColumn("gram", F.when(F.col("n") == 0, F.concat_ws(":", "side", "gram")).otherwise(F.col("gram")))
+    counts = grams.groupBy(*keys, "n", "gram", "side").agg(F.count(F.lit(1)).alias("c"))
+    in_pred = F.coalesce(F.max(F.when(F.col("side") == -1, F.col("c"))), F.lit(0))
+    in_refs = F.coalesce(F.max(F.when(F.col("side") >= 0, F.col("c"))), F.lit(0))
+    met = counts.groupBy(*keys, "n", "gram").agg(in_pred.alias("p"), in_refs.alias("r"))
+    length = F.substring_index("gram", ":", -1).cast("int")
+    return met.groupBy(*keys).agg(
+        *[F.sum(F.when(F.col("n") == n, F.col(x))).alias(f"_{x}{n}") for n in orders for x in ("p", "r")],
+        *[F.sum(F.when(F.col("n") == n, F.least("p", "r"))).alias(f"_o{n}") for n in orders],
+        F.max(F.when((F.col("n") == 0) & (F.col("p") > 0), length)).alias("_c"),
+        F.collect_list(F.when((F.col("n") == 0) & (F.col("r") > 0), length)).alias("_rs"),
     )
 
 
@@ -88,31 +91,26 @@ def bleu(df: DataFrame, ids: str, pred: str, refs: str, max_n: int = MAX_ORDER)
     length is the closest one, the shorter of two equally close.
     """
     orders = range(1, max_n + 1)
-    stats = _clipped(df, ids, pred, refs, orders).groupBy(ids).agg(
-        *[F.sum(F.when(F.col("n") == n, F.col("in_pred"))).alias(f"_p{n}") for n in orders],
-        *[F.sum(F.when(F.col("n") == n, F.col("overlap"))).alias(f"_o{n}") for n in orders],
-    )
-    size = F.size(words_and_marks(F.col(pred)))
-    sizes = F.transform(F.col(refs), lambda r: F.size(words_and_marks(r)))
-    lengths = df.select(ids, size.alias("_c"), sizes.alias("_rs")).withColumn("_r", F.array_min(
-        F.transform("_rs", lambda s: F.struct(F.abs(s - F.col("_c")).alias("d"), s.alias("r"))))["r"])
+    closest = F.array_min(F.transform(
+        "_rs", lambda s: F.struct(F.abs(s - F.col("_c")).alias("d"), s.alias("r"))))["r"]
+    stats = _clipped(df, ids, pred, refs, orders).withColumn("_r", closest)
     mean_log = sum((F.log(F.col(f"_o{n}") / F.col(f"_p{n}")) for n in orders), F.lit(0.0)) / max_n
     usable = F.lit(True)
     for n in orders:
         usable = usable & (F.coalesce(F.col(f"_o{n}"), F.lit(0)) > 0)
     penalty = F.when(F.col("_c") > F.col("_r"), F.lit(1.0)).otherwise(F.exp(1 - F.col("_r") / F.col("_c")))
     value = F.when(usable, penalty * F.exp(mean_log)).otherwise(F.lit(0.0))
-    return lengths.join(stats, ids, "left").select(ids, F.coalesce(value, F.lit(0.0)).alias("bleu"))
+    return stats.select(ids, F.coalesce(value, F.lit(0.0)).alias("bleu"))
 
 
 def rouge_n(df: DataFrame, ids: str, pred: str, ref: str, n: int = 1) -> DataFrame:
     """Clipped n-gram overlap: recall, precision and F1; zero where a side is empty."""
     paired = df.select(ids, pred, F.array(ref).alias("_refs"))
-    stats = _clipped(paired, ids, pred, "_refs", [n], one_ref=True)
-    recall = F.when(F.col("in_refs") > 0, F.col("overlap") / F.col("in_refs")).otherwise(F.lit(0.0))
-    precision = F.when(F.col("in_pred") > 0, F.col("overlap") / F.col("in_pred")).otherwise(F.lit(0.0))
-    both = df.select(ids).join(stats, ids, "left").select(
-        ids, F.coalesce(recall, F.lit(0.0)).alias("recall"), F.coalesce(precision, F.lit(0.0)).alias("precision"))
+    stats = _clipped(paired, ids, pred, "_refs", [n])
+    recall = F.when(F.col(f"_r{n}") > 0, F.col(f"_o{n}") / F.col(f"_r{n}")).otherwise(F.lit(0.0))
+    precision = F.when(F.col(f"_p{n}") > 0, F.col(f"_o{n}") / F.col(f"_p{n}")).otherwise(F.lit(0.0))
+    both = stats.select(ids, F.coalesce(recall, F.lit(0.0)).alias("recall"),
+                        F.coalesce(precision, F.lit(0.0)).alias("precision"))
     total = F.col("recall") + F.col("precision")
     return both.withColumn("f1", F.when(total > 0, 2 * F.col("recall") * F.col("precision") / total).otherwise(0.0))
 
@@ -137,3 +135,19 @@ def combined_score(*values: Column) -> Column:
 def long_metrics(df: DataFrame, ids: Sequence[str], values: Sequence[str]) -> DataFrame:
     """Metric columns as ``(ids, metric, value)`` rows."""
     return df.unpivot(list(ids), list(values), "metric", "value")
+
+
+def metric_run(df: DataFrame, done: DataFrame, keys: Sequence[str],
+               metrics: Mapping[str, Callable[[DataFrame], DataFrame]], overwrite: bool = False) -> DataFrame:
+    """The long table of metrics after a run over ``df``.
+
+    A metric, a function that returns the keys and ``value``, gets the rows that have
+    no value of it yet, or with ``overwrite`` all rows in place of the values there are.
+    """
+    columns = [*keys, "metric", "value"]
+    kept = done.filter(~F.col("metric").isin(*metrics)) if overwrite else done
+    parts = [kept.select(*columns)]
+    for name, work in metrics.items():
+        todo = pending_metric(df, done, keys, name, overwrite)
+        parts.append(work(todo).withColumn("metric", F.lit(name)).select(*columns))
+    return union_all(parts)

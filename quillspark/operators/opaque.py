@@ -12,65 +12,133 @@ from typing import Optional
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from quillspark.functions.text import fill, lead_words, scored_text
 from quillspark.session import shuffle_width
 
 BatchFunction = Callable[[Sequence[str]], Sequence[Optional[str]]]
+_LABELLED = StructType([StructField("label", StringType()), StructField("score", DoubleType())])
 CandidateFunction = Callable[[Sequence[str], Sequence[int]], Sequence[Optional[str]]]
 
-# Candidates per prompt must stay below the first; tries per call.
-MAX_CANDIDATES = 10
+# Tries per call.
 TRIES = 3
 DEFAULT_CANDIDATES = 3
 
+# Errors that may pass: the call is made again. Any other error is the call's own.
+TRANSIENT = (ConnectionError, TimeoutError)
 
-def _attempt(fn: Callable, columns: list[list], tries: int) -> list:
-    """Call on the whole batch; when that keeps failing, row by row; a failed row is null."""
-    for _ in range(tries):
-        try:
-            replies = list(fn(*columns))
-            if len(replies) == len(columns[0]):
-                return replies
-        except Exception:
-            continue
-    if len(columns[0]) == 1:
-        return [None]
-    return [_attempt(fn, [[value] for value in row], tries)[0] for row in zip(*columns)]
 
+class _Calls:
+    """Calls of one task, with what failed."""
 
-def replies(fn: BatchFunction, text: Column, tries: int = TRIES) -> Column:
-    """The function's reply to each text; null text or failure gives null."""
+    def __init__(self, fn: Callable, tries: int, transient: tuple[type[Exception], ...]):
+        self.fn, self.tries, self.transient = fn, tries, transient
+        self.asked = self.failed = 0
+        self.last: Exception | None = None
+
+    def _once(self, columns: list[list]) -> list:
+        found = list(self.fn(*columns))
+        if len(found) != len(columns[0]):
+            raise ValueError(f"{len(found)} replies to {len(columns[0])} texts")
+        return found
+
+    def __call__(self, columns: list[list]) -> list:
+        """Replies to a batch; a failed row is null.
+
+        A transient error is tried again and then fails the batch: the service is
+        down, and asking it row by row would not help. Another error is narrowed
+        down to its rows, one call each.
+        """
+        rows = len(columns[0])
+        self.asked += rows
+        for attempt in range(self.tries):
+            try:
+                return self._once(columns)
+            except self.transient as error:
+                self.last = error
+            except Exception as error:
+                self.last = error
+                break
+        else:
+            self.failed += rows
+            return [None] * rows
+        out = []
+        for row in zip(*columns):
+            try:
+                out += self._once([[value] for value in row])
+            except Exception as error:
+                self.last = error
+                self.failed += 1
+                out.append(None)
+        return out
+
+    def check(self) -> None:
+        """Raise if every call of the task failed: that is no matter of single texts."""
+        if self.asked and self.failed == self.asked:
+            raise RuntimeError(f"all {self.asked} calls of a task failed, the last with {self.last!r}") from self.last
+
+
+def replies(fn: BatchFunction, text: Column, tries: int = TRIES,
+            transient: tuple[type[Exception], ...] = TRANSIENT) -> Column:
+    """The function's reply to each text; null text or failure gives null, and an error if all fail."""
 
     @F.pandas_udf(StringType())
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        calls = _Calls(fn, tries, transient)
         for batch in batches:
             asked = batch.notna()
             out = pd.Series([None] * len(batch), index=batch.index, dtype=object)
             if asked.any():
-                out[asked] = _attempt(fn, [batch[asked].tolist()], tries)
+                out[asked] = calls([batch[asked].tolist()])
             yield out
+        calls.check()
 
     return run.asNondeterministic()(text)
 
 
 def score_text(df: DataFrame, scorer: Callable[[Sequence[str]], Sequence[float]], text: Column,
-               out: str = "score", tries: int = TRIES) -> DataFrame:
-    """A number per text from an outside scorer, in batches; failures are null."""
+               out: str = "score", tries: int = TRIES,
+               transient: tuple[type[Exception], ...] = TRANSIENT) -> DataFrame:
+    """A number per text from an outside scorer, in batches; failures are null, and an error if all fail."""
 
     @F.pandas_udf(DoubleType())
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        calls = _Calls(scorer, tries, transient)
         for batch in batches:
             found = pd.Series([None] * len(batch), index=batch.index, dtype="float64")
             asked = batch.notna()
             if asked.any():
-                found[asked] = pd.Series(_attempt(scorer, [batch[asked].tolist()], tries), dtype="float64").to_numpy()
+                found[asked] = pd.Series(calls([batch[asked].tolist()]), dtype="float64").to_numpy()
             yield found
+        calls.check()
 
     return df.withColumn(out, run.asNondeterministic()(text))
 
 
+def label_text(df: DataFrame, classifier: Callable[[Sequence[str]], Sequence[tuple[str, float]]], text: Column,
+               label: str = "label", score: str = "score", tries: int = TRIES,
+               transient: tuple[type[Exception], ...] = TRANSIENT) -> DataFrame:
+    """A label and its score per text from an outside classifier, in batches; failures are null."""
+
+    @F.pandas_udf(_LABELLED)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        calls = _Calls(classifier, tries, transient)
+        for batch in batches:
+            asked = batch.notna()
+            found = pd.DataFrame({"label": pd.Series([None] * len(batch), index=batch.index, dtype=object),
+                                  "score": pd.Series([None] * len(batch), index=batch.index, dtype="float64")})
+            if asked.any():
+                made = [reply or (None, None) for reply in calls([batch[asked].tolist()])]
+                found.loc[asked, "label"] = [reply[0] for reply in made]
+                found.loc[asked, "score"] = pd.Series([reply[1] for reply in made], dtype="float64").to_numpy()
+            yield found
+        calls.check()
+
+    made = df.withColumn("_labelled", run.asNondeterministic()(text))
+    return made.withColumns({label: F.col("_labelled.label"), score: F.col("_labelled.score")}).drop("_labelled")
+
+
 def throttled(fn: Callable, per_minute: float) -> Callable:
     """Keep a task below a number of texts per minute, for services with a quota.
 
@@ -87,11 +155,16 @@ def throttled(fn: Callable, per_minute: float) -> Callable:
 
 
 def candidate_replies(fn: CandidateFunction, prompt: Column, cand_idx: Column,
-                      tries: int = TRIES) -> Column:
+                      tries: int = TRIES, transient: tuple[type[Exception], ...] = TRANSIENT) -> Column:
     @F.pandas_udf(StringType())
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        calls = _Calls(fn, tries, transient)
         for prompts, numbers in batches:
-            yield pd.Series(_attempt(fn, [prompts.tolist(), numbers.tolist()], tries), dtype=object)
+            if len(prompts):
+                yield pd.Series(calls([prompts.tolist(), numbers.tolist()]), dtype=object)
+            else:
+                yield pd.Series([], dtype=object)
+        calls.check()
 
     return run.asNondeterministic()(prompt, cand_idx)
 
@@ -99,8 +172,8 @@ def candidate_replies(fn: CandidateFunction, prompt: Column, cand_idx: Column,
 def fan_out(df: DataFrame, n_gens: int = DEFAULT_CANDIDATES, prompt: str = "prompt",
             max_words: int | None = None) -> DataFrame:
     """One row per prompt and candidate number; null prompts drop, long ones may be cut."""
-    if not 0 < n_gens < MAX_CANDIDATES:
-        raise ValueError(f"n_gens must be below {MAX_CANDIDATES}")
+    if n_gens < 1:
+        raise ValueError("n_gens must be at least 1")
     kept = df.filter(F.col(prompt).isNotNull())
     if max_words is not None:
         kept = kept.withColumn(prompt, lead_words(F.col(prompt), max_words))
@@ -108,13 +181,13 @@ def fan_out(df: DataFrame, n_gens: int = DEFAULT_CANDIDATES, prompt: str = "prom
 
 
 def generate(df: DataFrame, generator: CandidateFunction, n_gens: int = DEFAULT_CANDIDATES,
-             prompt: str = "prompt", max_words: int | None = None) -> DataFrame:
-    """The long candidate table; candidates that failed are dropped."""
+             prompt: str = "prompt", max_words: int | None = None, keep_failed: bool = False) -> DataFrame:
+    """The long candidate table; candidates that failed are dropped, or kept with a null ``gen``."""
     asked = fan_out(df, n_gens, prompt, max_words)
     # Model calls dominate, so rows are dealt out evenly, equal prompts too.
     spread = asked.repartition(shuffle_width(df.sparkSession))
     made = spread.withColumn("gen", candidate_replies(generator, F.col(prompt), F.col("cand_idx")))
-    return made.filter(F.col("gen").isNotNull())
+    return made if keep_failed else made.filter(F.col("gen").isNotNull())
 
 
 def judge(cands: DataFrame, judge_fn: BatchFunction, template: str, n: int = 1,

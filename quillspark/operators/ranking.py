@@ -15,11 +15,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from quillspark.session import materialize
+
 # A bucket this small is read and sorted.
 LEAF_ROWS = 4096
-# Histogram sizes, and so the most rows one pass collects.
+# Histogram size, and so the most rows one pass collects.
 HEX_DIGITS_PER_PASS = 4
-RANGE_BITS_PER_PASS = 16
 
 
 @dataclass(frozen=True)
@@ -108,34 +109,70 @@ def _locate(hist: dict[str, int], rank: int) -> tuple[str, int, int]:
     raise ValueError("rank beyond the table")
 
 
-def order_cut(df: DataFrame, order_by: Sequence[str], n: int | Callable[[int], int]) -> Cut:
-    """The cut at 1-based rank ``n`` of a unique whole-number order key.
+def numbered(df: DataFrame, order_by: Sequence[str | Column], name: str = "rank") -> DataFrame:
+    """``df`` with each row's 0-based position in an order of any sortable columns.
 
-    The rank may depend on the row count. The key may have several columns; a first column that holds one value in a
-    third of the rows is narrowed down by the next column.
+    The rows are range-partitioned, sorted and written once; the positions in a
+    partition then shift by the sizes of the partitions before it, one number each.
+    Nulls come first and rows that tie take neighbouring positions.
+    """
+    ordered = df.orderBy(*order_by).withColumns(
+        {"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()})
+    rows = materialize(ordered, "numbered")
+    shifts, before = [], 0
+    for part, first, size in sorted(
+            tuple(r) for r in rows.groupBy("_part").agg(F.min("_at"), F.count(F.lit(1))).collect()):
+        shifts.append((part, before - first))
+        before += size
+    dim = df.sparkSession.createDataFrame(shifts, "_part int, _shift bigint")
+    return rows.join(F.broadcast(dim), "_part").withColumn(
+        name, F.col("_at") + F.col("_shift")).drop("_part", "_at", "_shift")
+
+
+def parted(df: DataFrame, order_by: Sequence[str], n: int | Callable[[int], int]) -> tuple[DataFrame, DataFrame]:
+    """The first ``n`` rows of an order, and the others; ``n`` may depend on the row count.
+
+    Only the order columns and a hash of the row are sorted. The row at the edge
+    then acts as a filter on the table, so rows themselves do not move. Ties are
+    ordered by the hash; of equal rows as many as needed are taken.
     """
-    columns = tuple(F.col(c) for c in order_by)
-    part = df.select(*[F.col(c).cast("bigint").alias(c) for c in order_by])
-    for position, name in enumerate(order_by):
-        low, high, size = part.agg(F.min(name), F.max(name), F.count(F.lit(1))).first()
-        if position == 0:
-            rank = n(size) if callable(n) else n
-            if rank < 1:
-                return Cut(columns, None)
-            if rank >= size:
-                return Cut(columns, None, everything=True)
-        while size > LEAF_ROWS and high > low:
-            shift = max(0, (high - low).bit_length() - RANGE_BITS_PER_PASS)
-            bucket = F.shiftright(F.col(name), shift)
-            hist = {r[0]: r[1] for r in part.groupBy(bucket.alias("b")).count().collect()}
-            for b in sorted(hist):
-                if rank <= hist[b]:
-                    break
-                rank -= hist[b]
-            size = hist[b]
-            low, high = max(low, b << shift), min(high, ((b + 1) << shift) - 1)
-            part = part.filter(F.col(name).between(low, high))
-        if size <= LEAF_ROWS:
-            rows = sorted(tuple(r) for r in part.collect())
-            return Cut(columns, _at(rows, rank, order_by))
-    raise ValueError(f"{list(order_by)} is not a unique order key")
+    whole = [F.xxhash64(*df.columns).alias("_t0"), F.hash(*df.columns).alias("_t1")]
+    names = [f"_k{i}" for i in range(len(order_by))] + ["_t0", "_t1"]
+    ranked = numbered(df.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(order_by)], *whole), names)
+    total = ranked.count()
+    wanted = n(total) if callable(n) else n
+    if wanted <= 0:
+        return df.filter(F.lit(False)), df
+    if wanted >= total:
+        return df, df.filter(F.lit(False))
+    edge = ranked.filter(F.col("rank") == wanted - 1).select(*names).first()
+    values = list(edge)
+    columns = [F.col(c) for c in order_by] + [F.xxhash64(*df.columns), F.hash(*df.columns)]
+    same, taken = ranked.filter(_equal([F.col(c) for c in names], values)).agg(
+        F.count(F.lit(1)), F.count_if(F.col("rank") < wanted)).first()
+    below, equal = _below(columns, values), _equal(columns, values)
+    if same == taken:
+        return df.filter(below | equal), df.filter(~(below | equal))
+    one = df.filter(equal).limit(1)
+
+    def times(count: int) -> DataFrame:
+        return one.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(count)))).drop("_copy")
+
+    return (df.filter(below).unionByName(times(taken)),
+            df.filter(~(below | equal)).unionByName(times(same - taken)))
+
+
+def _equal(columns: Sequence[Column], values: Sequence) -> Column:
+    test = F.lit(True)
+    for column, value in zip(columns, values):
+        test = test & column.eqNullSafe(F.lit(value))
+    return test
+
+
+def _below(columns: Sequence[Column], values: Sequence) -> Column:
+    """Rows in front of these values in ascending order, nulls first."""
+    test = F.lit(False)
+    for column, value in reversed(list(zip(columns, values))):
+        less = F.lit(False) if value is None else column.isNull() | F.coalesce(column < F.lit(value), F.lit(False))
+        test = less | (column.eqNullSafe(F.lit(value)) & test)
+    return test

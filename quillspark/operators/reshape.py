@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -10,6 +11,8 @@ from quillspark.functions.labels import verdict_label
 from quillspark.functions.text import first_parts, mask_pad, pad_ids, piece_count, scored_text
 from quillspark.functions.tokens import words
 from quillspark.operators.filters import target_class
+from quillspark.operators.joins import lookup
+from quillspark.operators.ranking import numbered
 from quillspark.operators.sampling import seeded_sample
 from quillspark.session import shuffle_width
 
@@ -20,7 +23,6 @@ IGNORED_LABEL = -100
 
 PAD, UNKNOWN = 0, 1
 FIRST_WORD_ID = 2
-VOCABULARY_SIZE = 50_000
 
 # Prefix lengths handled by one task at a time.
 PREFIX_CHUNK = 1024
@@ -89,32 +91,34 @@ def prefixes(df: DataFrame, text: str, max_words: int | None = None, include_ful
     return rows.filter(F.col("prefix").rlike(r"\S")).drop("_n", "_from", text)
 
 
-def vocabulary(df: DataFrame, text: str, size: int = VOCABULARY_SIZE) -> DataFrame:
-    """The ``size`` most frequent words with ids by rank; ids 0 and 1 are pad and unknown.
+@dataclass(frozen=True)
+class Vocabulary:
+    """Words by rank of frequency: ``token, token_id, n``; ids 0 and 1 are pad and unknown."""
 
-    A fixed size is what makes it a vocabulary; it also bounds the ranked rows.
-    """
+    table: DataFrame
+    total: int  # occurrences of its words
+
+
+def vocabulary(df: DataFrame, text: str, size: int | None = None) -> Vocabulary:
+    """All words of the texts, or the ``size`` most frequent ones, with ids by rank."""
     counts = df.select(F.explode(F.transform(words(F.col(text)), F.lower)).alias("token"))
-    top = (
-        counts.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-        .orderBy(F.desc("n"), "token").limit(size)
-    )
-    ranked = top.agg(F.array_sort(F.collect_list(F.struct(-F.col("n"), "token"))).alias("all"))
-    return ranked.select(F.posexplode("all")).select(
-        F.col("col.token").alias("token"), (F.col("pos") + FIRST_WORD_ID).alias("token_id")
-    )
+    ranked = numbered(counts.groupBy("token").agg(F.count(F.lit(1)).alias("n")), [F.desc("n"), F.col("token")])
+    if size is not None:
+        ranked = ranked.filter(F.col("rank") < size)
+    table = ranked.select("token", (F.col("rank") + FIRST_WORD_ID).cast("int").alias("token_id"), "n")
+    return Vocabulary(table, table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
 
 
-def token_ids(df: DataFrame, ids: str, text: str, vocab: DataFrame, max_length: int = LM_LENGTH,
+def token_ids(df: DataFrame, ids: str, text: str, vocab: Vocabulary, max_length: int = LM_LENGTH,
               out: str = "token_ids") -> DataFrame:
     """Fixed-length id arrays: cut or padded to ``max_length``.
 
-    The vocabulary has a fixed size, so it is broadcast; positions of one row
-    are at most ``max_length``.
+    Words find their ids by a lookup that broadcasts frequent words only;
+    positions of one row are at most ``max_length``.
     """
     first = F.slice(F.transform(words(F.col(text)), F.lower), 1, max_length)
     spelled = df.select(ids, F.posexplode_outer(first).alias("pos", "token"))
-    known = spelled.join(F.broadcast(vocab), "token", "left")
+    known = lookup(spelled, vocab.table, "token", "n", vocab.total)
     number = F.when(F.col("token").isNotNull(), F.coalesce(F.col("token_id"), F.lit(UNKNOWN)))
     collected = F.array_sort(F.collect_list(F.when(number.isNotNull(), F.struct("pos", number.alias("id")))))
     return (
@@ -123,61 +127,57 @@ def token_ids(df: DataFrame, ids: str, text: str, vocab: DataFrame, max_length:
     )
 
 
-def lm_set(df: DataFrame, ids: str, vocab: DataFrame, label: str = "label", cls: int = 1,
+def lm_set(df: DataFrame, ids: str, vocab: Vocabulary, label: str | None = None, cls: int = 1,
            max_length: int = LM_LENGTH) -> DataFrame:
-    """Language-model training rows of one class: ids, and the same ids as labels."""
+    """Language-model training rows of one class: ids, and the same ids as labels.
+
+    Judged candidates bring their first verdict as the label, other rows ``label``.
+    """
     text = next(c for c in ("gen_0", "text", "gen") if c in df.columns)
-    kept = target_class(df, label, cls)
+    label = label or next(c for c in ("pred_0", "label") if c in df.columns)
+    kept, _ = target_class(df.withColumn(label, F.col(label).cast("int")), label, cls)
     return token_ids(kept, ids, text, vocab, max_length).withColumn("labels", F.col("token_ids"))
 
 
-def cond_set(df: DataFrame, ids: str, vocab: DataFrame, label: str = "pred_0", cls: int = 1,
+def cond_set(df: DataFrame, ids: str, vocab: Vocabulary, label: str = "pred_0", cls: int = 1,
              max_length: int = LM_LENGTH, gen: str = "gen_0") -> DataFrame:
     """Conditional training rows: prompt ids, and candidate ids with padding masked."""
-    kept = target_class(df, label, cls)
+    kept, _ = target_class(df.withColumn(label, F.col(label).cast("int")), label, cls)
     asked = token_ids(kept, ids, "prompt", vocab, max_length)
     wanted = token_ids(kept, ids, gen, vocab, max_length, "labels")
     return asked.join(wanted, ids).withColumn("labels", mask_pad(F.col("labels"), PAD, IGNORED_LABEL))
 
 
-def index_labels(df: DataFrame, col: str, limit: int = 10_000) -> tuple[DataFrame, DataFrame]:
-    """Label ids by sorted distinct value, and the small table behind them.
+def index_labels(df: DataFrame, col: str) -> tuple[DataFrame, DataFrame]:
+    """Label ids by sorted distinct value, and the table behind them; a null label has a null id.
 
-    A floating label means regression and has no ids. Class labels are few; more
-    than ``limit`` values is an error rather than a slow job.
+    A floating label means regression and has no ids.
     """
     if dict(df.dtypes)[col] in ("float", "double"):
         raise ValueError(f"{col} is a regression target")
-    values = [r[0] for r in df.select(col).distinct().limit(limit + 1).collect() if r[0] is not None]
-    if len(values) > limit:
-        raise ValueError(f"{col} has more than {limit} values")
-    dim = df.sparkSession.createDataFrame(
-        [(v, i) for i, v in enumerate(sorted(values))],
-        f"`{col}` {dict(df.dtypes)[col]}, label_id int",
-    )
-    return df.join(F.broadcast(dim), col), dim
+    values = df.select(col).filter(F.col(col).isNotNull()).distinct()
+    dim = numbered(values, [col]).select(col, F.col("rank").cast("int").alias("label_id"))
+    return df.join(dim, col, "left"), dim
 
 
-def group_targets(df: DataFrame, context: str, value: str, order: str,
-                  page_rows: int = 100_000) -> DataFrame:
+def group_targets(df: DataFrame, context: str, value: str, order: str) -> DataFrame:
     """One row per context with its targets in order.
 
-    A context with more than ``page_rows`` targets comes as several rows, its
-    pages, in ascending ``page``: no task ever holds more of one context. Such
-    contexts are few, and their rows are range-partitioned by context and order,
-    so that one context spreads over tasks; a page is one task's share.
+    The targets of a context form one value; ``target_rows`` has no such bound.
     """
     item = F.struct(F.col(order).alias("o"), F.col(value).alias("v"))
-    rows = df.select(F.col(context).alias("context"), item.alias("_item"), F.xxhash64(context).alias("_h"))
-    # Contexts that share a hash with a hot one are paged too, which is harmless.
-    hot = rows.groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > page_rows)
-    hot = hot.select("_h", F.lit(True).alias("_hot"))
-    marked = rows.join(hot, "_h", "left")
-    usual = marked.filter(F.col("_hot").isNull()).withColumn("page", F.lit(0))
-    large = (
-        marked.filter(F.col("_hot")).repartitionByRange(shuffle_width(df.sparkSession), "context", "_item.o")
-        .withColumn("page", F.spark_partition_id())
-    )
-    paged = usual.unionByName(large).groupBy("context", "page").agg(
-        F.array_sort(F.collect_list("_item")).alias("_items"))
-    return paged.select("context", "page", F.transform("_items", lambda x: x["v"]).alias("targets"))
+    grouped = df.groupBy(F.col(context).alias("context")).agg(F.array_sort(F.collect_list(item)).alias("_items"))
+    return grouped.select("context", F.transform("_items", lambda x: x["v"]).alias("targets"))
+
+
+def target_rows(df: DataFrame, context: str, value: str, order: str) -> DataFrame:
+    """``context, ord, target``: the targets of every context, numbered from 0, one row each.
+
+    Rows are range-partitioned by context and order, so that a context of any
+    size spreads over tasks.
+    """
+    rows = df.select(F.col(context).alias("context"), F.col(order).alias("_o"), F.col(value).alias("target"))
+    ranked = numbered(rows, ["context", "_o", "target"])
+    first = ranked.groupBy(F.col("context").alias("_c")).agg(F.min("rank").alias("_first"))
+    placed = ranked.join(first, F.col("context").eqNullSafe(F.col("_c")))
+    return placed.select("context", (F.col("rank") - F.col("_first")).alias("ord"), "target")

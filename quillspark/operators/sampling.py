@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quillspark.operators.ranking import hash_cuts, order_cut
+from quillspark.operators.filters import partition_by_flag
+from quillspark.operators.ranking import hash_cuts, parted
 
 # Defaults of the operators.
 SEED = 42
@@ -15,9 +16,6 @@ HARD_EASY_RATIO = 10
 RERANK_WEIGHT = 0.2
 SPLITS = ("train", "validation", "test")
 
-# Heads up to this size go through one top-n; larger ones through a cut.
-TOP_N_LIMIT = 10_000
-
 
 def _names(cols: str | Sequence[str]) -> list[str]:
     return [cols] if isinstance(cols, str) else list(cols)
@@ -64,29 +62,23 @@ def split_exact(df: DataFrame, ids: str | Sequence[str], ratios: Sequence[float]
 
 
 def head(df: DataFrame, n: int, order_by: str | Sequence[str]) -> DataFrame:
-    """The first n rows of an explicit order."""
-    keys = _names(order_by)
-    if n <= TOP_N_LIMIT:
-        return df.orderBy(*keys).limit(n)
-    return df.filter(order_cut(df, keys, n).upto())
+    """The first n rows of an explicit order of any sortable columns; ties and nulls (first) may occur."""
+    return parted(df, _names(order_by), n)[0]
 
 
 def hard_easy_mix(df: DataFrame, flag: str, order_by: str | Sequence[str],
                   ratio: int = HARD_EASY_RATIO) -> DataFrame:
-    """All flagged rows plus the first ``ratio`` times as many unflagged ones."""
-    hard = df.filter(F.col(flag)).count()
-    cut = order_cut(df.filter(~F.col(flag)), _names(order_by), ratio * hard)
-    return df.filter(F.col(flag) | (~F.col(flag) & cut.upto()))
+    """All flagged rows plus the first ``ratio`` times as many unflagged ones; a null flag is not set."""
+    hard, easy = partition_by_flag(df, flag)
+    return hard.unionByName(parted(easy, _names(order_by), ratio * hard.count())[0])
 
 
 def carve_validation(df: DataFrame, order_by: str | Sequence[str], keep: int = 2,
                      split: str = "split") -> DataFrame:
     """Move all but the last ``keep`` validation rows into train."""
-    keys = _names(order_by)
-    validation = df.filter(F.col(split) == SPLITS[1])
-    cut = order_cut(validation, keys, lambda rows: rows - keep)
-    moved = (F.col(split) == SPLITS[1]) & cut.upto()
-    return df.withColumn(split, F.when(moved, SPLITS[0]).otherwise(F.col(split)))
+    inside = F.coalesce(F.col(split) == SPLITS[1], F.lit(False))
+    moved, kept = parted(df.filter(inside), _names(order_by), lambda rows: rows - keep)
+    return df.filter(~inside).unionByName(moved.withColumn(split, F.lit(SPLITS[0]))).unionByName(kept)
 
 
 def reranked(df: DataFrame, group: str, base: Column, constraint: Column, tie_break: str,

@@ -19,7 +19,8 @@ def _best_matches(pred: pd.Series, ref: pd.Series) -> pd.DataFrame:
 
     def unit(vectors) -> np.ndarray:
         stacked = np.stack(list(vectors)).astype(np.float64)
-        return stacked / np.linalg.norm(stacked, axis=1, keepdims=True)
+        length = np.linalg.norm(stacked, axis=1, keepdims=True)
+        return stacked / np.where(length == 0.0, 1.0, length)  # a zero vector is similar to nothing
 
     rows, cols = [], []
     for p, r in zip(pred, ref):
@@ -46,14 +47,10 @@ def greedy_match(df: DataFrame, pair: str, side: str, position: str, vector: str
         pair, F.col("_block").alias("_p"), F.col("_items").alias("_pred"))
     ref = blocks.filter(F.col(side) == 1).select(
         pair, F.col("_block").alias("_r"), F.col("_items").alias("_ref"))
-    # Each prediction block visits every reference block of its pair.
-    spans = (
-        placed.filter(F.col(side) == 1).groupBy(pair)
-        .agg(F.min("_block").alias("_first"), F.max("_block").alias("_last"))
-    )
+    # Each prediction block visits every reference block of its pair that holds a vector.
+    held = placed.filter(F.col(side) == 1).select(pair, F.col("_block").alias("_r")).distinct()
     grid = (
-        pred.join(spans, pair).withColumn("_r", F.explode(F.sequence("_first", "_last")))
-        .drop("_first", "_last")
+        pred.join(held, pair)
         .join(ref, [pair, "_r"])
         .withColumn("_m", _best_matches(F.col("_pred.v"), F.col("_ref.v")))
     )
@@ -68,6 +65,8 @@ def greedy_match(df: DataFrame, pair: str, side: str, position: str, vector: str
         F.avg(F.when(F.col("side") == 0, F.col("m"))).alias("precision"),
         F.avg(F.when(F.col("side") == 1, F.col("m"))).alias("recall"),
     )
+    # A pair with one side only has no match.
+    scored = placed.select(pair).distinct().join(scored, pair, "left").fillna(0.0, ["precision", "recall"])
     both = F.col("precision") + F.col("recall")
     f1 = F.when(both == 0, F.lit(0.0)).otherwise(2 * F.col("precision") * F.col("recall") / both)
     return scored.withColumn("f1", f1)

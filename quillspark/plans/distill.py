@@ -53,14 +53,14 @@ def train_and_predict(rows: DataFrame, row_id: str) -> DataFrame:
     return held.select(row_id, "label").join(predicted, row_id)
 
 
-def distill(prompts: DataFrame, generator: CandidateFunction, judge_fn: BatchFunction, constraint: str,
+def distill(prompts: DataFrame, generator: CandidateFunction, judge_fn: BatchFunction, question: str,
             prompt_id: str, n_gens: int = 3) -> DataFrame:
     """Accuracy of a classifier that was trained on a judge's verdicts.
 
     Model replies are written once: they are costly and may differ when asked again.
     """
     cands = materialize(generate(prompts, generator, n_gens), "candidates")
-    judged = materialize(verdicts(judge(cands, judge_fn, judge_template(constraint), n_gens)), "verdicts")
+    judged = materialize(verdicts(judge(cands, judge_fn, judge_template(question), n_gens)), "verdicts")
     rows = training_rows(judged).withColumn(
         "row_id", F.concat_ws(":", F.col(prompt_id).cast("string"), "cand_idx"))
     return accuracy(train_and_predict(rows, "row_id"), "pred", "label")

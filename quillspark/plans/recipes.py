@@ -35,11 +35,12 @@ CLICKBAIT = "clickbait"
 
 
 def _keys(df: DataFrame) -> list[str]:
-    return ["row_id"] if "row_id" in df.columns else []
+    """The row's id, which a split needs, and the part it belongs to in a corpus that comes split."""
+    return [c for c in ("row_id", "split") if c in df.columns]
 
 
 def _pick(df: DataFrame, **columns: Column) -> DataFrame:
-    """The wanted columns, and the row's id where it has one: a split needs it."""
+    """The wanted columns, and id and part where the rows have them."""
     return df.select(*_keys(df), *[c.alias(name) for name, c in columns.items()])
 
 
@@ -77,9 +78,9 @@ def spam(df: DataFrame, text: str = "sms") -> DataFrame:
 
 def toxicity_challenge(train: DataFrame, test: DataFrame, test_labels: DataFrame,
                        attribute: str = "toxicity") -> DataFrame:
-    """Train rows plus the test rows whose labels were given (-1 means not)."""
-    column = lb.CHALLENGE_ATTRIBUTES[attribute]
-    labelled = lb.drop_sentinel(jn.join_labels(test, test_labels, "id"), [column])
+    """Train rows plus the test rows whose labels were all given (-1 means not)."""
+    joined = jn.join_labels(test, test_labels, "id")
+    labelled = lb.drop_sentinel(joined, [c for c in lb.CHALLENGE_ATTRIBUTES.values() if c in joined.columns])
     rows = [_pick(df, text=F.col("comment_text"), label=lb.attribute_label(attribute, lb.CHALLENGE_ATTRIBUTES).cast("int"))
             for df in (train, labelled)]
     return fl.union_all(rows)
@@ -111,7 +112,7 @@ def clickbait_names(df: DataFrame, value: str = CLICKBAIT) -> DataFrame:
 
 def urgency(texts: Sequence[DataFrame], levels: DataFrame) -> DataFrame:
     columns = ["choose_one_category", "tweet_id", "tweet_text"]
-    rows = fl.union_all([df.select(*_keys(df), *columns) for df in texts]).dropna()
+    rows = fl.union_all([df.select(*_keys(df), *columns) for df in texts]).dropna(subset=["tweet_id"])
     joined = jn.join_cleaned_id(levels, rows, "tweet_id")
     kept = lb.severity_label(joined, "urgency", NOT_URGENT, URGENT)
     return _pick(kept, text=F.col("tweet_text"), label=F.col("label"))
@@ -185,7 +186,7 @@ def context_questions(*splits: DataFrame, order: str = "id", max_sentences: int
     raw = max_sentences_filter(fl.union_all(splits), "context", max_sentences)
     grouped = group_targets(raw, "context", "question", order)
     return grouped.select(
-        tx.with_instruction(F.col("context"), suffix).alias("prompt"), "page", F.col("targets").alias("target"))
+        tx.with_instruction(F.col("context"), suffix).alias("prompt"), F.col("targets").alias("target"))
 
 
 def max_sentences_filter(df: DataFrame, col: str, n: int = tx.MAX_CONTEXT_SENTENCES) -> DataFrame:
@@ -246,18 +247,23 @@ RECIPES: dict[str, Callable[..., DataFrame]] = {
 
 
 def finish(df: DataFrame, name: str, ids: str | Sequence[str], path: str | None = None,
-           max_points: int | None = None, seed: int = sp.SEED, threshold: float | None = None) -> DataFrame:
-    """Drop nulls, binarize, cap by seed, split exactly, and write when a path is given.
+           max_points: int | None = None, seed: int = sp.SEED, threshold: float | None = 0.0) -> DataFrame:
+    """Drop nulls, binarize constraint labels, cap by seed, split exactly, and write when a path is given.
+
+    A corpus that comes split keeps its parts. ``threshold=None`` leaves labels as they are.
 
     The recipe's rows are written once: sample and split then count over the id
     column of that table instead of running the recipe again for every pass.
     """
+    known = route(name)
+    if known.presplit and "split" not in df.columns:
+        raise ValueError(f"{name} comes split, but its rows have no column named split")
     rows = materialize(df.dropna(), "recipe")
-    if threshold is not None and "label" in rows.columns:
+    if threshold is not None and known.kind == "constraint" and "label" in rows.columns:
         rows = rows.withColumn("label", lb.binarize(F.col("label"), threshold))
     if max_points is not None:
         rows = sp.seeded_sample(rows, ids, max_points, seed)
-    if not route(name).presplit:
+    if not known.presplit:
         rows = sp.split_exact(rows, ids, seed=seed)
     if path is not None:
         write_splits(rows, path)

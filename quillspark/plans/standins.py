@@ -105,6 +105,20 @@ def news(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.concat(front, "text").alias("article"), F.col("source").alias("highlights"))
 
 
+# Questions and an instruction of the queries.
+QUESTIONS = {
+    "sentiment": "Would a reader come away cheered?",
+    "humor": "Is somebody joking here?",
+    "formality": "Could this stand in a contract?",
+    "toxicity": "Should a moderator look at this?",
+}
+TOPIC_INSTRUCTION = "[INST]Stay with the news of the day"
+
+
+def wording(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(QUESTIONS.items()), "constraint string, question string")
+
+
 def demos(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(
         DEMONSTRATIONS, "constraint string, text string, score int, explanation string, author string")

@@ -162,7 +162,7 @@ nv AS (SELECT count(DISTINCT w) AS nv FROM c)"""
 FLUENCY_SQL = BIGRAM_SQL + f""",
 alltok AS (SELECT doc_id, {st.words_lower_sql('text')} AS t FROM documents),
 big AS (SELECT doc_id, unnest(list_concat(['<s>'], t[1:len(t) - 1])) AS v, unnest(t) AS w FROM alltok WHERE len(t) > 0),
-flu AS (SELECT doc_id, avg(ln((coalesce(c.n, 0) + 1)::DOUBLE / (coalesce(cv.n_v, 0) + nv + 1)::DOUBLE)) AS fluency
+flu AS (SELECT doc_id,  avg(ln((coalesce(c.n, 0) + 1)::DOUBLE / (coalesce(cv.n_v, 0) + nv + 1)::DOUBLE)) AS fluency
   FROM big LEFT JOIN c USING (v, w) LEFT JOIN cv USING (v), nv GROUP BY doc_id)"""
 
 
@@ -213,7 +213,7 @@ CONSTRAINT_OF_LANG = {"en": "sentiment", "de": "humor", "fr": "formality", "es":
 
 def _template_sql(score: bool, cot: bool) -> str:
     whens = " ".join(
-        f"WHEN {_sql(lang)} THEN {_sql(pr.judge_template(c, score, cot))}" for lang, c in CONSTRAINT_OF_LANG.items())
+        f"WHEN {_sql(lang)} THEN {_sql(pr.judge_template(st.QUESTIONS[c], score, cot))}" for lang, c in CONSTRAINT_OF_LANG.items())
     return f"CASE lang {whens} END"
 
 
@@ -223,9 +223,10 @@ SELECT doc_id, replace({_template_sql(False, False)}, '[text]', text) AS verdict
 def zeroshot_judge_prompt(spark: SparkSession, sf: str) -> DataFrame:
     names = F.create_map(*[F.lit(part) for pair in CONSTRAINT_OF_LANG.items() for part in pair])
     constraint = F.element_at(names, F.col("lang"))
-    return table(spark, sf, "documents").select(
-        "doc_id", pr.judge_prompt_by(F.col("text"), constraint).alias("verdict_prompt"),
-        pr.judge_prompt_by(F.col("text"), constraint, score=True, cot=True).alias("score_prompt"))
+    docs = table(spark, sf, "documents").select("doc_id", "text", constraint.alias("constraint"))
+    asked = pr.with_judge_prompt(docs, st.wording(spark), "text", out="verdict_prompt")
+    both = pr.with_judge_prompt(asked, st.wording(spark), "text", out="score_prompt", score=True, cot=True)
+    return both.select("doc_id", "verdict_prompt", "score_prompt")
 
 
 DEMO_ROWS_SQL = ", ".join(
@@ -233,7 +234,7 @@ DEMO_ROWS_SQL = ", ".join(
 
 
 def _fewshot_sql(constraint: str, k: int, score: bool, cot: bool, author: str | None = None) -> str:
-    question = _sql(pr.judge_template(constraint, score, cot))
+    question = _sql(pr.judge_template(st.QUESTIONS[constraint], score, cot))
     target = "score::VARCHAR" if score else "CASE WHEN score > 6 THEN 'True' ELSE 'False' END"
     reply = f"explanation || ' | ' || {target}" if cot else target
     of_author = f"AND trim(author) = {_sql(author)}" if author else ""
@@ -251,12 +252,12 @@ FROM documents d, a, b""")
 def fewshot_judge_prompt(spark: SparkSession, sf: str) -> DataFrame:
     demos, text = st.demos(spark), F.col("text")
     return table(spark, sf, "documents").select(
-        "doc_id", pr.fewshot_judge_prompt(text, demos, "sentiment", k=3).alias("verdict_prompt"),
-        pr.fewshot_judge_prompt(text, demos, "sentiment", k=2, author="second", score=True, cot=True)
-        .alias("cot_prompt"))
+        "doc_id", pr.fewshot_judge_prompt(text, demos, "sentiment", st.QUESTIONS["sentiment"], k=3).alias("verdict_prompt"),
+        pr.fewshot_judge_prompt(text, demos, "sentiment", st.QUESTIONS["sentiment"], k=2, author="second",
+                                          score=True, cot=True).alias("cot_prompt"))
 
 
-TOPIC_TAIL = pr.GENERATION_INSTRUCTIONS["topic"] + cs.StructRange(lower=5, upper=9).instruction() + pr.END_INSTRUCTION
+TOPIC_TAIL = st.TOPIC_INSTRUCTION + cs.StructRange(lower=5, upper=9).instruction() + pr.END_INSTRUCTION
 
 
 @query(f"""
@@ -268,7 +269,7 @@ def zeroshot_gen_prompt(spark: SparkSession, sf: str) -> DataFrame:
     text = F.concat("text", F.when(F.col("role") == "assistant", "[INST]Reply").otherwise(""))
     struct = cs.StructRange(lower=5, upper=9).instruction()
     return table(spark, sf, "conversations").select(
-        "conv_id", "turn", pr.generation_prompt(text, "topic", struct).alias("topic_prompt"),
+        "conv_id", "turn", pr.generation_prompt(text, st.TOPIC_INSTRUCTION, struct).alias("topic_prompt"),
         pr.generation_prompt(text).alias("continue_prompt"))
 
 
@@ -350,18 +351,20 @@ def length_judge(questions: Sequence[str]) -> list[str]:
 
 @query("""
 WITH c AS (SELECT doc_id, text AS prompt, unnest([0, 1, 2])::INTEGER AS cand_idx FROM documents)
-SELECT doc_id, cand_idx, prompt, array_to_string(string_split(prompt, ' ')[1 + cand_idx:], ' ') AS gen FROM c
-WHERE len(string_split(prompt, ' ')) > cand_idx""")
+SELECT doc_id, cand_idx, prompt, CASE WHEN len(string_split(prompt, ' ')) > cand_idx
+  THEN array_to_string(string_split(prompt, ' ')[1 + cand_idx:], ' ') END AS gen,
+  len(string_split(prompt, ' ')) <= cand_idx AS failed FROM c""")
 def generate_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidates, and which of them failed."""
     prompts = table(spark, sf, "documents").select("doc_id", F.col("text").alias("prompt"))
-    return op.generate(prompts, echo_generator, 3).select("doc_id", "cand_idx", "prompt", "gen")
+    made = op.generate(prompts, echo_generator, 3, keep_failed=True)
+    return made.select("doc_id", "cand_idx", "prompt", "gen", F.col("gen").isNull().alias("failed"))
 
 
 @query(with_tables(st.CAND, f"""
-, q AS (SELECT *, replace({_sql(pr.judge_template('toxicity'))}, '[text]', prompt || ' ' || gen) AS q FROM cand_long
-  WHERE cand_idx < 2)
+, q AS (SELECT *, replace({_sql(pr.judge_template(st.QUESTIONS['toxicity']))}, '[text]', prompt || ' ' || gen) AS q FROM cand_long)
 SELECT doc_id, cand_idx, CASE WHEN len(string_split(q, ' ')) % 2 = 1 THEN 'True' WHEN q IS NOT NULL THEN 'I say false' END
   AS response FROM q"""))
 def judge_batch(spark: SparkSession, sf: str) -> DataFrame:
-    judged = op.judge(st.cand_long(spark, sf), length_judge, pr.judge_template("toxicity"), n=2)
+    judged = op.judge(st.cand_long(spark, sf), length_judge, pr.judge_template(st.QUESTIONS["toxicity"]), n=10)
     return judged.select("doc_id", "cand_idx", "response")

@@ -166,21 +166,29 @@ def challenge_mix(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""
-SELECT text || '{recipes.QUESTION_SUFFIX}' AS prompt, 0 AS page, count(*) AS n_targets,
+SELECT text || '{recipes.QUESTION_SUFFIX}' AS prompt, count(*) AS n_targets,
   string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS targets
 FROM documents WHERE len(string_split(text, '.')) <= 10 GROUP BY text""")
 def group_context(spark: SparkSession, sf: str) -> DataFrame:
     raw = table(spark, sf, "documents").select(
         F.col("text").alias("context"), F.col("doc_id").cast("string").alias("question"), F.col("doc_id").alias("id"))
     grouped = recipes.context_questions(raw)
-    return grouped.select("prompt", "page", F.size("target").cast("bigint").alias("n_targets"),
+    return grouped.select("prompt", F.size("target").cast("bigint").alias("n_targets"),
                           F.array_join("target", ",").alias("targets"))
 
 
+@query("""
+SELECT lang AS context, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS ord, source AS target
+FROM documents""")
+def group_context_hot(spark: SparkSession, sf: str) -> DataFrame:
+    """The targets of a few large contexts, numbered, one row each."""
+    return rs.target_rows(table(spark, sf, "documents"), "lang", "source", "doc_id")
+
+
 @query(with_tables(st.LABELLED, "SELECT doc_id, text, toxic FROM labelled WHERE toxic = 1"))
 def target_class_filter(spark: SparkSession, sf: str) -> DataFrame:
     rows = st.labelled(spark, sf).select("doc_id", "text", "toxic")
-    return fl.target_class(rows, "toxic", 1, warn_below=0.05)
+    return fl.target_class(rows, "toxic", 1)[0]
 
 
 @query("SELECT doc_id, array_to_string(string_split(text, ' ')[1:15], ' ') AS text FROM documents")
@@ -213,8 +221,7 @@ def prefix_expand(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""
 WITH counts AS (SELECT token, count(*) AS n FROM (SELECT unnest({st.words_lower_sql('text')}) AS token FROM documents)
   GROUP BY token),
-vocab AS (SELECT token, row_number() OVER (ORDER BY n DESC, token) + 1 AS id FROM counts
-  QUALIFY row_number() OVER (ORDER BY n DESC, token) <= 2000),
+vocab AS (SELECT token, row_number() OVER (ORDER BY n DESC, token) + 1 AS id FROM counts),
 lab AS (SELECT doc_id, text FROM documents JOIN labels USING (doc_id) WHERE quality = 1),
 pos AS (SELECT doc_id, generate_subscripts(t, 1) AS pos, unnest(t) AS token
   FROM (SELECT doc_id, {st.words_lower_sql('text')}[1:80] AS t FROM lab)),
@@ -225,13 +232,34 @@ SELECT doc_id, array_to_string(list_concat(ids, list_transform(range(80 - len(id
 FROM padded""")
 def token_ids_padded(spark: SparkSession, sf: str) -> DataFrame:
     """The language-model training set of good documents, and the same labels with padding masked."""
-    vocab = rs.vocabulary(st.texts(spark, sf), "text", 2000)
+    vocab = rs.vocabulary(st.texts(spark, sf), "text")
     rows = st.labelled(spark, sf).select("doc_id", "text", F.col("quality").alias("label"))
     ids = rs.lm_set(rows, "doc_id", vocab)
     return ids.select("doc_id", F.array_join("token_ids", " ").alias("token_ids"),
                       F.array_join(tx.mask_pad(F.col("labels"), rs.PAD), " ").alias("masked"))
 
 
+@query(with_tables(st.JUDGED, f"""
+, counts AS (SELECT token, count(*) AS n FROM (SELECT unnest({st.words_lower_sql('text')}) AS token FROM documents)
+  GROUP BY token),
+vocab AS (SELECT token, row_number() OVER (ORDER BY n DESC, token) + 1 AS id FROM counts),
+won AS (SELECT doc_id, prompt, gen FROM verdicts WHERE cand_idx = 0 AND pred),
+pos AS (SELECT doc_id, side, generate_subscripts(t, 1) AS pos, unnest(t) AS token FROM (
+  SELECT doc_id, 'p' AS side, {st.words_lower_sql('prompt')}[1:80] AS t FROM won
+  UNION ALL SELECT doc_id, 'g', {st.words_lower_sql('gen')}[1:80] FROM won)),
+ids AS (SELECT doc_id, side, list(coalesce(id, 1) ORDER BY pos) AS ids FROM pos LEFT JOIN vocab USING (token) GROUP BY ALL),
+both_ids AS (SELECT won.doc_id, coalesce(p.ids, []) AS p, coalesce(g.ids, []) AS g FROM won
+  LEFT JOIN ids p ON p.doc_id = won.doc_id AND p.side = 'p' LEFT JOIN ids g ON g.doc_id = won.doc_id AND g.side = 'g')
+SELECT doc_id, array_to_string(list_concat(p, list_transform(range(80 - len(p)), lambda x: 0)), ' ') AS token_ids,
+  array_to_string(list_concat(g, list_transform(range(80 - len(g)), lambda x: -100)), ' ') AS labels FROM both_ids"""))
+def cond_set_padded(spark: SparkSession, sf: str) -> DataFrame:
+    """The conditional training set of first candidates that passed: prompt ids, candidate ids with padding masked."""
+    vocab = rs.vocabulary(st.texts(spark, sf), "text")
+    judged = st.judged_wide(spark, sf).select("doc_id", "prompt", "gen_0", F.col("pred_0").cast("int").alias("pred_0"))
+    ids = rs.cond_set(judged, "doc_id", vocab)
+    return ids.select("doc_id", F.array_join("token_ids", " ").alias("token_ids"), F.array_join("labels", " ").alias("labels"))
+
+
 @query(with_tables(st.JUDGED, "SELECT doc_id, cand_idx, coalesce(pred::VARCHAR, 'none') AS verdict FROM verdicts"))
 def parse_verdict(spark: SparkSession, sf: str) -> DataFrame:
     verdict = parse.parse_verdict(F.col("response")).cast("string")

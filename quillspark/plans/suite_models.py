@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillspark.operators import classify as cl, metrics as mt, prompts as pr
+from quillspark.operators import classify as cl, metrics as mt, opaque as op, prompts as pr
 from quillspark.operators.sampling import split_exact
 from quillspark.plans import distill as ds, standins as st
 from quillspark.plans.registry import query
@@ -79,14 +82,14 @@ def rouge_n(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(with_tables(st.CAND, f"""
-, q AS (SELECT *, replace('{pr.judge_template('humor').replace("'", "''")}', '[text]', prompt || ' ' || gen) AS q
+, q AS (SELECT *, replace('{pr.judge_template(st.QUESTIONS['humor']).replace("'", "''")}', '[text]', prompt || ' ' || gen) AS q
   FROM cand_long),
 j AS (SELECT cand_idx, CASE WHEN q IS NOT NULL THEN len(string_split(q, ' ')) % 2 END AS pred FROM q)
 SELECT cand_idx, round(avg(CASE WHEN pred = 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS score,
   count(*) - count(pred) AS unread, count(*) AS n_samples FROM j GROUP BY cand_idx"""))
 def judged_eval(spark: SparkSession, sf: str) -> DataFrame:
     """Every candidate of every document judged against the undesired class."""
-    report = ds.judged_eval(st.cand_long(spark, sf), length_judge, pr.judge_template("humor"), n=3, desired_class=0)
+    report = ds.judged_eval(st.cand_long(spark, sf), length_judge, pr.judge_template(st.QUESTIONS["humor"]), n=3, desired_class=0)
     return report.withColumn("score", F.round("score", 6))
 
 
@@ -143,11 +146,72 @@ def nb_train(spark: SparkSession, sf: str) -> DataFrame:
                         F.round(F.col("ll")[0], 6).alias("ll_0"), F.round(F.col("ll")[1], 6).alias("ll_1"))
 
 
-@query()
+VALIDATED_SQL = """
+SELECT doc_id, toxic AS label, true AS beats_prior FROM parts WHERE split = 'validation'"""
+
+
+@query(with_tables(st.SPLIT_TRAIN, VALIDATED_SQL))
 def lr_train(spark: SparkSession, sf: str) -> DataFrame:
+    """Every validation row gets a prediction, and the fit has a smaller training loss than the class shares alone."""
     rows = _split(spark, sf)
-    model = cl.fit_logistic(_part(rows, "train"), features=1 << 16)
-    return model.transform(_part(rows, "validation")).select("doc_id", "label", "prediction")
+    model = cl.fit_logistic(_part(rows, "train"))
+    right = F.greatest(vector_to_array("probability")[F.col("label")], F.lit(1e-12))
+    loss = model.transform(_part(rows, "train")).agg(
+        F.avg(-F.log(right)).alias("loss"), F.avg(F.col("label").cast("double")).alias("share"))
+    prior = -F.col("share") * F.log("share") - (1 - F.col("share")) * F.log(1 - F.col("share"))
+    better = loss.select((F.col("loss") < prior).alias("beats_prior"))
+    found = model.transform(_part(rows, "validation")).filter(F.col("prediction").isin(0.0, 1.0))
+    return found.select("doc_id", "label").join(F.broadcast(better))  # one row
+
+
+LENGTH_SQL = """
+SELECT doc_id, round(ln(1 + n_chars), 6) AS label, true AS beats_mean FROM parts WHERE split = 'validation'"""
+
+
+@query(with_tables(st.SPLIT_TRAIN, LENGTH_SQL))
+def linear_train(spark: SparkSession, sf: str) -> DataFrame:
+    """A label that is a number: the fit has a smaller squared error on the training part than the mean."""
+    rows = split_exact(st.labelled(spark, sf), "doc_id").select(
+        "doc_id", "text", F.log(1 + F.col("n_chars")).alias("label"), "split")
+    model = cl.fit_linear(_part(rows, "train"))
+    error = mt.mse(model.transform(_part(rows, "train")), "prediction", "label")
+    spread = _part(rows, "train").agg(F.var_pop("label").alias("spread"))
+    better = error.join(F.broadcast(spread)).select((F.col("mse") < F.col("spread")).alias("beats_mean"))
+    found = model.transform(_part(rows, "validation")).filter(F.col("prediction").isNotNull())
+    return found.select("doc_id", F.round("label", 6).alias("label")).join(F.broadcast(better))
+
+
+def keyword_classifier(texts: Sequence[str]) -> list[tuple[str, float]]:
+    """Stands in for an outside classifier: names a label and how sure it is."""
+    return [("1", 0.75) if len(t.split(" ")) % 2 else ("0", 0.5) for t in texts]
+
+
+@query(with_tables(st.CAND, """
+, t AS (SELECT doc_id, cand_idx, len(string_split(gen, ' ')) % 2 AS odd FROM cand_long WHERE gen IS NOT NULL)
+SELECT doc_id, cand_idx, odd::VARCHAR AS label, CASE WHEN odd = 1 THEN 0.75 ELSE 0.5 END::DOUBLE AS score FROM t"""))
+def external_target_score(spark: SparkSession, sf: str) -> DataFrame:
+    """The score of the wanted label from a classifier that returns a label and its score."""
+    rows = st.cand_long(spark, sf).filter(F.col("gen").isNotNull())
+    named = op.label_text(rows, keyword_classifier, F.col("gen"))
+    return named.select("doc_id", "cand_idx", "label", cl.target_score(F.col("label"), F.col("score")).alias("score"))
+
+
+@query(with_tables(st.CAND, """
+, v AS (SELECT doc_id, cand_idx, len(string_split(gen, ' '))::DOUBLE AS n FROM cand_long WHERE gen IS NOT NULL)
+SELECT doc_id, cand_idx, 'words' AS metric, n AS value FROM v UNION ALL
+SELECT doc_id, cand_idx, 'halved', n / 2 FROM v"""))
+def metrics_run(spark: SparkSession, sf: str) -> DataFrame:
+    """A run over the long metrics table: a finished metric is not worked out again, the other one is added."""
+    rows = st.cand_long(spark, sf).filter(F.col("gen").isNotNull()).select("doc_id", "cand_idx", "gen")
+    keys = ["doc_id", "cand_idx"]
+    size = F.size(F.split("gen", " ")).cast("double")
+    half = mt.long_metrics(rows.filter("doc_id % 2 = 0").select(*keys, size.alias("words")), keys, ["words"])
+    first = mt.metric_run(rows, half, keys, {"words": lambda df: df.select(*keys, size.alias("value"))})
+    return mt.metric_run(rows, first, keys, {
+        "words": lambda df: df.select(*keys, F.lit(-1.0).alias("value")),  # nothing is left to do
+        "halved": lambda df: op.score_text(df, lambda texts: [len(t.split(" ")) / 2 for t in texts],
+                                           F.col("gen"), "value").select(*keys, "value"),
+    })
 
 
 @query(with_tables(NB_SQL + ", held AS (SELECT doc_id, text FROM parts WHERE split = 'test'),"
@@ -186,7 +250,7 @@ def toxicity_score(spark: SparkSession, sf: str) -> DataFrame:
 WITH c AS (SELECT doc_id, text AS prompt, unnest([0, 1, 2])::INTEGER AS cand_idx FROM documents),
 g AS (SELECT doc_id || ':' || cand_idx AS row_id, prompt || ' ' || array_to_string(string_split(prompt, ' ')[1 + cand_idx:], ' ')
   AS text FROM c WHERE len(string_split(prompt, ' ')) > cand_idx),
-j AS (SELECT row_id, text, len(string_split(replace('{pr.judge_template('toxicity').replace("'", "''")}', '[text]', text), ' ')) % 2
+j AS (SELECT row_id, text, len(string_split(replace('{pr.judge_template(st.QUESTIONS['toxicity']).replace("'", "''")}', '[text]', text), ' ')) % 2
   AS label FROM g),
 r AS (SELECT *, row_number() OVER (ORDER BY md5(row_id || ':42'), row_id) AS rn, count(*) OVER () AS n FROM j),
 parts AS (SELECT *, CASE WHEN rn <= floor(n * 0.7::DOUBLE) THEN 'train'
@@ -196,8 +260,8 @@ held AS (SELECT row_id, text FROM parts WHERE split = 'validation'),
 {_nb_scores_sql('held', 'row_id')}
 SELECT round(avg((o.label = p.label)::INTEGER::DOUBLE), 6) AS accuracy, count(*) AS n_samples
 FROM nb_out o JOIN parts p USING (row_id)""")
-def distill(spark: SparkSession, sf: str) -> DataFrame:
+def distill_pipeline(spark: SparkSession, sf: str) -> DataFrame:
     """Prompts, candidates, verdicts, training rows, classifier, evaluation."""
     prompts = table(spark, sf, "documents").select("doc_id", F.col("text").alias("prompt"))
-    report = ds.distill(prompts, echo_generator, length_judge, "toxicity", "doc_id")
+    report = ds.distill(prompts, echo_generator, length_judge, st.QUESTIONS["toxicity"], "doc_id")
     return report.select(F.round("accuracy", 6).alias("accuracy"), "n_samples")

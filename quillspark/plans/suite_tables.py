@@ -59,8 +59,15 @@ SELECT doc_id AS id, text, lang AS topic FROM documents UNION ALL
 SELECT item_id, text, 'benchmark' FROM benchmark UNION ALL
 SELECT conv_id, text, NULL FROM conversations""")
 def union_splits(spark: SparkSession, sf: str) -> DataFrame:
-    """Sources with differing columns; a missing one is null."""
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("topic"))
+    """Sources with differing columns, one of them several files; a missing column is null."""
+    columns = "id bigint, text string, topic string"
+    paths = []
+    for part, chosen in (("a", F.col("doc_id") % 2 == 0), ("b", F.col("doc_id") % 2 == 1)):
+        paths.append(fresh_path(spark, f"documents-{part}"))
+        rows = table(spark, sf, "documents").filter(chosen).select(
+            F.col("doc_id").alias("id"), "text", F.col("lang").alias("topic"), F.lit(part).alias("part"))
+        wr.write_splits(rows, paths[-1], partition_by=["part"])
+    docs = rd.read_many(spark, paths, [columns, columns], ["id", "text", "topic"])
     items = table(spark, sf, "benchmark").select(
         F.lit("benchmark").alias("topic"), F.col("item_id").alias("id"), "text")
     turns = table(spark, sf, "conversations").select("text", F.col("conv_id").alias("id"))
@@ -147,14 +154,14 @@ def quoted_id_join(spark: SparkSession, sf: str) -> DataFrame:
 , picked AS (
   SELECT c.claim, list_filter([k.abstract[1], k.abstract[3]], lambda s: s IS NOT NULL) AS s
   FROM claims c JOIN corpus k ON c.evidence_doc_id = k.doc_id::VARCHAR WHERE c.evidence_label = 'CONTRADICT')
-SELECT DISTINCT '{jn.EVIDENCE_MARKER}' || trim(array_to_string(s, ' '), {st.SPACE}) || chr(10) || 'Claim: ' || claim
+SELECT DISTINCT '{jn.EVIDENCE_MARKER}' || trim(array_to_string(s, ' '), {st.SPACE}) || '{jn.CLAIM_MARKER}' || claim
   AS prompt FROM picked"""))
 def evidence_join(spark: SparkSession, sf: str) -> DataFrame:
     return recipes.claims_with_sentences([st.claims(spark, sf)], st.corpus(spark, sf))
 
 
 @query(with_tables(st.LABELLED, f"""
-SELECT DISTINCT '{jn.EVIDENCE_MARKER}' || p.html || chr(10) || 'Claim: ' || d.text || '{jn.EVIDENCE_SUFFIX}' AS prompt
+SELECT DISTINCT '{jn.EVIDENCE_MARKER}' || p.html || '{jn.CLAIM_MARKER}' || d.text || '{jn.EVIDENCE_SUFFIX}' AS prompt
 FROM labelled d JOIN pages p ON p.page_id = d.doc_id WHERE d.quality = 1"""))
 def evidence_prompts(spark: SparkSession, sf: str) -> DataFrame:
     claims = st.labelled(spark, sf).select(
@@ -258,12 +265,11 @@ def rerank_top1(spark: SparkSession, sf: str) -> DataFrame:
 , raw AS (
   SELECT doc_id AS row_id, text, (NOT (quality = 1 AND toxic = 0))::INTEGER AS label FROM labelled
   WHERE NOT (quality = 1 AND toxic = 1)),
-capped AS (SELECT * FROM raw ORDER BY md5(row_id || ':42'), row_id LIMIT 300),
-r AS (SELECT *, row_number() OVER (ORDER BY md5(row_id || ':42'), row_id) AS rn, count(*) OVER () AS n FROM capped)
+r AS (SELECT *, row_number() OVER (ORDER BY md5(row_id || ':42'), row_id) AS rn, count(*) OVER () AS n FROM raw)
 SELECT row_id, text, label, CASE WHEN rn <= floor(n * 0.7::DOUBLE) THEN 'train'
   WHEN rn <= floor(n * 0.7::DOUBLE) + floor(n * 0.15::DOUBLE) THEN 'validation' ELSE 'test' END AS split FROM r"""))
 def recipe_constraint(spark: SparkSession, sf: str) -> DataFrame:
-    """A constraint corpus end to end: files, join, levels, nulls, cap by seed, exact split."""
+    """A constraint corpus end to end: files, join, levels, nulls, exact split."""
     quoted = F.concat(F.lit("'"), F.col("doc_id").cast("string"), F.lit("'")).alias("tweet_id")
     docs = table(spark, sf, "documents").select(
         F.col("doc_id").alias("row_id"), F.col("source").alias("choose_one_category"), quoted,
@@ -273,7 +279,54 @@ def recipe_constraint(spark: SparkSession, sf: str) -> DataFrame:
         .when((F.col("quality") == 0) & (F.col("toxic") == 0), recipes.URGENT[0])
         .when(F.col("quality") == 0, recipes.URGENT[1]).otherwise("unclear")).alias("urgency"))
     raw = recipes.RECIPES["urgency"]([docs], levels)
-    return recipes.finish(raw, "urgency", "row_id", max_points=300, threshold=0.0)
+    return recipes.finish(raw, "urgency", "row_id")
+
+
+@query("""
+SELECT doc_id AS row_id, text AS prompt, source AS target,
+  CASE lang WHEN 'en' THEN 'train' WHEN 'fr' THEN 'validation' ELSE 'test' END AS split FROM documents""")
+def recipe_presplit(spark: SparkSession, sf: str) -> DataFrame:
+    """A corpus that comes split, written as it is and read back."""
+    part = F.when(F.col("lang") == "en", "train").when(F.col("lang") == "fr", "validation").otherwise("test")
+    raw = table(spark, sf, "documents").select(
+        F.col("doc_id").alias("row_id"), F.col("text").alias("document"), F.col("source").alias("summary"),
+        part.alias("split"))
+    path = fresh_path(spark, "presplit")
+    recipes.finish(recipes.RECIPES["gigaword"](raw), "gigaword", "row_id", path=path)
+    return rd.read_csv(spark, path, "row_id bigint, prompt string, target string, split string")
+
+
+@query("""
+SELECT 'weather' AS constraint_type, 'constraint' AS kind, doc_id, text, lang AS label FROM documents WHERE lang = 'en'
+UNION ALL SELECT NULL, 'task', doc_id, text, lang FROM documents WHERE lang <> 'en'""")
+def catalog_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Local files find their kind by folder and path markers; one is comma-, the other tab-separated."""
+    root = fresh_path(spark, "catalog")
+    docs = table(spark, sf, "documents").select("doc_id", "text", F.col("lang").alias("label"))
+    paths = [(f"{root}/weather/own.csv", ",", F.col("label") == "en"), (f"{root}/roc-stories/own_too.csv", "\t", F.col("label") != "en")]
+    catalog, out = cat.Catalog(spark), []
+    for path, sep, chosen in paths:
+        docs.filter(chosen).write.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"').option(
+            "ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+        found = catalog.register_file(path, "doc_id bigint, text string, label string", sep)
+        out.append(catalog.load(found.name).select(
+            F.lit(found.constraint_type).cast("string").alias("constraint_type"), F.lit(found.kind).alias("kind"),
+            "doc_id", "text", "label"))
+    return fl.union_all(out)
+
+
+@query("""
+WITH r AS (SELECT doc_id, n_chars % 7 / 2.0::DOUBLE AS k, nullif(lang, 'es') AS l FROM documents),
+a AS (SELECT 'k' AS "order", k, NULL AS l FROM r ORDER BY k LIMIT 40),
+b AS (SELECT 'l', NULL, l FROM r ORDER BY l NULLS FIRST LIMIT 90)
+SELECT "order", k, l, count(*) AS n FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY ALL""")
+def head_ties(spark: SparkSession, sf: str) -> DataFrame:
+    """Heads by a repeated number, and by a text that is often null."""
+    rows = table(spark, sf, "documents").select(
+        "doc_id", (F.col("n_chars") % 7 / 2.0).alias("k"), F.nullif("lang", F.lit("es")).alias("l"))
+    by_number = sp.head(rows, 40, "k").select(F.lit("k").alias("order"), "k", F.lit(None).cast("string").alias("l"))
+    by_text = sp.head(rows, 90, "l").select(F.lit("l").alias("order"), F.lit(None).cast("double").alias("k"), "l")
+    return by_number.unionByName(by_text).groupBy("order", "k", "l").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(with_tables(st.STRIPPED, f"""

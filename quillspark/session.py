@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +23,9 @@ RUNTIME_SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+# Paths given out by ``fresh_path``, in order.
+_written: list[str] = []
+
 
 def configure(spark: SparkSession) -> SparkSession:
     for key, value in RUNTIME_SETTINGS.items():
@@ -57,10 +63,10 @@ def shuffle_width(spark: SparkSession) -> int:
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can see, named by ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to a temporary folder.
+    Only a session that runs in one process may fall back to a temporary folder.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder is None and spark.sparkContext.master.startswith("local"):
+    if folder is None and re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         folder = tempfile.mkdtemp(prefix="quillspark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     if folder is None:
@@ -69,7 +75,33 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def release(spark: SparkSession, since: int = 0) -> int:
+    """Delete what this process wrote to the shared folder from number ``since`` on; how much that was.
+
+    Results that still read these tables can't be used any more.
+    """
+    paths = _written[since:]
+    del _written[since:]
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    return len(paths)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside are deleted at the end."""
+    since = len(_written)
+    try:
+        yield
+    finally:
+        release(spark, since)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -8,6 +8,8 @@ from typing import Optional
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from quillspark.sources.readers import read_csv
+
 
 @dataclass(frozen=True)
 class Dataset:
@@ -44,6 +46,9 @@ DATASETS = {
     ]
 }
 
+# What marks the path of a task corpus.
+TASK_PATH_MARKERS = ("dexperts", "writing-prompts", "factuality-prompts", "roc-stories")
+
 Reader = Callable[[SparkSession, str], DataFrame]
 
 
@@ -53,6 +58,17 @@ def route(name: str) -> Dataset:
     return DATASETS[name]
 
 
+def route_path(path: str) -> Dataset:
+    """A file's dataset: a task if a marker is in its path, else constraint data of its folder's name."""
+    *folders, file = path.rstrip("/").split("/")
+    name = file.removesuffix(".csv")
+    if any(marker in path for marker in TASK_PATH_MARKERS):
+        return Dataset(name, "task")
+    if not folders:
+        raise ValueError(f"{path!r} has no folder to name its constraint")
+    return Dataset(name, "constraint", folders[-1])
+
+
 def route_column(name: Column, what: str) -> Column:
     """The same for a column of names: kind, constraint_type or presplit; null if unknown."""
     known = [d for d in DATASETS.values() if getattr(d, what) is not None]
@@ -62,17 +78,32 @@ def route_column(name: Column, what: str) -> Column:
 
 @dataclass
 class Catalog:
-    """Readers by dataset name; a reader gets the session and the split to read."""
+    """Readers by dataset name; a reader gets the session and the split to read.
+
+    A corpus outside the known names is registered with its own ``Dataset``, a file by its path.
+    """
 
     spark: SparkSession
     readers: dict[str, Reader] = field(default_factory=dict)
+    own: dict[str, Dataset] = field(default_factory=dict)
 
-    def register(self, name: str, reader: Reader) -> None:
-        route(name)
+    def register(self, name: str, reader: Reader, dataset: Optional[Dataset] = None) -> None:
+        if dataset is not None:
+            self.own[name] = dataset
+        self.route(name)
         self.readers[name] = reader
 
+    def register_file(self, path: str, schema: str, sep: str = ",") -> Dataset:
+        """A delimited file by its path: folder and markers say what it is."""
+        dataset = route_path(path)
+        self.register(dataset.name, lambda session, split: read_csv(session, path, schema, sep), dataset)
+        return dataset
+
+    def route(self, name: str) -> Dataset:
+        return self.own.get(name) or route(name)
+
     def load(self, name: str, split: str = "train") -> DataFrame:
-        route(name)
+        self.route(name)
         if name not in self.readers:
             raise ValueError(f"no reader registered for {name!r}")
         return self.readers[name](self.spark, split)
