@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from quillspark.session import configure, materialize, shuffle_width
+from quillspark.session import configure, fresh_path, materialize, shuffle_width
 from quillspark.sources.readers import spread
 
 # Rows and bytes that one Arrow batch may hold: what a Python worker keeps in memory at once.
@@ -215,6 +215,13 @@ def id_lists(ids: np.ndarray, counts: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """As ``materialize``, for tables that hold text: written with the denser codec."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """Adds ``_k1, _k2``: the id, and a hash of id and text. Only equal rows share both; neither is null."""
     return docs.withColumns({

@@ -4,7 +4,8 @@ A window is ``window`` consecutive words of one document. Its minimiser is the s
 ``mer``-word runs in it, so equal windows have equal minimisers. Consecutive windows with one
 minimiser form a super-k-mer: its words travel once, as one packed string, to the bucket of
 the minimiser, where all windows of the bucket are sorted and equal neighbours compared
-word by word. Words inside a window that starts anywhere else too are removed.
+word by word. Words inside a window that starts anywhere else too are removed. The runs are long
+enough (8 words) that few of them repeat by chance, however large the corpus is.
 
 Two passes over the texts: the first counts minimiser occurrences in 2^``slot_bits`` slots, which
 gives two bit maps of fixed size; in the second, only super-k-mers of slots with two or more
@@ -27,8 +28,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quillspark.llm.common import WordHashes, arrow_rows, gram_hashes, keyed, raw_texts
-from quillspark.session import materialize, shuffle_width
+from quillspark.llm.common import WordHashes, arrow_rows, gram_hashes, keyed, raw_texts, stored
+from quillspark.session import shuffle_width
 
 PAGE = 1 << 16
 LONGEST = 64  # windows in one packed string
@@ -160,7 +161,7 @@ def packed_runs(docs: DataFrame, window: int, mer: int, slot_bits: int, hot: int
             yield rows(*zip(*out))
 
     schema = "_k1 long, _k2 long, start int, bucket long, words binary, digest binary"
-    return materialize(docs.select("_k1", "_k2", "text").mapInArrow(cut, schema), "super-k-mers")
+    return stored(docs.select("_k1", "_k2", "text").mapInArrow(cut, schema), "super-k-mers")
 
 
 class _Numbers(dict):
@@ -211,7 +212,7 @@ def _ranges(flags: np.ndarray, start: int, window: int) -> list[tuple[int, int]]
     return out
 
 
-def repeated_spans(docs: DataFrame, *, window: int = 35, mer: int = 4, slot_bits: int = 27, hot: int = 20_000,
+def repeated_spans(docs: DataFrame, *, window: int = 35, mer: int = 8, slot_bits: int = 27, hot: int = 20_000,
                    chunk_words: int = 1 << 19) -> DataFrame:
     """``_k1, _k2, spans``: word ranges to remove from ``docs`` (with keys, see ``keyed``), for texts that have any."""
     cut = packed_runs(docs, window, mer, slot_bits, hot)
