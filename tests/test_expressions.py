@@ -132,14 +132,10 @@ def test_class_scores(spark):
 
 
 def test_prompts(spark):
-    with pytest.raises(ValueError):
-        pr.judge_template("unknown")
-    with pytest.raises(ValueError):
-        pr.generation_prompt(F.lit("x"), "unknown")
-    filled = value(spark, pr.judge_prompt(F.col("t"), "humor"), t="hello")
-    assert "|'hello'|" in filled and filled.endswith("[/INST]\nAnswer: ")
+    filled = value(spark, pr.judge_prompt(F.col("t"), "Is it short?"), t="hello")
+    assert "\nhello\n" in filled and "Is it short?" in filled and filled.endswith(pr.REPLY_CUE)
     assert value(spark, pr.generation_prompt(F.col("t")), t="x") == "x" + pr.CONTINUE + "[/INST]"
-    assert pr.CONTINUE not in value(spark, pr.generation_prompt(F.col("t"), "irony"), t="x[INST]")
+    assert pr.CONTINUE not in value(spark, pr.generation_prompt(F.col("t"), "[INST]Be brief"), t="x[INST]")
 
 
 def test_attribute_schemes():

@@ -15,7 +15,8 @@ from quillspark.operators.classify import NaiveBayes
 from quillspark.operators.language_model import BigramModel
 from quillspark.operators.similarity import greedy_match
 from quillspark.plans import recipes, standins as st
-from quillspark.session import fresh_path
+from quillspark.functions.text import story_prompt
+from quillspark.session import fresh_path, materialize, scratch
 from quillspark.sources import catalog as cat, readers as rd, writers as wr
 from quillspark.streaming.incremental import run_incrementally
 
@@ -25,7 +26,6 @@ def small_leaf(monkeypatch):
     """Small buckets, so that the histograms are refined even on few rows."""
     monkeypatch.setattr(rk, "LEAF_ROWS", 3)
     monkeypatch.setattr(rk, "HEX_DIGITS_PER_PASS", 1)
-    monkeypatch.setattr(rk, "RANGE_BITS_PER_PASS", 2)
 
 
 def numbers(spark, n):
@@ -64,26 +64,48 @@ def test_repeated_keys_are_refused(spark, small_leaf):
         sp.seeded_sample(copies, "k", 10)
 
 
-def test_order_cut_with_a_hot_first_key(spark, small_leaf):
+def test_parted_with_a_hot_first_key(spark):
     """One key holds most rows; the second key must decide."""
     random.seed(1)
     rows = [(7, i) for i in random.sample(range(-500, 500), 120)] + [(random.randint(-9, 20), 1000 + i) for i in range(60)]
     df = spark.createDataFrame(rows, "a bigint, b bigint")
-    for n in (1, 17, 60, 111, 179, 180, 500):
-        cut = rk.order_cut(df, ["a", "b"], n)
-        assert sorted(tuple(r) for r in df.filter(cut.upto()).collect()) == sorted(rows)[:n]
+    for n in (0, 1, 60, 179, 180, 500):
+        first, rest = rk.parted(df, ["a", "b"], n)
+        assert sorted(tuple(r) for r in first.collect()) == sorted(rows)[:n]
+        assert sorted(tuple(r) for r in rest.collect()) == sorted(rows)[n:]
 
 
-def test_head_large_and_small(spark, small_leaf, monkeypatch):
-    assert sorted(r[0] for r in sp.head(numbers(spark, 50), 5, "k").collect()) == list(range(5))
-    monkeypatch.setattr(sp, "TOP_N_LIMIT", 1)
-    assert sorted(r[0] for r in sp.head(numbers(spark, 50), 5, "k").collect()) == list(range(5))
+@pytest.mark.parametrize("kind", ["double", "string", "int"])
+def test_head_of_any_order(spark, kind):
+    """Keys with fractions, texts, nulls, ties, and rows that occur several times."""
+    random.seed(5)
+    keys = {"double": [None, 0.5, 1.5, 2.25, float("nan")], "string": [None, "a", "b", "ab"], "int": [None, 1, 2]}[kind]
+    rows = [(random.choice(keys), i % 7) for i in range(90)] + [(keys[1], 3)] * 20
+
+    def place(key):
+        return (key is not None, key != key, key if key is not None and key == key else keys[1])
+
+    df = spark.createDataFrame(rows, f"k {kind}, v int").repartition(4)
+    ordered = sorted((place(k) for k, _ in rows))
+    for n in (1, 10, 33, 60, 109, 110, 200):
+        found = sp.head(df, n, "k").collect()
+        assert sorted(place(r["k"]) for r in found) == ordered[:n]
+        whole = Counter(map(repr, rows))
+        assert not Counter(repr(tuple(r)) for r in found) - whole
+
+
+def test_numbered(spark):
+    df = spark.createDataFrame([(i * 37 % 101,) for i in range(101)], "k int").repartition(5)
+    assert sorted((r["k"], r["rank"]) for r in rk.numbered(df, ["k"]).collect()) == [(i, i) for i in range(101)]
+    assert rk.numbered(df.filter("k < 0"), ["k"]).count() == 0
 
 
 def test_hard_easy_mix_and_carve(spark, small_leaf):
     df = numbers(spark, 60).withColumn("hard", F.col("k") % 20 == 0)
     mixed = sp.hard_easy_mix(df, "hard", "k", ratio=4).collect()
     assert sum(r["hard"] for r in mixed) == 3 and len(mixed) == 15
+    unset = df.withColumn("hard", F.when(F.col("k") % 20 == 0, True))  # null where not set
+    assert sp.hard_easy_mix(unset, "hard", "k", ratio=4).count() == 15
     parts = sp.split_exact(numbers(spark, 40), "k")
     kept = sp.carve_validation(parts, "k").filter("split = 'validation'").collect()
     last = sorted(r["k"] for r in parts.filter("split = 'validation'").collect())[-2:]
@@ -99,18 +121,18 @@ def test_rerank_ties_and_top_k(spark):
     assert sorted((r["p"], r["c"]) for r in tied) == [(1, 0), (1, 1), (2, 0)]
 
 
-@pytest.mark.parametrize("limit", [1, 2, 100])
+@pytest.mark.parametrize("limit", [1, 40, 1000])
 def test_lookups_with_hot_and_cold_and_unknown(spark, monkeypatch, limit):
-    monkeypatch.setattr(jn, "BROADCAST_ROWS", limit)
+    monkeypatch.setattr(jn, "BROADCAST_BYTES", limit)
     dim = spark.createDataFrame([("the", 900, 1.0), ("cat", 2, 2.0), ("dog", 1, 3.0)], "w string, n bigint, x double")
     words = ["the"] * 50 + ["cat", "dog", "bird", None]
     fact = spark.createDataFrame(list(enumerate(words)), "id int, w string")
     values = {"the": 1.0, "cat": 2.0, "dog": 3.0}
     expected = {i: values.get(w) for i, w in enumerate(words)}
-    found = jn.lookup(fact, dim, "w", "n", 903, 3).collect()
+    found = jn.lookup(fact, dim, "w", "n", 903).collect()
     assert len(found) == len(words) and {r["id"]: r["x"] for r in found} == expected
-    near, far = jn.split_lookup(fact, dim, ["w"], "n", 903, 3)
-    assert (far is None) == (limit == 100)
+    near, far = jn.split_lookup(fact, dim, ["w"], "n", 903)
+    assert (far is None) == (limit == 1000)
     rows = near.collect() + (far.collect() if far is not None else [])
     assert len(rows) == len(words) and {r["id"]: r["x"] for r in rows} == expected
 
@@ -123,15 +145,15 @@ def test_scoring_does_not_depend_on_broadcasts(spark, monkeypatch):
     def scores():
         model = BigramModel.fit(train, "text")
         bayes = NaiveBayes.fit(train.withColumn("label", F.col("id") % 2), "text", "label")
-        fluency = {r["id"]: round(r["fluency"], 9) for r in model.fluency(texts, "id", "text").collect()}
+        fluency = {r["id"]: r["fluency"] and round(r["fluency"], 9) for r in model.fluency(texts, "id", "text").collect()}
         greedy = {r["id"]: r["gen"] for r in model.continue_greedy(texts, "id", "text", 4).collect()}
         drawn = sorted(tuple(r) for r in model.continue_sampled(texts, "id", "text", 2, 7).collect())
         return fluency, greedy, drawn, {r["id"]: (r["label"], round(r["score"], 9)) for r in
                                         bayes.predict(texts, "id", "text").collect()}
 
     usual = scores()
-    assert len(usual[0]) == 50 and len(usual[3]) == 52
-    monkeypatch.setattr(jn, "BROADCAST_ROWS", 4)
+    assert len(usual[0]) == 52 and len(usual[3]) == 52 and usual[0][51] is None
+    monkeypatch.setattr(jn, "BROADCAST_BYTES", 150)
     names = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
     for name in names:
         spark.conf.set(name, "-1")
@@ -142,13 +164,24 @@ def test_scoring_does_not_depend_on_broadcasts(spark, monkeypatch):
             spark.conf.unset(name)
 
 
-@pytest.mark.parametrize("most", [1, 100])
-def test_split_hot_loses_no_row(spark, most):
-    df = spark.createDataFrame([("a", i) for i in range(30)] + [("b", i) for i in range(12)] + [("c", 0)], "k string, i int")
-    usual, hot = jn.split_hot(df, "k", floor=10, most=most)
-    assert sorted(usual.union(hot).collect()) == sorted(df.collect())
-    assert "c" in {r["k"] for r in usual.collect()}
-    assert jn.split_hot(df, "k")[1] is None
+def test_split_hot_loses_no_row(spark):
+    rows = [("a", i) for i in range(30)] + [(None, i) for i in range(12)] + [("c", 0)]
+    df = spark.createDataFrame(rows, "k string, i int")
+    usual, hot = jn.split_hot(df, "k", floor=10)
+    assert sorted(map(repr, usual.union(hot).collect())) == sorted(map(repr, df.collect()))
+    assert {r["k"] for r in usual.collect()} == {"c"} and {r["k"] for r in hot.collect()} == {"a", None}
+    assert jn.split_hot(df, "k")[1].count() == 0
+
+
+def test_broadcast_part_is_bounded_by_bytes(spark, monkeypatch):
+    """Long tokens and a thousand classes: few rows, many bytes."""
+    monkeypatch.setattr(jn, "BROADCAST_BYTES", 100_000)
+    wide = spark.range(50).select(
+        F.concat(F.lit("w"), F.col("id")).alias("w"), (F.col("id") + 1).alias("n"),
+        F.array_repeat(F.lit(0.5), 1000).alias("ll"))
+    assert not jn.fits(wide) and jn.fits(wide.drop("ll"))
+    hot, cold = jn._hot_and_cold(wide, "n", 1275)
+    assert (hot.agg(F.sum(jn._row_bytes(wide))).first()[0] or 0) <= 100_000 and hot.count() + cold.count() == 50
 
 
 def test_evidence_indexes_out_of_range(spark):
@@ -156,20 +189,17 @@ def test_evidence_indexes_out_of_range(spark):
     assert df.select(jn.pick_sentences(F.col("abstract"), F.col("idx")).alias("x")).first()["x"] == "b."
 
 
-@pytest.mark.parametrize("page_rows", [100_000, 10])
-def test_group_targets_keeps_a_hot_context_whole(spark, page_rows):
-    rows = [("hot", f"q{i}", i) for i in range(200)] + [(f"c{i % 5}", f"q{i}", i) for i in range(20)]
+def test_group_targets_and_rows(spark):
+    rows = [("hot", f"q{i}", i) for i in range(200)] + [(f"c{i % 5}", f"q{i}", i) for i in range(20)] + [(None, "x", 3)]
     df = spark.createDataFrame(rows, "context string, question string, id bigint").repartition(5)
-    pages = rs.group_targets(df, "context", "question", "id", page_rows=page_rows).collect()
-    whole = {}
-    for page in sorted(pages, key=lambda r: r["page"]):
-        whole.setdefault(page["context"], []).extend(page["targets"])
     expected = {}
     for context, question, _ in rows:
         expected.setdefault(context, []).append(question)
-    assert whole == expected
-    if page_rows == 10:
-        assert sum(p["context"] == "hot" for p in pages) > 1
+    whole = rs.group_targets(df, "context", "question", "id").collect()
+    assert {r["context"]: r["targets"] for r in whole} == expected
+    single = rs.target_rows(df, "context", "question", "id").collect()
+    assert {(r["context"], r["ord"]): r["target"] for r in single} == {
+        (c, i): q for c, targets in expected.items() for i, q in enumerate(targets)}
 
 
 @pytest.mark.parametrize("chunk", [1, 2, 1024])
@@ -204,22 +234,22 @@ def test_training_sets(spark):
                                "id int, prompt string, gen_0 string, pred_0 int")
     vocab = rs.vocabulary(df, "prompt", 2)
     rows = {r["id"]: r for r in rs.cond_set(df, "id", vocab, max_length=4).collect()}
-    ids = {r["token"]: r["token_id"] for r in vocab.collect()}
+    ids = {r["token"]: r["token_id"] for r in vocab.table.collect()}
     assert ids == {"a": 2, "b": 3}
     assert rows[1]["token_ids"] == [3, 2, 3, 0] and rows[1]["labels"] == [2, -100, -100, -100]
     assert rows[2]["token_ids"] == [1, 0, 0, 0] and rows[2]["labels"] == [-100] * 4
     assert set(rows) == {1, 2}
+    judged = df.drop("prompt")
+    assert {r["id"] for r in rs.lm_set(judged, "id", rs.vocabulary(df, "prompt"), max_length=4).collect()} == {1, 2}
 
 
 def test_index_labels(spark):
-    df = spark.createDataFrame([("b", 1.0), ("a", 2.0), ("b", 3.0)], "l string, x double")
+    df = spark.createDataFrame([("b", 1.0), ("a", 2.0), ("b", 3.0), (None, 4.0)], "l string, x double")
     indexed, dim = rs.index_labels(df, "l")
     assert {r["l"]: r["label_id"] for r in dim.collect()} == {"a": 0, "b": 1}
-    assert indexed.count() == 3
+    assert {r["x"]: r["label_id"] for r in indexed.collect()} == {1.0: 1, 2.0: 0, 3.0: 1, 4.0: None}
     with pytest.raises(ValueError):
         rs.index_labels(df, "x")
-    with pytest.raises(ValueError):
-        rs.index_labels(df, "l", limit=1)
 
 
 def _ngrams(tokens, n):
@@ -314,7 +344,7 @@ def test_bigram_model_by_hand(spark):
     assert (model.n_words, model.total) == (4, 6)
     scored = {r["id"]: r["fluency"] for r in model.fluency(train, "id", "text").collect()}
     expected = (math.log(3 / 7) + math.log(3 / 7) + math.log(2 / 7)) / 3
-    assert scored[1] == pytest.approx(expected) and 3 not in scored
+    assert scored[1] == pytest.approx(expected) and scored[3] is None and len(scored) == 3
     prompts = spark.createDataFrame([(1, "the"), (2, "unseen"), (3, "")], "id int, prompt string")
     greedy = {r["id"]: r["gen"] for r in model.continue_greedy(prompts, "id", "prompt", 3).collect()}
     assert greedy == {1: "cat ran", 2: "", 3: "the cat ran"}
@@ -344,6 +374,56 @@ def test_naive_bayes_by_hand(spark):
     assert found[3]["scores"] == [pytest.approx(math.log(1 / 3)), pytest.approx(math.log(2 / 3))]
 
 
+def test_naive_bayes_ignores_rows_without_label(spark):
+    labelled = spark.createDataFrame([("good", "pos"), ("bad", "neg")], "text string, label string")
+    more = labelled.union(spark.createDataFrame([("other words", None)], "text string, label string"))
+    found = [sorted((r["token"], r["ll"]) for r in NaiveBayes.fit(df, "text", "label").table.collect()) for df in (labelled, more)]
+    assert found[0] == found[1]
+
+
+def test_greedy_match_of_one_side_and_of_zero_vectors(spark):
+    rows = [(1, 0, 0, [1.0, 0.0]), (2, 0, 0, [0.0, 0.0]), (2, 1, 0, [1.0, 0.0]), (2, 1, 10**12, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "pair int, side int, at bigint, v array<float>")
+    found = {r["pair"]: (r["precision"], r["recall"], r["f1"]) for r in greedy_match(df, "pair", "side", "at", "v").collect()}
+    assert found == {1: (0.0, 0.0, 0.0), 2: (0.0, 0.0, 0.0)}
+
+
+def test_bleu_and_rouge_keep_repeated_ids_apart(spark):
+    df = spark.createDataFrame(
+        [(1, "a b c d e", "a b c d e"), (1, "x y z", "a b"), (2, None, "a"), (3, "a", None)], "id int, pred string, ref string")
+    many = df.select("id", "pred", F.array("ref").alias("refs"))
+    assert sorted((r["id"], r["bleu"]) for r in mt.bleu(many, "id", "pred", "refs").collect()) == [(1, 0.0), (1, 1.0), (2, 0.0), (3, 0.0)]
+    assert sorted((r["id"], r["f1"]) for r in mt.rouge_n(df, "id", "pred", "ref").collect()) == [(1, 0.0), (1, 1.0), (2, 0.0), (3, 0.0)]
+    plan = mt.bleu(many, "id", "pred", "refs")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+
+
+def test_failures_of_a_whole_task_are_an_error(spark):
+    def broken(texts):
+        raise TypeError("no such argument")
+
+    df = spark.createDataFrame([(i, "t") for i in range(4)], "id int, t string").coalesce(1)
+    with pytest.raises(Exception, match="all 4 calls of a task failed"):
+        df.select(op.replies(broken, F.col("t")).alias("x")).collect()
+    made = op.generate(df.withColumnRenamed("t", "prompt"), lambda prompts, numbers: [
+        None if n == 1 else p for p, n in zip(prompts, numbers)], 3, keep_failed=True)
+    assert made.filter("gen IS NULL").count() == 4 and made.count() == 12
+
+
+def test_only_transient_errors_are_tried_again():
+    asked = []
+
+    def down(texts):
+        asked.append(list(texts))
+        raise ConnectionError("down")
+
+    calls = op._Calls(down, 3, op.TRANSIENT)
+    assert calls([["a", "b"]]) == [None, None] and asked == [["a", "b"]] * 3
+    asked.clear()
+    calls = op._Calls(lambda texts: asked.append(list(texts)) or [t for t in texts if t != "b"], 3, op.TRANSIENT)
+    assert calls([["a", "b"]]) == ["a", None] and asked == [["a", "b"], ["a"], ["b"]]
+
+
 def test_model_failures_become_null(spark):
     def flaky(texts):
         if any(t == "bad" for t in texts):
@@ -376,20 +456,22 @@ def test_fan_out_limits(spark):
     df = spark.createDataFrame([("a b c",), (None,)], "prompt string")
     rows = op.fan_out(df, 2, max_words=2).collect()
     assert sorted((r["prompt"], r["cand_idx"]) for r in rows) == [("a b", 0), ("a b", 1)]
+    assert op.fan_out(df, 50).count() == 50
     with pytest.raises(ValueError):
-        op.fan_out(df, 10)
+        op.fan_out(df, 0)
 
 
 def test_fewshot_templates(spark):
     demos = st.demos(spark)
-    question = pr.judge_template("sentiment")
-    assert pr.fewshot_template(demos, "sentiment", k=0) == question
-    assert pr.fewshot_template(demos, "sentiment", k="all").count("Answer: ") == 5
-    assert pr.fewshot_template(demos, "sentiment", k=2, author="second", cot=True).count(" | ") == 2
+    own = st.QUESTIONS["sentiment"]
+    question = pr.judge_template(own)
+    assert pr.fewshot_template(demos, "sentiment", own, k=0) == question
+    assert pr.fewshot_template(demos, "sentiment", own, k="all").count(pr.REPLY_CUE) == 5
+    assert pr.fewshot_template(demos, "sentiment", own, k=2, author="second", cot=True).count(" | ") == 2
     with pytest.raises(ValueError):
-        pr.fewshot_template(demos, "sentiment", k=9)
+        pr.fewshot_template(demos, "sentiment", own, k=9)
     with pytest.raises(ValueError):
-        pr.fewshot_template(demos, "irony", k="all")
+        pr.fewshot_template(demos, "irony", own, k="all")
 
 
 def test_drop_null_counts(spark):
@@ -402,11 +484,15 @@ def test_drop_null_counts(spark):
 
 def test_target_class_warns(spark):
     df = spark.createDataFrame([(1,)] + [(0,)] * 9, "label int")
+    kept, counts = fl.target_class(df, "label")
+    assert len(kept.collect()) == 1
     with pytest.warns(UserWarning):
-        assert fl.target_class(df, "label").count() == 1
+        fl.warn_if_few(counts)
+    kept, counts = fl.target_class(df, "label", 0)
+    assert len(kept.collect()) == 9
     with warnings.catch_warnings():
         warnings.simplefilter("error")
-        fl.target_class(df, "label", 0)
+        fl.warn_if_few(counts)
 
 
 def test_pending_metric(spark):
@@ -448,7 +534,7 @@ def test_judging_resumes(spark):
     schema = "id int, prompt string, gen string, cand_idx int"
 
     def judge(df):
-        return op.judge(df, lambda qs: ["True" for _ in qs], pr.judge_template("humor"))
+        return op.judge(df, lambda qs: ["True" for _ in qs], pr.judge_template(st.QUESTIONS["humor"]))
 
     for wave in range(2):
         spark.createDataFrame([(wave, "p", "g", 0)], schema).write.mode("append").parquet(source)
@@ -489,8 +575,45 @@ def test_recipes_on_tiny_corpora(spark):
     assert r.translations(pair).first() == ("hola", "hello")
     claims = frame([("c", "CONTRADICT", "1", [0])], "claim string, evidence_label string, evidence_doc_id string, evidence_sentences array<int>")
     corpus = frame([(1, ["s."])], "doc_id bigint, abstract array<string>")
-    assert r.claims_with_sentences([claims], corpus).first()["prompt"] == "Evidence: s.\nClaim: c"
-    assert r.claims_with_sentences([claims], corpus, use_evidence=False).first()["prompt"] == "\nClaim: c"
+    assert r.claims_with_sentences([claims], corpus).first()["prompt"] == f"{jn.EVIDENCE_MARKER}s.{jn.CLAIM_MARKER}c"
+    assert r.claims_with_sentences([claims], corpus, use_evidence=False).first()["prompt"] == f"{jn.CLAIM_MARKER}c"
+    tweets = frame([(None, "'1'", "a"), ("x", "'2'", "b"), ("x", None, "c")], "choose_one_category string, tweet_id string, tweet_text string")
+    levels = frame([("'1'", "not_urgent"), ("'2'", "extremely_urgent")], "tweet_id string, urgency string")
+    assert {x["text"] for x in r.urgency([tweets], levels).collect()} == {"a", "b"}
+    other = frame([("2", 0, -1), ("3", 0, 0)], "id string, toxic int, insult int")
+    assert {x["text"] for x in r.toxicity_challenge(train, test, other).collect()} == {"a", "c"}
+
+
+def test_presplit_corpora_keep_their_parts(spark):
+    raw = spark.createDataFrame([(1, "d", "s", "train"), (2, "e", "t", "test")], "row_id int, document string, summary string, split string")
+    path = fresh_path(spark, "presplit")
+    recipes.finish(recipes.RECIPES["xsum_summ"](raw), "gigaword", "row_id", path=path)
+    back = rd.read_csv(spark, path, "row_id int, prompt string, target string, split string")
+    assert {(r["row_id"], r["split"]) for r in back.collect()} == {(1, "train"), (2, "test")}
+    with pytest.raises(ValueError):
+        recipes.finish(recipes.RECIPES["gigaword"](raw.drop("split")), "gigaword", "row_id")
+
+
+def test_paths_are_routed():
+    assert cat.route_path("/data/urgency/tweets.csv") == cat.Dataset("tweets", "constraint", "urgency")
+    assert cat.route_path("/data/roc-stories/x.csv").kind == "task"
+    with pytest.raises(ValueError):
+        cat.route_path("x.csv")
+
+
+def test_written_tables_can_be_released(spark):
+    import os
+
+    with scratch(spark):
+        kept = materialize(spark.range(3), "released")
+        path = kept.inputFiles()[0].removeprefix("file://")
+        assert kept.count() == 3 and os.path.exists(path)
+    assert not os.path.exists(path)
+
+
+def test_story_needs_its_sentences():
+    with pytest.raises(ValueError):
+        story_prompt([F.col("a")], 2)
 
 
 def test_row_ids_follow_through_a_recipe(spark):
