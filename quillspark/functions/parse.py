@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from quillspark.functions.text import icontains
+
 # Scores given when a reply holds no digit.
 SCORE_YES = 0.7
 SCORE_NO = 0.3
@@ -17,11 +19,11 @@ def parse_cot(reply: Column) -> Column:
 
 def parse_verdict(reply: Column, strict: bool = False) -> Column:
     """True or False when exactly one of the two words occurs, else null."""
-    low = F.lower(reply)
     if strict:
+        low = F.lower(reply)
         yes, no = low.rlike(r"\btrue\b"), low.rlike(r"\bfalse\b")
     else:
-        yes, no = low.contains("true"), low.contains("false")
+        yes, no = icontains(reply, "true"), icontains(reply, "false")
     return F.when(yes & ~no, F.lit(True)).when(no & ~yes, F.lit(False))
 
 

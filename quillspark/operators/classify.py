@@ -47,16 +47,17 @@ class NaiveBayes:
         ])
         return NaiveBayes(counts.withColumn("ll", ll), first["v"], classes, priors, sum(of_class))
 
-    def scores(self, df: DataFrame, ids: str, text: str) -> DataFrame:
+    def scores(self, df: DataFrame, ids: str, text: str, limit: int | None = None) -> DataFrame:
         """``ids, scores``: one joint log score per class; unknown words do not count.
 
         Rows without words keep their priors: each row has one word more than its
         text, which no text holds. A row's words are summed before the last shuffle.
+        ``limit`` is the most bytes of the table to broadcast.
         """
         end = F.array(stand_in(F.pmod(F.xxhash64(ids), F.lit(SPREAD))))
         spelled = df.select(ids, F.explode(
             F.concat(F.coalesce(words(F.lower(F.col(text))), F.array().cast("array<string>")), end)).alias("token"))
-        near, far = split_lookup(spelled, self.table.select("token", "n", "ll"), ["token"], "n", self.total)
+        near, far = split_lookup(spelled, self.table.select("token", "n", "ll"), ["token"], "n", self.total, limit)
         known = near if far is None else near.unionByName(far)
         sums = [
             F.coalesce(F.sum(F.col("ll")[i]), F.lit(0.0)) + F.lit(prior)
@@ -64,12 +65,12 @@ class NaiveBayes:
         ]
         return known.groupBy(ids).agg(F.array(*sums).alias("scores"))
 
-    def predict(self, df: DataFrame, ids: str, text: str) -> DataFrame:
+    def predict(self, df: DataFrame, ids: str, text: str, limit: int | None = None) -> DataFrame:
         """``ids, label, score, scores, probabilities``; ties go to the smaller class.
 
         ``score`` is the probability of the predicted label.
         """
-        found = self.scores(df, ids, text)
+        found = self.scores(df, ids, text, limit)
         rounded = F.transform("scores", lambda s: F.round(s, 6))
         best = F.array_position(rounded, F.array_max(rounded)).cast("int")
         labels = F.array(*map(F.lit, self.classes))

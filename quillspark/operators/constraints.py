@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quillspark.functions import tokens as tk
 from quillspark.functions.text import scored_text, strip_ends
+from quillspark.operators.joins import fits
 
 # The tags a word count may be restricted to, with their English names.
 TAG_NAMES = {
@@ -171,18 +172,18 @@ class Merged:
 
 
 def tagged_counts(df: DataFrame, ids: str, text: str, lexicon: DataFrame, pos: str) -> DataFrame:
-    """Words with a tag per row, from a lexicon table ``(token, tag)``.
+    """``ids, n_tagged``: words with a tag per row, from a lexicon table ``(token, tag)``; 0 for a row without any.
 
-    Words are counted per row before the join, and the join keeps every row.
+    Words are counted per row before the join. A lexicon that fits is broadcast,
+    so that a word of every row meets in no task; texts leave the scan as words only.
     """
-    tagged = lexicon.filter(F.col("tag") == pos).select("token").distinct()
+    tagged = lexicon.filter(F.col("tag") == pos).select("token", F.lit(1).alias("_hit")).distinct()
     counted = (
-        df.select(ids, F.explode(F.transform(tk.words(F.col(text)), F.lower)).alias("token"))
+        df.select(ids, F.explode_outer(F.transform(tk.words(F.col(text)), F.lower)).alias("token"))
         .groupBy(ids, "token").agg(F.count(F.lit(1)).alias("tf"))
-        .join(tagged, "token", "left_semi")
-        .groupBy(ids).agg(F.sum("tf").cast("int").alias("n_tagged"))
+        .join(F.broadcast(tagged) if fits(tagged) else tagged, "token", "left")
     )
-    return df.join(counted, ids, "left").fillna(0, ["n_tagged"])
+    return counted.groupBy(ids).agg(F.coalesce(F.sum(F.col("tf") * F.col("_hit")), F.lit(0)).cast("int").alias("n_tagged"))
 
 
 def class_score(logits: Column, desired: Column | int, selection: str = "softmax") -> Column:

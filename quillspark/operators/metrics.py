@@ -15,17 +15,17 @@ MAX_ORDER = 4
 
 
 def distinct_n(cands: DataFrame, group: str, gen: str = "gen", orders: Sequence[int] = (1, 2, 3, 4),
-               normalize: str = "candidates") -> DataFrame:
+               normalize: str = "candidates", floor: int = 10_000) -> DataFrame:
     """Distinct n-grams of a group's candidates over its candidates (or its n-grams).
 
     Groups with one candidate drop out. The candidates of an ordinary group are
     placed together, text by text, and their n-grams never leave the task. The
-    n-grams of a hot group meet by hash of group and n-gram over all tasks.
+    n-grams of a hot group, one of ``floor`` candidates or more, meet by hash of group and n-gram over all tasks.
     """
     if normalize not in ("candidates", "ngrams"):
         raise ValueError(f"unknown normalization {normalize!r}")
     kept = cands.filter(F.col(gen).isNotNull()).select(group, gen)
-    usual, hot = split_hot(kept, group)
+    usual, hot = split_hot(kept, group, floor)
     placed = usual.repartition(shuffle_width(cands.sparkSession), group)
     counted = _gram_counts(placed, group, gen, orders).unionByName(_gram_counts(hot, group, gen, orders))
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from quillspark.functions.text import fill, lead_words, scored_text
+from quillspark.operators.filters import nonnull
 from quillspark.session import shuffle_width
 
 BatchFunction = Callable[[Sequence[str]], Sequence[Optional[str]]]
@@ -174,7 +175,7 @@ def fan_out(df: DataFrame, n_gens: int = DEFAULT_CANDIDATES, prompt: str = "prom
     """One row per prompt and candidate number; null prompts drop, long ones may be cut."""
     if n_gens < 1:
         raise ValueError("n_gens must be at least 1")
-    kept = df.filter(F.col(prompt).isNotNull())
+    kept = nonnull(df, prompt)
     if max_words is not None:
         kept = kept.withColumn(prompt, lead_words(F.col(prompt), max_words))
     return kept.withColumn("cand_idx", F.explode(F.array(*[F.lit(i) for i in range(n_gens)])))

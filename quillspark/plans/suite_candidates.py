@@ -70,8 +70,9 @@ def pos_count_range(spark: SparkSession, sf: str) -> DataFrame:
     docs = st.texts(spark, sf).select("doc_id", "text")
     counted = cs.tagged_counts(docs, "doc_id", "text", lexicon, "DET")
     inside = cs.StructRange(pos="DET", lower=5, upper=20, lexicon=st.LEXICON).score(F.col("text"))
-    return counted.select("doc_id", "n_tagged", F.round(inside, 6).alias("score"),
-                          F.round(cs.range_score(F.col("n_tagged"), 5, 20), 6).alias("joined_score"))
+    scored = docs.select("doc_id", F.round(inside, 6).alias("score"))
+    return scored.join(counted, "doc_id").select(
+        "doc_id", "n_tagged", "score", F.round(cs.range_score(F.col("n_tagged"), 5, 20), 6).alias("joined_score"))
 
 
 @query(f"""

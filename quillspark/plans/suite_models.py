@@ -39,6 +39,19 @@ def distinct_n(spark: SparkSession, sf: str) -> DataFrame:
     return scored.select("doc_id", *[F.round(c, 6).alias(c) for c in scored.columns[1:]])
 
 
+@query(with_tables(st.CAND, f"""
+, kept AS (SELECT cand_idx, gen FROM cand_long WHERE gen IS NOT NULL),
+sizes AS (SELECT cand_idx, count(*) AS k FROM kept GROUP BY cand_idx HAVING count(*) > 1),
+grams AS ({_grams_sql('kept', 'cand_idx', 'gen', range(1, 5))}),
+d AS (SELECT cand_idx, n, count(DISTINCT gram) AS c FROM grams GROUP BY cand_idx, n)
+SELECT s.cand_idx, {", ".join(f"round(coalesce(max(CASE WHEN n = {n} THEN c END) / max(k)::DOUBLE, 0), 6) AS distinct_{n}_gram" for n in range(1, 5))}
+FROM sizes s LEFT JOIN d USING (cand_idx) GROUP BY s.cand_idx"""))
+def distinct_n_hot(spark: SparkSession, sf: str) -> DataFrame:
+    """Three groups that hold all candidates, counted the way of hot groups."""
+    scored = mt.distinct_n(st.cand_long(spark, sf), "cand_idx", floor=10)
+    return scored.select("cand_idx", *[F.round(c, 6).alias(c) for c in scored.columns[1:]])
+
+
 @query(with_tables(st.CONV_PAIRS, f"""
 , p AS (SELECT conv_id || '-' || turn AS pair_id, replied AS pred, asked AS ref_0,
   array_to_string(list_concat(string_split(replied, ' ')[1:2], string_split(replied, ' ')[4:]), ' ') AS ref_1 FROM conv_pairs),
@@ -196,6 +209,11 @@ def external_target_score(spark: SparkSession, sf: str) -> DataFrame:
     return named.select("doc_id", "cand_idx", "label", cl.target_score(F.col("label"), F.col("score")).alias("score"))
 
 
+def half_words(texts: Sequence[str]) -> list[float]:
+    """Stands in for an outside scorer."""
+    return [len(t.split(" ")) / 2 for t in texts]
+
+
 @query(with_tables(st.CAND, """
 , v AS (SELECT doc_id, cand_idx, len(string_split(gen, ' '))::DOUBLE AS n FROM cand_long WHERE gen IS NOT NULL)
 SELECT doc_id, cand_idx, 'words' AS metric, n AS value FROM v UNION ALL
@@ -209,8 +227,8 @@ def metrics_run(spark: SparkSession, sf: str) -> DataFrame:
     first = mt.metric_run(rows, half, keys, {"words": lambda df: df.select(*keys, size.alias("value"))})
     return mt.metric_run(rows, first, keys, {
         "words": lambda df: df.select(*keys, F.lit(-1.0).alias("value")),  # nothing is left to do
-        "halved": lambda df: op.score_text(df, lambda texts: [len(t.split(" ")) / 2 for t in texts],
-                                           F.col("gen"), "value").select(*keys, "value"),
+        "halved": lambda df: op.score_text(
+            df, op.throttled(half_words, 1e9), F.col("gen"), "value").select(*keys, "value"),
     })
 
 
@@ -236,6 +254,14 @@ def classifier_target_score(spark: SparkSession, sf: str) -> DataFrame:
                         F.round(cl.target_score(F.col("label"), F.col("score")), 6).alias("score"))
 
 
+@query(with_tables(NB_SQL + "," + st.CAND + "," + CAND_TEXTS_SQL + "," + _nb_scores_sql("texts", "cand_id"), """
+SELECT cand_id, label FROM nb_out"""))
+def nb_predict_hot(spark: SparkSession, sf: str) -> DataFrame:
+    """The same model where only its heaviest words may be broadcast and the others join by shuffle."""
+    found = _toxic_model(spark, sf).predict(_candidate_texts(spark, sf), "cand_id", "text", limit=20_000)
+    return found.select("cand_id", "label")
+
+
 @query(with_tables(NB_SQL + "," + st.CAND + "," + CAND_TEXTS_SQL + "," + _nb_scores_sql("texts", "cand_id"), """
 SELECT cand_id, 'toxicity' AS metric, round(prob_1, 6) AS value FROM nb_out"""))
 def toxicity_score(spark: SparkSession, sf: str) -> DataFrame:

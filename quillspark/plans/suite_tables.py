@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillspark.functions import text as tx
 from quillspark.operators import constraints as cs, filters as fl, joins as jn, metrics as mt
-from quillspark.operators import opaque as op, sampling as sp
+from quillspark.operators import opaque as op, reshape as rs, sampling as sp
 from quillspark.plans import recipes, standins as st
 from quillspark.plans.registry import query
 from quillspark.plans.standins import table, with_tables
 from quillspark.session import fresh_path
 from quillspark.sources import catalog as cat, readers as rd, writers as wr
+from quillspark.streaming.incremental import run_incrementally
 
 GENERATORS = ["gen-a", "gen-b"]
 JUDGES = ["judge-a", "judge-b"]
@@ -117,6 +120,40 @@ def resume_pending(spark: SparkSession, sf: str) -> DataFrame:
     return jn.pending(todo, done, ["doc_id", "cand_idx"])
 
 
+@query(with_tables(st.CAND, """
+SELECT doc_id, cand_idx, 'I say false' AS response FROM cand_long WHERE gen IS NOT NULL"""))
+def resume_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Judging in two runs: the second one handles the files that came after the first."""
+    source, target, log = (fresh_path(spark, name) for name in ("stream-in", "stream-out", "stream-log"))
+    rows = st.cand_long(spark, sf).filter(F.col("gen").isNotNull()).select("doc_id", "cand_idx", "prompt", "gen")
+    for wave in range(2):
+        rows.filter(F.col("doc_id") % 2 == wave).write.mode("append").parquet(source)
+        run_incrementally(spark, source, rows.schema, target, log, lambda df: op.judge(
+            df, refusing_judge, "[text]", n=10).select("doc_id", "cand_idx", "response"))
+    return spark.read.schema("doc_id bigint, cand_idx int, response string").parquet(target)
+
+
+def refusing_judge(questions: Sequence[str]) -> list[str]:
+    """Stands in for a model."""
+    return ["I say false"] * len(questions)
+
+
+@query(with_tables(st.CAND, "SELECT doc_id, prompt, gen_0, gen_1, gen_2, 'b' AS judge FROM cand"))
+def candidates_wide(spark: SparkSession, sf: str) -> DataFrame:
+    """Long candidates back to columns, with the run they belong to."""
+    wide = rs.widen_candidates(st.cand_long(spark, sf), ["doc_id", "prompt"], 3)
+    return wr.with_run(wide, {"judge": "b"})
+
+
+@query(with_tables(st.CAND, """
+SELECT 'raw' AS stage, count(*) AS n_rows FROM documents UNION ALL
+SELECT 'melted', count(*) FROM cand_long UNION ALL SELECT 'kept', count(*) FROM cand_long WHERE gen IS NOT NULL"""))
+def row_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows per stage."""
+    rows = st.cand_long(spark, sf)
+    return fl.row_report({"raw": table(spark, sf, "documents"), "melted": rows, "kept": fl.nonnull(rows, "gen")})
+
+
 @query("""
 WITH u AS (SELECT 'd' || doc_id AS id, text AS prompt FROM documents UNION ALL
   SELECT 'p' || page_id, html FROM pages),
