@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillspark.functions.tokens import words
-from quillspark.operators.joins import SPREAD, lookup, split_lookup, stand_in
+from quillspark.operators.joins import SPREAD, hot_and_cold, fits, lookup, split_lookup, stand_in
 from quillspark.session import materialize
 
 START = "<s>"
@@ -140,7 +140,14 @@ class BigramModel:
         laid = materialize(self.sampler(), "sampler")
         facts = materialize(laid.groupBy("v").agg(F.first("n_v").alias("n_v"), F.first("width").alias("width")),
                             "sampler-widths")
-        rows = laid.select(F.col("v").alias("last"), "block", "low", "high", F.col("w").alias("_next"))
+        rows = laid.select(F.col("v").alias("_last"), F.col("block").alias("_block"), "low", "high",
+                           F.col("w").alias("_next"), (F.col("high") - F.col("low")).alias("_weight"))
+        # A word with one or two successors has one or two blocks, and all its draws ask for them: heavy
+        # successors are broadcast, within the bytes allowed, and only other draws are shuffled.
+        whole = fits(rows)
+        hot, cold = (rows, None) if whole else hot_and_cold(rows, "_weight", rows.agg(F.sum("_weight")).first()[0] or 0)
+        asked = ((F.col("last") == F.col("_last")) & (F.col("block") == F.col("_block"))
+                 & (F.col("_u") >= F.col("low")) & (F.col("_u") < F.col("high")))
         last = F.element_at(F.concat(F.array(F.lit(START)), _tokens(F.col(prompt))), -1)
         state = df.select(ids, F.explode(F.array(*map(F.lit, range(n_gens)))).alias("cand_idx"),
                           F.lit("").alias("gen"), last.alias("v"))
@@ -153,13 +160,11 @@ class BigramModel:
             # A finished candidate finds nothing; its stand-in words keep such rows apart.
             drawn = drawn.withColumn("last", F.when(F.col("n_v").isNotNull(), F.col("last")).otherwise(draw))
             drawn = drawn.withColumn("block", F.coalesce("block", F.lit(-1)))
-            hit = rows.withColumnRenamed("block", "_block")
-            joined = drawn.join(
-                hit.withColumnRenamed("last", "_last"),
-                (F.col("last") == F.col("_last")) & (F.col("block") == F.col("_block"))
-                & (F.col("_u") >= F.col("low")) & (F.col("_u") < F.col("high")),
-                "left",
-            )
+            joined = drawn.join(F.broadcast(hot), asked, "left")
+            if cold is not None:
+                found = joined.select(*drawn.columns, F.col("_next").alias("_found")).withColumn(
+                    "last", F.when(F.col("_found").isNull(), F.col("last")).otherwise(draw))
+                joined = found.join(cold, asked, "left").withColumn("_next", F.coalesce("_found", "_next"))
             state = joined.select(
                 ids, "cand_idx", F.concat_ws(" ", F.nullif("gen", F.lit("")), "_next").alias("gen"),
                 F.col("_next").alias("v"),

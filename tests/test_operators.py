@@ -122,7 +122,7 @@ def test_rerank_ties_and_top_k(spark):
 
 
 @pytest.mark.parametrize("limit", [1, 40, 1000])
-def test_lookups_with_hot_and_cold_and_unknown(spark, monkeypatch, limit):
+def test_lookups_withhot_and_cold_and_unknown(spark, monkeypatch, limit):
     monkeypatch.setattr(jn, "BROADCAST_BYTES", limit)
     dim = spark.createDataFrame([("the", 900, 1.0), ("cat", 2, 2.0), ("dog", 1, 3.0)], "w string, n bigint, x double")
     words = ["the"] * 50 + ["cat", "dog", "bird", None]
@@ -180,7 +180,7 @@ def test_broadcast_part_is_bounded_by_bytes(spark, monkeypatch):
         F.concat(F.lit("w"), F.col("id")).alias("w"), (F.col("id") + 1).alias("n"),
         F.array_repeat(F.lit(0.5), 1000).alias("ll"))
     assert not jn.fits(wide) and jn.fits(wide.drop("ll"))
-    hot, cold = jn._hot_and_cold(wide, "n", 1275)
+    hot, cold = jn.hot_and_cold(wide, "n", 1275)
     assert (hot.agg(F.sum(jn._row_bytes(wide))).first()[0] or 0) <= 100_000 and hot.count() + cold.count() == 50
 
 
