@@ -133,11 +133,10 @@ def rules() -> list[Rule]:
     for label, name, versions, short in FAMILIES:
         gate = (name.split()[-1] if name.split()[-1] not in ("public", "software", "and") else name,)
         for version in versions:
-            v = version.replace(" ", " ")
-            tail = rf"(?: {license_word})?(?: v| version)? ?{v}"
+            tail = rf"(?: {license_word})?(?: v| version)? ?{version}"
             out.append(_rule(0, f"{label}-{version.replace(' ', '.')}", 1.0, gate, rf"(?:the )?{name}{tail}(?: or (?:any )?later(?: version)?)?"))
-            out.append(_rule(0, f"{label}-{version.replace(' ', '.')}", 1.0, ("spdx",), rf"spdx license identifier {short} {v}(?: (?:only|or later))?"))
-            out.append(_rule(0, f"{label}-{version.replace(' ', '.')}", 0.9, (short,), rf"{short} ?v?{v}(?: (?:only|or later))?"))
+            out.append(_rule(0, f"{label}-{version.replace(' ', '.')}", 1.0, ("spdx",), rf"spdx license identifier {short} {version}(?: (?:only|or later))?"))
+            out.append(_rule(0, f"{label}-{version.replace(' ', '.')}", 0.9, (short,), rf"{short} ?v?{version}(?: (?:only|or later))?"))
         out.append(_rule(1, label, 0.95, gate, rf"{granted}{name}(?: {license_word})?"))
         out.append(_rule(1, label, 0.95, ("spdx",), rf"spdx license identifier {short}"))
         out.append(_rule(2, label, 0.8, gate, rf"(?:the )?{name} {license_word}"))
