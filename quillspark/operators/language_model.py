@@ -39,8 +39,6 @@ def bigrams(df: DataFrame, text: str, *keep: str, empty: Column | None = None) -
 class BigramModel:
     pairs: DataFrame  # v, w, n: count of w after v; n_v: count of v as a left side
     contexts: DataFrame  # v, n_v
-    n_pairs: int
-    n_contexts: int
     n_words: int  # distinct trained words
     total: int  # trained tokens
 
@@ -49,8 +47,8 @@ class BigramModel:
         counted = materialize(bigrams(df, text).groupBy("v", "w").agg(F.count(F.lit(1)).alias("n")), "bigrams")
         contexts = materialize(counted.groupBy("v").agg(F.sum("n").alias("n_v")), "contexts")
         pairs = materialize(counted.join(contexts, "v").select("v", "w", "n", "n_v"), "pairs")
-        facts = pairs.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0)), F.count_distinct("w")).first()
-        return BigramModel(pairs, contexts, facts[0], contexts.count(), facts[2], facts[1])
+        facts = pairs.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_distinct("w")).first()
+        return BigramModel(pairs, contexts, facts[1], facts[0])
 
     def fluency(self, df: DataFrame, ids: str, text: str) -> DataFrame:
         """Mean log probability per row, with add-one smoothing; null for a row without words.

@@ -34,8 +34,8 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def local_session(app: str = "quillspark", cores: int | str = "*", shuffle_partitions: int = 8,
-                  memory: str = "8g") -> SparkSession:
-    """A session for tests and the bench; a cluster job brings its own."""
+                  memory: str = "8g", folder: str | None = None) -> SparkSession:
+    """A session for tests and the bench, with its folder for written tables; a cluster job brings its own."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -45,7 +45,8 @@ def local_session(app: str = "quillspark", cores: int | str = "*", shuffle_parti
         .config("spark.driver.bindAddress", "127.0.0.1")
         .config("spark.driver.host", "127.0.0.1")
     )
-    for key, value in RUNTIME_SETTINGS.items():
+    settings = RUNTIME_SETTINGS | ({"spark.checkpoint.dir": folder} if folder else {})
+    for key, value in settings.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

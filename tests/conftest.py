@@ -12,5 +12,6 @@ from quillspark.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    return local_session("tests", cores=8, shuffle_partitions=8)
+def spark(tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("shared"))
+    return local_session("tests", cores=8, shuffle_partitions=8, folder=folder)
