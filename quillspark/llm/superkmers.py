@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quillspark.llm.common import WordHashes, arrow_rows, gram_hashes, keyed, raw_texts, stored
+from quillspark.llm.common import WordHashes, arrow_rows, gram_hashes, keyed, mixed, raw_texts, stored
 from quillspark.session import shuffle_width
 
 PAGE = 1 << 16
@@ -68,18 +68,22 @@ def runs(least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, end
 
 
+def slots_of(values: np.ndarray, slot_bits: int) -> np.ndarray:
+    """The slots of minimisers. Least hashes crowd near zero, so they are mixed again."""
+    return (mixed(values) >> np.uint64(64 - slot_bits)).astype(np.int64)
+
+
 def slot_counts(docs: DataFrame, window: int, mer: int, slot_bits: int) -> DataFrame:
     """``slot, n``: minimiser occurrences in each slot, as far as one task has added them up."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, held, size = WordHashes(), [], 0
         rows = arrow_rows([("slot", pa.int32()), ("n", pa.int64())])
-        shift = np.uint64(64 - slot_bits)
         for batch in batches:
             for raw in raw_texts(batch):
                 words = raw.split()
                 if len(words) >= window:
-                    found = minimisers(memo.of(words), window, mer)[1] >> shift
+                    found = slots_of(minimisers(memo.of(words), window, mer)[1], slot_bits)
                     held.append(found.astype(np.int32))
                     size += len(found)
             if size > 1 << 20:
@@ -116,7 +120,7 @@ def slot_maps(counts: DataFrame, slot_bits: int, hot: int) -> tuple[np.ndarray,
                 yield rows([page.as_py()], [both[0].tobytes()], [both[1].tobytes()])
 
     maps = np.zeros((2, max(1, (1 << slot_bits) // PAGE), PAGE // 8), dtype=np.uint8)
-    for row in pages.mapInArrow(packed, "page int, repeated binary, hot binary").toLocalIterator():
+    for row in pages.mapInArrow(packed, "page int, repeated binary, hot binary").collect():
         maps[0, row["page"]] = np.frombuffer(row["repeated"], dtype=np.uint8)
         maps[1, row["page"]] = np.frombuffer(row["hot"], dtype=np.uint8)
     return maps[0].ravel(), maps[1].ravel()
@@ -135,7 +139,6 @@ def packed_runs(docs: DataFrame, window: int, mer: int, slot_bits: int, hot: int
         memo, (repeated, crowded) = WordHashes(), maps.value
         rows = arrow_rows([("_k1", pa.int64()), ("_k2", pa.int64()), ("start", pa.int32()), ("bucket", pa.int64()),
                            ("words", pa.binary()), ("digest", pa.binary())])
-        shift = np.uint64(64 - slot_bits)
         out: list[tuple] = []
         for batch in batches:
             for k1, k2, raw in zip(batch.column("_k1").to_pylist(), batch.column("_k2").to_pylist(), raw_texts(batch)):
@@ -144,7 +147,7 @@ def packed_runs(docs: DataFrame, window: int, mer: int, slot_bits: int, hot: int
                     continue
                 least, _ = minimisers(memo.of(words), window, mer)
                 first, end = runs(least)
-                slots = (least[first] >> shift).astype(np.int64)
+                slots = slots_of(least[first], slot_bits)
                 kept = np.flatnonzero(_has(repeated, slots))
                 alone = _has(crowded, slots[kept])
                 buckets = least[first[kept]].view(np.int64)
