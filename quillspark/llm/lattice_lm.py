@@ -273,7 +273,7 @@ def scored(docs: DataFrame, model: str, *, rounds: int = 2, smoothing: float = 0
 
     walked = materialize(counts.mapInArrow(walk, "word binary, c long, lp double"), "word-scores")
     frequent = walked.where((F.col("c") * head >= n) & (F.col("c") > 0) & (F.length("word") <= LONGEST_HEAD))
-    known = spark.sparkContext.broadcast({bytes(r["word"]): (base(r["c"]), r["lp"]) for r in frequent.toLocalIterator()})
+    known = spark.sparkContext.broadcast({bytes(r["word"]): (base(r["c"]), r["lp"]) for r in frequent.collect()})
     end_base, end_lp, end_known = base(ends), end_log / log10, int(ends > 0)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
