@@ -57,6 +57,7 @@ def range_instruction(kind: Column, pos: Column, lower: Column, upper: Column) -
 
 def range_key(kind: Column, pos: Column, lower: Column, upper: Column) -> Column:
     """The compact key of a count range."""
+    # Fixed value: the key's format.
     parts = [F.lit("SR"), kind, F.coalesce(pos, F.lit("None")), lower.cast("string"), upper.cast("string")]
     return F.concat_ws("_", *parts)
 
@@ -112,6 +113,7 @@ class StructRange(Constraint):
         return f". Write {amount} {unit}"
 
     def key(self) -> str:
+        # Fixed value: the key's format.
         return f"SR_{self.kind}_{self.pos}_{self.lower}_{self.upper}"
 
 
@@ -142,6 +144,7 @@ class StartEnd(Constraint):
         return ". " + " ".join(asks)
 
     def key(self) -> str:
+        # Fixed value: the key's format.
         return f"SE_{self.start}_{self.end}"
 
 

@@ -14,6 +14,7 @@ from quillspark.plans.registry import query
 from quillspark.plans.standins import table, with_tables
 from quillspark.plans.suite_candidates import echo_generator, length_judge
 from quillspark.session import fresh_path
+from quillspark.sources.readers import read_csv
 from quillspark.sources.writers import write_predictions
 
 
@@ -242,7 +243,7 @@ def predict_labels(spark: SparkSession, sf: str) -> DataFrame:
     found = _toxic_model(spark, sf).predict(held, "doc_id", "text")
     named = found.withColumn("prediction", F.when(F.col("label") == 1, "toxic").otherwise("clean"))
     write_predictions(named, path, "doc_id", "prediction")
-    return spark.read.schema("index bigint, prediction string").csv(path, sep="\t", header=True)
+    return read_csv(spark, path, "index bigint, prediction string", sep="\t", multi_line=False)
 
 
 @query(with_tables(NB_SQL + "," + st.CAND + "," + CAND_TEXTS_SQL + "," + _nb_scores_sql("texts", "cand_id"), """
