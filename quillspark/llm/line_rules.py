@@ -132,21 +132,21 @@ def cleaned(docs: DataFrame, host: str = "source", *, least_docs: int = 20, shar
     Rows find their verdict by id, host and text hash, so equal rows need no further key.
     """
     verdicts = judged(docs, host, least_docs=least_docs, share=share, **limits).where("kept").select(
-        F.col("doc_id").alias("_id"), F.col("host").alias("_host"), F.col("text_hash").alias("_hash")).distinct()
+        F.col("doc_id").alias("_lines_id"), F.col("host").alias("_lines_host"), F.col("text_hash").alias("_lines_hash")).distinct()
     bad = lines_above_limit(statistics(docs, host), least_docs, share)
     found = (
-        F.col("doc_id").eqNullSafe(F.col("_id")) & F.col(host).eqNullSafe(F.col("_host"))
-        & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_hash")))
-    kept = docs.join(verdicts, found, "left_semi").withColumn("_row", F.monotonically_increasing_id())
+        F.col("doc_id").eqNullSafe(F.col("_lines_id")) & F.col(host).eqNullSafe(F.col("_lines_host"))
+        & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_lines_hash")))
+    kept = docs.join(verdicts, found, "left_semi").withColumn("_lines_row", F.monotonically_increasing_id())
     kept = materialize(kept, "line-rules")
     lines = kept.select(
-        "_row", F.col(host).alias("host"), F.posexplode(F.split("text", "\n")).alias("at", "line")).withColumn(
+        "_lines_row", F.col(host).alias("host"), F.posexplode(F.split("text", "\n")).alias("at", "line")).withColumn(
         "h", line_hash(F.regexp_extract_all("line", F.lit(WORD), F.lit(0))))
     hits = lines.join(bad, lines["host"].eqNullSafe(bad["host"]) & (lines["h"] == bad["h"]), "left_semi")
-    drop = hits.groupBy("_row").agg(F.collect_set("at").alias("_drop"))  # at most the lines of one text
-    rest = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("_drop", i))
-    return kept.join(drop, "_row", "left").withColumn(
-        "text", F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n"))).drop("_row", "_drop")
+    drop = hits.groupBy("_lines_row").agg(F.collect_set("at").alias("_lines_drop"))  # at most the lines of one text
+    rest = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("_lines_drop", i))
+    return kept.join(drop, "_lines_row", "left").withColumn(
+        "text", F.when(F.col("_lines_drop").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n"))).drop("_lines_row", "_lines_drop")
 
 
 ORACLE = r"""

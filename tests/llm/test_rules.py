@@ -39,6 +39,14 @@ def test_lines_count_distinct_documents(llm):
     assert cleaned[3] == own.format(3)
 
 
+def test_cleaned_keeps_all_columns(docs):
+    out = line_rules.cleaned(docs)
+    assert out.columns == docs.columns
+    judged = {r.doc_id for r in line_rules.judged(docs).where("kept").collect()}
+    found = out.collect()
+    assert {r.doc_id for r in found} == judged and {r["_row"] for r in found} == {"row"}
+
+
 def test_line_rules_reject_depleted(llm):
     rows = [(i, "h", "This boilerplate line stands in every document of the host\nmine {}".format(i)) for i in range(30)]
     docs = llm.createDataFrame(rows, "doc_id long, source string, text string")
