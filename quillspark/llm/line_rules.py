@@ -3,8 +3,10 @@
 Lines are normalised (words joined by one space, A-Z in lower case) and hashed to 64
 bits. Per host and line the distinct documents are counted: copies of one text
 count once, as copying a document doesn't make its lines boilerplate. A line is above the
-limit if more than ``least_docs`` documents and more than ``share`` of the host's documents
-hold it. A document is rejected if fewer than ``least_words`` words or less than
+limit if more than ``least_docs`` documents hold it, and either more than ``enough_docs``, however
+large the host, or more than ``share`` of the host's documents. The share so counts only for a
+``least_docs`` below ``enough_docs``; a bound that grew with the host would spare the boilerplate of
+the largest hosts. A document is rejected if fewer than ``least_words`` words or less than
 ``least_kept`` of its words remain without such lines.
 
 Built-in functions only. Texts are read once: a row leaves the scan as its counts and a
@@ -92,7 +94,7 @@ def statistics(docs: DataFrame, host: str = "source") -> DataFrame:
     return materialize(rows, "line-rules")
 
 
-def lines_above_limit(stats: DataFrame, least_docs: int, share: float) -> DataFrame:
+def lines_above_limit(stats: DataFrame, least_docs: int, share: float, enough_docs: int = 20) -> DataFrame:
     """``host, h``: lines that more than the limit of the host's distinct documents hold."""
     texts = stats.groupBy("host", "text_hash", "n_chars").agg(
         F.any_value(F.array_distinct("lines.h")).alias("hashes"))
@@ -102,16 +104,16 @@ def lines_above_limit(stats: DataFrame, least_docs: int, share: float) -> DataFr
     frequent = counts.where(F.col("docs") > least_docs)
     return (
         frequent.join(hosts, frequent["host"].eqNullSafe(hosts["host"]))
-        .where((F.col("docs") > F.col("host_docs") * share))
+        .where((F.col("docs") > enough_docs) | (F.col("docs") > F.col("host_docs") * share))
         .select(frequent["host"], "h")
     )
 
 
-def judged(docs: DataFrame, host: str = "source", *, least_docs: int = 20, share: float = 0.02,
+def judged(docs: DataFrame, host: str = "source", *, least_docs: int = 20, share: float = 0.02, enough_docs: int = 20,
            least_words: int = 10, least_kept: float = 0.3) -> DataFrame:
     """Base counts, ``removed_words`` (in lines above the limit), ``base_failed`` and ``kept`` for each row."""
     stats = statistics(docs, host)
-    bad = lines_above_limit(stats, least_docs, share)
+    bad = lines_above_limit(stats, least_docs, share, enough_docs)
     lines = stats.select("row_id", "host", F.inline("lines"))
     hits = lines.join(bad, lines["host"].eqNullSafe(bad["host"]) & (lines["h"] == bad["h"]), "left_semi")
     removed = hits.groupBy("row_id").agg(F.sum("n").alias("removed"))
@@ -126,14 +128,15 @@ def judged(docs: DataFrame, host: str = "source", *, least_docs: int = 20, share
     )
 
 
-def cleaned(docs: DataFrame, host: str = "source", *, least_docs: int = 20, share: float = 0.02, **limits) -> DataFrame:
+def cleaned(docs: DataFrame, host: str = "source", *, least_docs: int = 20, share: float = 0.02, enough_docs: int = 20,
+            **limits) -> DataFrame:
     """The documents kept, with all their columns, and without the lines above the limit.
 
     Rows find their verdict by id, host and text hash, so equal rows need no further key.
     """
-    verdicts = judged(docs, host, least_docs=least_docs, share=share, **limits).where("kept").select(
+    verdicts = judged(docs, host, least_docs=least_docs, share=share, enough_docs=enough_docs, **limits).where("kept").select(
         F.col("doc_id").alias("_lines_id"), F.col("host").alias("_lines_host"), F.col("text_hash").alias("_lines_hash")).distinct()
-    bad = lines_above_limit(statistics(docs, host), least_docs, share)
+    bad = lines_above_limit(statistics(docs, host), least_docs, share, enough_docs)
     found = (
         F.col("doc_id").eqNullSafe(F.col("_lines_id")) & F.col(host).eqNullSafe(F.col("_lines_host"))
         & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_lines_hash")))

@@ -54,6 +54,30 @@ def test_line_rules_reject_depleted(llm):
     assert not any(r.kept or r.base_failed for r in got)
 
 
+def test_limit_holds_in_large_hosts(llm):
+    """30 documents of 2,000 are more than 20 and less than 2 %."""
+    own = "\n" + " ".join(f"w{{0}}x{j}" for j in range(12))
+    rows = [(i, "h", ("Shared footer of this host here" if i < 30 else f"First line of document {i}") + own.format(i))
+            for i in range(2000)]
+    rows += [(3000 + i, "h", "A banner in twenty documents only" + own.format(3000 + i)) for i in range(20)]
+    rows += [(4000 + i, "h", "This boilerplate line stands in the place of a text" + f"\nmine {i}") for i in range(25)]
+    docs = llm.createDataFrame(rows, "doc_id long, source string, text string")
+    got = {r.doc_id: (r.removed_words, r.kept) for r in line_rules.judged(docs).collect()}
+    assert {i for i, (removed, _) in got.items() if removed} == {*range(30), *range(4000, 4025)}
+    assert got[3] == (6, True) and got[3003] == (0, True)
+    assert {i for i, (_, kept) in got.items() if not kept} == set(range(4000, 4025))
+    cleaned = {r.doc_id: r.text for r in line_rules.cleaned(docs).collect()}
+    assert cleaned[3] == own.format(3)[1:] and 4003 not in cleaned
+
+
+def test_share_counts_below_the_fixed_count(llm):
+    rows = [(i, "h", f"Line held by {'ten' if i < 10 else i} texts\nnumber {i}") for i in range(300)]
+    docs = llm.createDataFrame(rows, "doc_id long, source string, text string")
+    for share, hit in ((0.02, 10), (0.05, 0)):
+        got = line_rules.judged(docs, least_docs=5, share=share).collect()
+        assert sum(r.removed_words > 0 for r in got) == hit
+
+
 def test_no_documents(llm, none):
     labels = llm.createDataFrame([], "doc_id long, quality int, toxic int")
     assert line_rules.judged(none).count() == 0
