@@ -8,9 +8,10 @@ are matched from their last word by backward search, all phrases of a block at o
 occurrences are placed by stepping back to the nearest sampled suffix. Their spans are merged
 per document.
 
-Phrases reach the tasks in blocks of at most ``block_words`` words, each one broadcast and one
-pass over the index, so a benchmark of any size is searched with bounded memory. A shard
-holds ``shard_words`` words or a single longer document.
+Windows are cut and made distinct on the executors and written with a block number, about ``block_words``
+words to a block. One block at a time is read, broadcast, searched in one pass over the index, and
+dropped when its hits are written, so the driver holds one block of a benchmark of any size, with the
+item ids of its windows. A shard holds ``shard_words`` words or a single longer document.
 
 Defined cases: a null or empty text has no words and is never contaminated; an item without words has
 no window; repeated items count by their item_id once; a null item_id is the empty string; rows with
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillspark.llm.common import ALNUM, LOWER, arrow_rows, raw_texts
-from quillspark.session import fresh_path
+from quillspark.session import fresh_path, materialize
 
 SAMPLE = 32
 INDEX_COLUMNS = ("shard long, doc_ids array<long>, text_hashes array<long>, starts binary, words binary, n int, smaller binary, bits binary, "
@@ -234,22 +235,42 @@ class Phrases:
     items: list[list[str]]
 
 
+def written_windows(items: DataFrame, window: int, block_words: int) -> tuple[DataFrame, int]:
+    """``run, items, block``: the distinct windows of ``items`` (item_id, text), written, and the number of blocks."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = arrow_rows([("run", pa.binary()), ("n", pa.int64()), ("item", pa.string())])
+        out: list[tuple] = []
+        for batch in batches:
+            for item, raw in zip(batch.column("item").to_pylist(), raw_texts(batch)):
+                words = words_of(raw)
+                n = min(len(words), window)
+                for i in range(len(words) - n + 1 if words else 0):
+                    out.append((b" ".join(words[i : i + n]), n, item))
+                    if len(out) >= 20_000:
+                        yield rows(*zip(*out))
+                        out = []
+        if out:
+            yield rows(*zip(*out))
+
+    read = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
+    runs = materialize(
+        read.mapInArrow(cut, "run binary, n long, item string").groupBy("run").agg(
+            F.any_value("n").alias("n"), F.collect_set("item").alias("items")), "windows")
+    n_runs, n_words = runs.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    blocks = max(1, min(n_runs, -(-n_words // block_words)))
+    path = fresh_path(items.sparkSession, "window-blocks")
+    numbered = runs.select("run", "items", F.pmod(F.xxhash64("run"), F.lit(blocks)).cast("int").alias("block"))
+    numbered.write.partitionBy("block").parquet(path)
+    return items.sparkSession.read.schema(numbered.schema).parquet(path), blocks
+
+
 def phrase_blocks(items: DataFrame, window: int, block_words: int) -> Iterator[Phrases]:
-    """The windows of ``items`` (item_id, text), a bounded block at a time."""
-    held: dict[tuple[bytes, ...], set[str]] = {}
-    size = 0
-    for row in items.select(F.col("item_id").cast("string").alias("item_id"), "text").toLocalIterator():
-        words = words_of((row["text"] or "").encode())
-        for i in range(max(len(words) - window + 1, min(len(words), 1))):
-            run = tuple(words[i : i + window])
-            if run not in held:
-                size += len(run)
-            held.setdefault(run, set()).add(row["item_id"] or "")
-            if size >= block_words:
-                yield Phrases(list(held), [sorted(x) for x in held.values()])
-                held, size = {}, 0
-    if held:
-        yield Phrases(list(held), [sorted(x) for x in held.values()])
+    """The windows of ``items``, a block at a time; at least one, which may be empty."""
+    windows, blocks = written_windows(items, window, block_words)
+    for block in range(blocks):
+        rows = windows.where(F.col("block") == block).select("run", "items").collect()
+        yield Phrases([tuple(bytes(r["run"]).split()) for r in rows], [sorted(r["items"]) for r in rows])
 
 
 def _hits(index: Index, vocabulary: list[bytes], phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -282,7 +303,7 @@ def search(spark: SparkSession, path: str, items: DataFrame, *, window: int = 13
     schema = ("shard long, row int, doc_id long, text_hash long, n_words long, spans array<struct<first: long, end: long>>, "
               "items array<string>")
 
-    def found(block: Phrases):
+    def write_hits(block: Phrases, everything: bool) -> str:
         sent = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,13 +327,15 @@ def search(spark: SparkSession, path: str, items: DataFrame, *, window: int = 13
                     count = len(starts)
                     yield rows([x["shard"]] * count, list(range(count)), x["doc_ids"], x["text_hashes"], n_words, spans, named)
 
-        return spark.read.schema(INDEX_COLUMNS).parquet(path).mapInArrow(run, schema)
+        hits = spark.read.schema(INDEX_COLUMNS).parquet(path).mapInArrow(run, schema)
+        out = fresh_path(spark, "hits")
+        (hits if everything else hits.where("size(spans) > 0")).write.parquet(out)
+        sent.destroy()
+        return out
 
-    parts = [found(block) for block in phrase_blocks(items, window, block_words)] or [found(Phrases([], []))]
-    together = parts[0]
-    for part in parts[1:]:
-        together = together.unionByName(part)
-    return together.groupBy("shard", "row").agg(
+    # The first block writes a row for every document, the others for those hit.
+    written = [write_hits(block, k == 0) for k, block in enumerate(phrase_blocks(items, window, block_words))]
+    return spark.read.schema(schema).parquet(*written).groupBy("shard", "row").agg(
         F.first("doc_id").alias("doc_id"), F.first("text_hash").alias("text_hash"),
         F.first("n_words").alias("n_words"),
         F.flatten(F.collect_list("spans")).alias("spans"),

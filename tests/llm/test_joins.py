@@ -1,9 +1,11 @@
 """Near duplicates, repeated passages and benchmark passages."""
 
+import os
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark import SparkContext
 
 import brute
 from quillspark.llm import fm_index, lsh_forest, superkmers
@@ -174,6 +176,28 @@ def test_contamination(llm, docs, sample, settings):
     assert all(sum(s.end - s.first for s in r.spans) == r.n_hit for r in found)
 
 
+def test_benchmark_reaches_the_driver_in_blocks(llm, docs, sample, monkeypatch):
+    def refused(*_, **__):
+        raise AssertionError("all items on the driver")
+
+    sent, broadcast = [], SparkContext.broadcast
+
+    def watched(self, value):
+        if isinstance(value, fm_index.Phrases):
+            assert not any(os.path.exists(b._path) for b in sent)  # the block before is gone
+            sent.append(broadcast(self, value))
+            return sent[-1]
+        return broadcast(self, value)
+
+    monkeypatch.setattr(type(docs), "toLocalIterator", refused)
+    monkeypatch.setattr(SparkContext, "broadcast", watched)
+    items = llm.createDataFrame(ITEMS, "item_id long, text string")
+    got = fm_index.scanned(docs, items, block_words=20).collect()
+    expected = brute.contamination([t for _, t, _ in sample], ITEMS)
+    assert Counter((r.n_words, r.n_hit, r.n_items) for r in got) == Counter((n, hit, len(ids)) for n, hit, ids in expected)
+    assert len(sent) > 5
+
+
 def test_decontaminated(llm, docs, sample):
     items = llm.createDataFrame(ITEMS, "item_id long, text string")
     out = fm_index.decontaminated(docs, items)
