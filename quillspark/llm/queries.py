@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillspark.llm import (
-    common, fm_index, lattice_lm, licences, line_rules, lsh_forest, packing, quadratic, superkmers, token_counts, token_store,
+    common, fm_index, lattice_lm, licences, line_rules, lsh_forest, merkle, packing, quadratic, superkmers, token_counts,
+    token_store,
 )
 from quillspark.session import fresh_path
 
@@ -100,3 +101,12 @@ def op10_superkmers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op10_superkmers"] = superkmers.ORACLE
+
+
+@query
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves, subroots, root and proofs of all documents, some of them tampered with."""
+    return merkle.tampered(common.table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
+
+
+ORACLES["op11_merkle"] = merkle.ORACLE
