@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillspark.llm import (
-    common, fm_index, lattice_lm, licences, line_rules, lsh_forest, merkle, packing, quadratic, superkmers, token_counts,
-    token_store,
+    common, conversations, fm_index, lattice_lm, licences, line_rules, lsh_forest, merkle, packing, quadratic, secret_scan,
+    superkmers, token_counts, token_store,
 )
 from quillspark.session import fresh_path
 
@@ -110,3 +110,22 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op11_merkle"] = merkle.ORACLE
+
+
+@query
+def op12_interval_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repairs of all conversations after damage."""
+    rows = common.prepared(spark).read.parquet(f"{sf_dir}/conversations.parquet")
+    return conversations.audited(conversations.damaged(rows), rows)
+
+
+ORACLES["op12_interval_repair"] = conversations.ORACLE
+
+
+@query
+def op13_secret_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all texts, with what the method adds."""
+    return secret_scan.scanned(common.table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_secret_owners"] = secret_scan.ORACLE
