@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -215,6 +216,14 @@ def id_lists(ids: np.ndarray, counts: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))
 
 
+def id_checksums(lists: pa.ListArray) -> list[int]:
+    """The unsigned crc32 of each row's ids as little-endian unsigned 32-bit integers; all rows share one buffer."""
+    offsets = lists.offsets.to_numpy().astype(np.int64) * 4
+    ids = lists.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False)
+    held = memoryview(np.ascontiguousarray(ids)).cast("B")
+    return [zlib.crc32(held[start:end]) for start, end in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """As ``materialize``, for tables that hold text: written with the denser codec."""
     path = fresh_path(df.sparkSession, name)
@@ -222,9 +231,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """Adds ``_k1, _k2``: the id, and a hash of id and text. Only equal rows share both; neither is null."""
+def free(df: DataFrame, *stems: str) -> list[str]:
+    """Names like these that no column of ``df`` has, in upper or lower case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in stems:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def keyed(docs: DataFrame, first: str = "_k1", second: str = "_k2") -> DataFrame:
+    """Adds the id, and a hash of id and text, under these names. Only equal rows share both; neither is null."""
     return docs.withColumns({
-        "_k1": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)),
-        "_k2": F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))),
+        first: F.coalesce(F.col("doc_id").cast("long"), F.lit(0)),
+        second: F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))),
     })

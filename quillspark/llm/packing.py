@@ -19,7 +19,6 @@ rows with one id stay apart; an empty table gives no rows; other columns are not
 
 from __future__ import annotations
 
-import zlib
 from collections import deque
 from collections.abc import Iterator
 
@@ -28,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quillspark.llm.bpe import encoder
-from quillspark.llm.common import arrow_rows, id_lists, in_order, running_start, texts
+from quillspark.llm.common import arrow_rows, id_checksums, id_lists, in_order, running_start
 from quillspark.session import fresh_path
 
 PIECE_COLUMNS = ("shard int, shard_sequence long, doc_id long, start long, length long, doc_tokens long, "
@@ -101,7 +100,7 @@ def pack(docs: DataFrame, tokenizer: str, *, end_id: int = 1, capacity: int = 20
         size *= 2
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, end = encoder(tokenizer), np.array([end_id], dtype=np.int32)
+        codec = encoder(tokenizer)
         rows = arrow_rows([("shard", pa.int32()), ("shard_sequence", pa.int64()), ("doc_id", pa.int64()),
                            ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()),
                            ("offset", pa.int64()), ("token_ids", pa.list_(pa.int32()))])
@@ -133,12 +132,14 @@ def pack(docs: DataFrame, tokenizer: str, *, end_id: int = 1, capacity: int = 20
 
         waiting = 0
         for batch in batches:
-            for shard_of, doc_id, (ids, lengths, ends) in zip(
-                    batch.column("shard").to_pylist(), batch.column("doc_id").to_pylist(), codec.encode(texts(batch))):
-                shard = shard_of
-                cuts = _cut_points(np.append(lengths, 1), np.append(ends, False), sentence_penalty, inside_penalty, long_gap)
-                held.append((doc_id, np.concatenate([ids, end]), *cuts))
-                waiting += len(ids) + 1
+            found = codec.encode_batch(batch.column("text"), end_id)
+            ids = np.concatenate([[0], np.cumsum(found.counts)])
+            pieces = np.concatenate([[0], np.cumsum(found.pieces)])
+            for k, (shard_of, doc_id) in enumerate(zip(batch.column("shard").to_pylist(), batch.column("doc_id").to_pylist())):
+                shard, part = shard_of, slice(pieces[k], pieces[k + 1])
+                cuts = _cut_points(found.lengths[part], found.sentence_ends[part], sentence_penalty, inside_penalty, long_gap)
+                held.append((doc_id, found.ids[ids[k] : ids[k + 1]], *cuts))
+                waiting += int(found.counts[k])
                 if waiting >= stretch:
                     yield from flush()
                     waiting = 0
@@ -163,9 +164,7 @@ def with_checksums(pieces: DataFrame) -> DataFrame:
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            crcs = [zlib.crc32(x.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes())
-                    for x in batch.column("token_ids")]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in kept), pa.array(crcs, type=pa.int64())], names=[*kept, "ids_crc32"])
+            crcs = pa.array(id_checksums(batch.column("token_ids")), type=pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), crcs], names=[*kept, "ids_crc32"])
 
     return pieces.mapInArrow(summed, ", ".join(f"{c} long" for c in kept) + ", ids_crc32 long")

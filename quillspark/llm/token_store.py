@@ -13,7 +13,6 @@ empty table gives no rows; columns other than id and text are not read.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillspark.llm.bpe import encoder
-from quillspark.llm.common import arrow_rows, id_lists, in_order, running_start, texts
+from quillspark.llm.common import arrow_rows, id_checksums, id_lists, in_order, running_start
 
 FILE_COLUMNS = "shard int, doc_id long, shard_start long, n_tokens long, token_ids array<int>"
 
@@ -40,17 +39,15 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, *,
     """Encode ``docs`` (doc_id, text) into files under ``path``, in ascending order of doc_id."""
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, end = encoder(tokenizer), np.array([end_id], dtype=np.int32)
+        codec = encoder(tokenizer)
         rows = arrow_rows([("shard", pa.int32()), ("doc_id", pa.int64()), ("shard_start", pa.int64()),
                            ("n_tokens", pa.int64()), ("token_ids", pa.list_(pa.int32()))])
         start = 0
         for batch in batches:
-            ids = [np.concatenate([found, end]) for found, _, _ in codec.encode(texts(batch))]
-            counts = np.array([len(x) for x in ids], dtype=np.int64)
-            starts = start + np.cumsum(counts) - counts
-            start += int(counts.sum())
-            values = np.concatenate(ids) if ids else np.zeros(0, dtype=np.int32)
-            yield rows(batch.column("shard"), batch.column("doc_id"), starts, counts, id_lists(values, counts))
+            found = codec.encode_batch(batch.column("text"), end_id)
+            starts = start + np.cumsum(found.counts) - found.counts
+            start += int(found.counts.sum())
+            yield rows(batch.column("shard"), batch.column("doc_id"), starts, found.counts, id_lists(found.ids, found.counts))
 
     ordered = in_order(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", shards)
     (
@@ -98,11 +95,7 @@ def checksums(tokens: DataFrame) -> DataFrame:
         rows = arrow_rows([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()),
                            ("ids_crc32", pa.int64())])
         for batch in batches:
-            crcs = [
-                zlib.crc32(x.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes())
-                for x in batch.column("token_ids")
-            ]
-            yield rows(batch.column("doc_id"), batch.column("start"), batch.column("n_tokens"), crcs)
+            yield rows(batch.column("doc_id"), batch.column("start"), batch.column("n_tokens"), id_checksums(batch.column("token_ids")))
 
     return tokens.select("doc_id", "start", "n_tokens", "token_ids").mapInArrow(
         summed, "doc_id long, start long, n_tokens long, ids_crc32 long")
