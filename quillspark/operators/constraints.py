@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from quillspark.functions import tokens as tk
 from quillspark.functions.text import scored_text, strip_ends
 from quillspark.operators.joins import fits
+from quillspark.operators.language_model import LanguageModel
+from quillspark.operators.similarity import greedy_match
 
 # The tags a word count may be restricted to, with their English names.
 TAG_NAMES = {
@@ -158,6 +160,61 @@ class ScoreColumn(Constraint):
         return F.col(self.column).cast("double")
 
 
+@dataclass(frozen=True)
+class Relational(Constraint):
+    """A constraint whose value is no expression of the row: it comes as a plan of (key, value) rows.
+
+    A row without a value, or with a null one, counts as ``missing``.
+    """
+
+    missing: float = 0.0
+
+    def relation(self, df: DataFrame, key: str, text: Column) -> DataFrame:
+        """``key, value``, at most one row per key, of the texts of ``df``."""
+        raise NotImplementedError
+
+    def evaluate(self, text: Column) -> Column:
+        raise TypeError(f"{type(self).__name__} is scored by Merged.scored")
+
+
+@dataclass(frozen=True)
+class Fluency(Relational):
+    """The mean log probability of the text's words under a fitted language model."""
+
+    model: LanguageModel | None = None
+
+    def relation(self, df: DataFrame, key: str, text: Column) -> DataFrame:
+        scored = self.model.fluency(df.select(F.col(key), text.alias("_text")), key, "_text")
+        return scored.select(key, F.col("fluency").alias("value"))
+
+
+@dataclass(frozen=True)
+class PairMatch(Relational):
+    """Greedy-match similarity of a row's two vector sequences, such as candidate and prompt.
+
+    ``vectors`` has the columns key, ``side`` (0 the candidate, 1 the prompt), ``at`` and ``vector``.
+    """
+
+    vectors: DataFrame | None = None
+    measure: str = "f1"
+
+    def relation(self, df: DataFrame, key: str, text: Column) -> DataFrame:
+        asked = self.vectors.join(df.select(key).distinct(), key, "left_semi")
+        scored = greedy_match(asked, key, "side", "at", "vector")
+        return scored.select(key, F.col(self.measure).alias("value"))
+
+
+@dataclass(frozen=True)
+class Joined(Relational):
+    """A value per key that another job has written."""
+
+    table: DataFrame | None = None
+    column: str = "value"
+
+    def relation(self, df: DataFrame, key: str, text: Column) -> DataFrame:
+        return self.table.select(key, F.col(self.column).cast("double").alias("value"))
+
+
 @dataclass(frozen=True)
 class Merged:
     """The weighted sum of several constraints, over the text alone or prompt and text."""
@@ -165,14 +222,46 @@ class Merged:
     constraints: Sequence[Constraint]
     use_prompt: bool = False
 
-    def score(self, text: Column, prompt: Column | None = None) -> Column:
+    def _text(self, text: Column, prompt: Column | None) -> Column:
         with_prompt = self.use_prompt and prompt is not None
-        scored = scored_text(prompt, text, with_prompt) if with_prompt else text
+        return scored_text(prompt, text, with_prompt) if with_prompt else text
+
+    def score(self, text: Column, prompt: Column | None = None) -> Column:
+        """One expression; ``scored`` also takes relational constraints."""
+        scored = self._text(text, prompt)
         total = F.lit(0.0)
         for constraint in self.constraints:
             total = total + constraint.score(scored)
         return total
 
+    def scored(self, df: DataFrame, key: str, text: Column, prompt: Column | None = None, out: str = "score") -> DataFrame:
+        """``df`` with the score. ``key`` is unique and not null.
+
+        All relations are gathered by key in one aggregate and joined once, however many there
+        are; the other constraints stay expressions of the row.
+        """
+        whole = self._text(text, prompt)
+        asked = [c for c in self.constraints if isinstance(c, Relational)]
+        parts = [
+            c.relation(df, key, whole).select(F.col(key).alias("_key"), F.lit(i).alias("_c"), F.col("value").cast("double").alias("_v"))
+            for i, c in enumerate(asked)
+        ]
+        total = F.lit(0.0)
+        for constraint in self.constraints:
+            if not isinstance(constraint, Relational):
+                total = total + constraint.score(whole)
+        if not parts:
+            return df.withColumn(out, total)
+        rows = parts[0]
+        for part in parts[1:]:
+            rows = rows.unionByName(part)
+        values = rows.groupBy("_key").agg(*[
+            F.max(F.when(F.col("_c") == i, F.col("_v"))).alias(f"_v{i}") for i in range(len(asked))])
+        for i, constraint in enumerate(asked):
+            total = total + F.lit(float(constraint.weight)) * F.coalesce(f"_v{i}", F.lit(float(constraint.missing)))
+        joined = df.join(values, F.col(key) == F.col("_key"), "left")
+        return joined.withColumn(out, total).drop("_key", *[f"_v{i}" for i in range(len(asked))])
+
 
 def tagged_counts(df: DataFrame, ids: str, text: str, lexicon: DataFrame, pos: str) -> DataFrame:
     """``ids, n_tagged``: words with a tag per row, from a lexicon table ``(token, tag)``; 0 for a row without any.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -15,7 +16,7 @@ START = "<s>"
 STEPS_PER_WRITE = 5
 
 
-def _tokens(text: Column) -> Column:
+def tokens(text: Column) -> Column:
     return words(F.lower(text))
 
 
@@ -24,7 +25,7 @@ def bigrams(df: DataFrame, text: str, *keep: str, empty: Column | None = None) -
 
     A text without tokens has no row, or with ``empty`` one row with that token.
     """
-    listed = df.select(*keep, F.coalesce(_tokens(F.col(text)), F.array().cast("array<string>")).alias("_t"),
+    listed = df.select(*keep, F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")).alias("_t"),
                        *([empty.alias("_empty")] if empty is not None else []))
     before = F.concat(F.array(F.lit(START)), F.slice("_t", 1, F.greatest(F.size("_t") - 1, F.lit(0))))
     rest = [*keep, "_empty"] if empty is not None else keep
@@ -35,6 +36,13 @@ def bigrams(df: DataFrame, text: str, *keep: str, empty: Column | None = None) -
     return rows.filter(F.col("w").isNotNull())
 
 
+class LanguageModel(Protocol):
+    """What a text's words are scored by."""
+
+    def fluency(self, df: DataFrame, ids: str, text: str) -> DataFrame:
+        """``ids, fluency``: the mean log probability of a row's words; null for a row without words."""
+
+
 @dataclass(frozen=True)
 class BigramModel:
     pairs: DataFrame  # v, w, n: count of w after v; n_v: count of v as a left side
@@ -99,7 +107,7 @@ class BigramModel:
 
     def continue_greedy(self, df: DataFrame, ids: str, prompt: str, steps: int = 5) -> DataFrame:
         """The most frequent next word, ``steps`` times, ties to the smaller word."""
-        last = F.element_at(F.concat(F.array(F.lit(START)), _tokens(F.col(prompt))), -1)
+        last = F.element_at(F.concat(F.array(F.lit(START)), tokens(F.col(prompt))), -1)
         asked = df.select(ids, last.alias("v"))
         found = lookup(asked, self.continuations(steps), "v", "n_v", self.total)
         return found.select(ids, F.coalesce("gen", F.lit("")).alias("gen"))
@@ -146,7 +154,7 @@ class BigramModel:
         hot, cold = (rows, None) if whole else hot_and_cold(rows, "_weight", rows.agg(F.sum("_weight")).first()[0] or 0)
         asked = ((F.col("last") == F.col("_last")) & (F.col("block") == F.col("_block"))
                  & (F.col("_u") >= F.col("low")) & (F.col("_u") < F.col("high")))
-        last = F.element_at(F.concat(F.array(F.lit(START)), _tokens(F.col(prompt))), -1)
+        last = F.element_at(F.concat(F.array(F.lit(START)), tokens(F.col(prompt))), -1)
         state = df.select(ids, F.explode(F.array(*map(F.lit, range(n_gens)))).alias("cand_idx"),
                           F.lit("").alias("gen"), last.alias("v"))
         for step in range(steps):

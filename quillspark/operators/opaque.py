@@ -6,17 +6,23 @@ crosses to Python, in Arrow batches; all other columns stay in the JVM.
 
 from __future__ import annotations
 
+import itertools
 import time
+import uuid
+from collections import deque
 from collections.abc import Callable, Iterator, Sequence
 from typing import Optional
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import BarrierTaskContext
+from pyspark.sql import Column, DataFrame, Observation, functions as F
+from pyspark.sql.types import DataType, DoubleType, StringType, StructField, StructType
 
 from quillspark.functions.text import fill, lead_words, scored_text
 from quillspark.operators.filters import nonnull
-from quillspark.session import shuffle_width
+from quillspark.session import fresh_path, shuffle_width
 
 BatchFunction = Callable[[Sequence[str]], Sequence[Optional[str]]]
 _LABELLED = StructType([StructField("label", StringType()), StructField("score", DoubleType())])
@@ -31,12 +37,11 @@ TRANSIENT = (ConnectionError, TimeoutError)
 
 
 class _Calls:
-    """Calls of one task, with what failed."""
+    """Calls of one task, with the error of each row that failed."""
 
     def __init__(self, fn: Callable, tries: int, transient: tuple[type[Exception], ...]):
         self.fn, self.tries, self.transient = fn, tries, transient
-        self.asked = self.failed = 0
-        self.last: Exception | None = None
+        self.errors: list[str | None] = []  # of the rows of the last batch
 
     def _once(self, columns: list[list]) -> list:
         found = list(self.fn(*columns))
@@ -49,125 +54,256 @@ class _Calls:
 
         A transient error is tried again and then fails the batch: the service is
         down, and asking it row by row would not help. Another error is narrowed
-        down to its rows, one call each.
+        down by halving the batch, so k bad rows of n cost about k log n calls.
         """
+        self.errors = []
+        return self._narrowed(columns)
+
+    def _narrowed(self, columns: list[list]) -> list:
         rows = len(columns[0])
-        self.asked += rows
-        for attempt in range(self.tries):
+        for _ in range(self.tries):
             try:
-                return self._once(columns)
+                found = self._once(columns)
+                self.errors += [None] * rows
+                return found
             except self.transient as error:
-                self.last = error
+                seen = error
             except Exception as error:
-                self.last = error
+                seen = error
+                if rows > 1:
+                    half = rows // 2
+                    return self._narrowed([c[:half] for c in columns]) + self._narrowed([c[half:] for c in columns])
                 break
-        else:
-            self.failed += rows
-            return [None] * rows
-        out = []
-        for row in zip(*columns):
-            try:
-                out += self._once([[value] for value in row])
-            except Exception as error:
-                self.last = error
-                self.failed += 1
-                out.append(None)
-        return out
+        self.errors += [repr(seen)] * rows
+        return [None] * rows
 
-    def check(self) -> None:
-        """Raise if every call of the task failed: that is no matter of single texts."""
-        if self.asked and self.failed == self.asked:
-            raise RuntimeError(f"all {self.asked} calls of a task failed, the last with {self.last!r}") from self.last
 
+class Outcome:
+    """How many calls of a whole job failed; known when the job has run.
 
-def replies(fn: BatchFunction, text: Column, tries: int = TRIES,
-            transient: tuple[type[Exception], ...] = TRANSIENT) -> Column:
-    """The function's reply to each text; null text or failure gives null, and an error if all fail."""
+    The share is the job's, so it does not depend on how rows are dealt to tasks.
+    """
 
-    @F.pandas_udf(StringType())
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def __init__(self, name: str = "calls"):
+        self.seen = Observation(f"{name}-{uuid.uuid4().hex}")
+
+    def watch(self, df: DataFrame, error: Column, asked: Column) -> DataFrame:
+        return df.observe(self.seen, F.count_if(asked).alias("asked"), F.count(error).alias("failed"), F.max(error).alias("error"))
+
+    def check(self, most: float = 1.0) -> None:
+        """Raise if the share of failed calls is ``most`` or more: that is no matter of single texts."""
+        found = self.seen.get
+        if found["asked"] and found["failed"] >= most * found["asked"]:
+            raise RuntimeError(f"{found['failed']} of {found['asked']} calls failed, one with {found['error']}")
+
+
+def _asking(fn: Callable, kind: DataType, tries: int, transient: tuple[type[Exception], ...]) -> Callable:
+    """A function of columns to ``reply`` and ``error``; rows with a null in any column are not asked."""
+
+    @F.pandas_udf(StructType([StructField("reply", kind), StructField("error", StringType())]))
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         calls = _Calls(fn, tries, transient)
         for batch in batches:
-            asked = batch.notna()
-            out = pd.Series([None] * len(batch), index=batch.index, dtype=object)
+            columns = batch if isinstance(batch, tuple) else (batch,)  # one column comes by itself
+            asked = pd.concat(columns, axis=1).notna().all(axis=1).to_numpy()
+            replies, errors = [None] * len(asked), [None] * len(asked)
             if asked.any():
-                out[asked] = calls([batch[asked].tolist()])
-            yield out
-        calls.check()
+                found = calls([column[asked].tolist() for column in columns])
+                for place, reply, error in zip(asked.nonzero()[0], found, calls.errors):
+                    replies[place], errors[place] = reply, error
+            yield pd.DataFrame({"reply": pd.Series(replies, dtype=object), "error": pd.Series(errors, dtype=object)})
 
-    return run.asNondeterministic()(text)
+    return run.asNondeterministic()
 
 
-def score_text(df: DataFrame, scorer: Callable[[Sequence[str]], Sequence[float]], text: Column,
-               out: str = "score", tries: int = TRIES,
-               transient: tuple[type[Exception], ...] = TRANSIENT) -> DataFrame:
-    """A number per text from an outside scorer, in batches; failures are null, and an error if all fail."""
+def asked(df: DataFrame, fn: Callable, columns: Sequence[Column], kind: DataType = StringType(), out: str = "reply",
+          tries: int = TRIES, transient: tuple[type[Exception], ...] = TRANSIENT, outcome: Outcome | None = None) -> DataFrame:
+    """Adds the function's reply to each row; failures are null and counted by ``outcome``."""
+    made = df.withColumn("_asked", _asking(fn, kind, tries, transient)(*columns))
+    if outcome is not None:
+        whole = F.lit(True)
+        for column in columns:
+            whole = whole & column.isNotNull()
+        made = outcome.watch(made, F.col("_asked.error"), whole)
+    return made.withColumn(out, F.col("_asked.reply")).drop("_asked")
 
-    @F.pandas_udf(DoubleType())
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        calls = _Calls(scorer, tries, transient)
-        for batch in batches:
-            found = pd.Series([None] * len(batch), index=batch.index, dtype="float64")
-            asked = batch.notna()
-            if asked.any():
-                found[asked] = pd.Series(calls([batch[asked].tolist()]), dtype="float64").to_numpy()
-            yield found
-        calls.check()
 
-    return df.withColumn(out, run.asNondeterministic()(text))
+def replies(fn: BatchFunction, text: Column, tries: int = TRIES,
+            transient: tuple[type[Exception], ...] = TRANSIENT) -> Column:
+    """The function's reply to each text; a null text or a failure gives null."""
+    return _asking(fn, StringType(), tries, transient)(text)["reply"]
+
+
+def _number(scorer: Callable[[Sequence[str]], Sequence[float]]) -> Callable:
+    return lambda texts: [None if value is None else float(value) for value in scorer(texts)]
+
+
+def score_text(df: DataFrame, scorer: Callable[[Sequence[str]], Sequence[float]], text: Column,
+               out: str = "score", tries: int = TRIES,
+               transient: tuple[type[Exception], ...] = TRANSIENT, outcome: Outcome | None = None) -> DataFrame:
+    """A number per text from an outside scorer, in batches; failures are null."""
+    return asked(df, _number(scorer), [text], DoubleType(), out, tries, transient, outcome)
 
 
 def label_text(df: DataFrame, classifier: Callable[[Sequence[str]], Sequence[tuple[str, float]]], text: Column,
                label: str = "label", score: str = "score", tries: int = TRIES,
-               transient: tuple[type[Exception], ...] = TRANSIENT) -> DataFrame:
+               transient: tuple[type[Exception], ...] = TRANSIENT, outcome: Outcome | None = None) -> DataFrame:
     """A label and its score per text from an outside classifier, in batches; failures are null."""
 
-    @F.pandas_udf(_LABELLED)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        calls = _Calls(classifier, tries, transient)
-        for batch in batches:
-            asked = batch.notna()
-            found = pd.DataFrame({"label": pd.Series([None] * len(batch), index=batch.index, dtype=object),
-                                  "score": pd.Series([None] * len(batch), index=batch.index, dtype="float64")})
-            if asked.any():
-                made = [reply or (None, None) for reply in calls([batch[asked].tolist()])]
-                found.loc[asked, "label"] = [reply[0] for reply in made]
-                found.loc[asked, "score"] = pd.Series([reply[1] for reply in made], dtype="float64").to_numpy()
-            yield found
-        calls.check()
+    def named(texts: Sequence[str]) -> list:
+        return [None if found is None else {"label": found[0], "score": found[1]} for found in classifier(texts)]
 
-    made = df.withColumn("_labelled", run.asNondeterministic()(text))
+    made = asked(df, named, [text], _LABELLED, "_labelled", tries, transient, outcome)
     return made.withColumns({label: F.col("_labelled.label"), score: F.col("_labelled.score")}).drop("_labelled")
 
 
+class _Superseded(BaseException):
+    """Ends a task whose texts another attempt asks; no failure of a call."""
+
+
+class Allowance:
+    """At most ``calls`` texts in any ``period`` seconds, whatever the batches: a window slides over the calls sent."""
+
+    def __init__(self, calls: int, period: float, sleep: Callable[[float], None] = time.sleep):
+        if calls < 1:
+            raise ValueError("an allowance needs a call")
+        self.calls, self.period, self.sleep = calls, period, sleep
+        self.sent: deque[tuple[float, int]] = deque()
+        self.used = 0
+
+    def take(self, n: int) -> None:
+        """Wait until ``n`` more texts may be sent."""
+        while True:
+            now = time.monotonic()
+            while self.sent and now - self.sent[0][0] >= self.period:
+                self.used -= self.sent.popleft()[1]
+            if self.used + n <= self.calls:
+                self.sent.append((now, n))
+                self.used += n
+                return
+            self.sleep(self.sent[0][0] + self.period - now)
+
+    def limited(self, fn: Callable) -> Callable:
+        """``fn`` asked in batches that the allowance holds."""
+
+        def ask(texts: Sequence, *rest: Sequence) -> list:
+            out: list = []
+            for at in range(0, len(texts), self.calls):
+                part = slice(at, at + self.calls)
+                self.take(len(texts[part]))
+                out += list(fn(texts[part], *[column[part] for column in rest]))
+            return out
+
+        return ask
+
+
 def throttled(fn: Callable, per_minute: float) -> Callable:
-    """Keep a task below a number of texts per minute, for services with a quota.
+    """Keep one task below a number of texts per minute, evenly paced; a batch larger than that is cut.
 
-    Tasks do not know of each other: divide a service's quota by the tasks that run at once.
+    Tasks do not know of each other: see ``scored_under_quota`` for the quota of a service.
     """
+    allowance = Allowance(max(1, int(per_minute)), 60.0)
 
     def slow(texts, *rest):
         start = time.monotonic()
-        found = fn(texts, *rest)
+        found = allowance.limited(fn)(texts, *rest)
         time.sleep(max(0.0, 60.0 * len(texts) / per_minute - (time.monotonic() - start)))
         return found
 
     return slow
 
 
+def scored_under_quota(df: DataFrame, scorer: Callable[[Sequence[str]], Sequence[float]], text: str, quota: int,
+                       period: float = 60.0, out: str = "score", tasks: int | None = None, tries: int = TRIES,
+                       transient: tuple[type[Exception], ...] = TRANSIENT) -> DataFrame:
+    """A number per text from a service that allows ``quota`` texts in any ``period`` seconds, all tasks together.
+
+    The tasks start together, as a barrier stage, and tell each other whether they
+    have texts to ask; the quota is shared by those that do. A task never has more than its share in
+    any period, and calls that are tried again count again. Before its first call an attempt leaves a mark in
+    the shared folder. When the tasks are run again, as a whole after a failure or by another action, they leave
+    their own mark and let a whole period pass; tasks of the attempt before that still run stop at it before
+    their next call. So calls of two attempts never fall into one period.
+
+    Needs as many free slots as ``tasks`` (four, or the cluster's slots if fewer), which never exceed the quota.
+    """
+    if quota < 1:
+        raise ValueError("a quota needs a call")
+    width = min(tasks or 4, df.sparkSession.sparkContext.defaultParallelism, quota)
+    spread = df.repartition(width)
+    schema = StructType([*spread.schema.fields, StructField(out, DoubleType())])
+    at, folder = spread.columns.index(text), fresh_path(df.sparkSession, "quota")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = BarrierTaskContext.get()
+        first = next(batches, None)
+        marks = _Marks(folder)
+        before = marks.seen()
+        told = context.allGather(f"{first is not None and first.num_rows > 0} {before != set()} {uuid.uuid4().hex}")
+        busy = [found.startswith("True") for found in told]
+        if first is None:
+            return
+        own = told[0].split()[2]
+        marks.leave(own)
+        if any(found.split()[1] == "True" for found in told):
+            time.sleep(period)
+        asked_service = _number(scorer)
+
+        def ask(texts: Sequence[str]) -> list:
+            now = marks.seen()
+            if before is not None and now is not None and now - before - {own}:
+                raise _Superseded("another attempt at these texts has begun")
+            return asked_service(texts)
+
+        # Shares differ by one at most and add up to the quota.
+        rank, n = sum(busy[: context.partitionId()]), max(1, sum(busy))
+        allowance = Allowance(quota // n + (rank < quota % n), period)
+        calls = _Calls(allowance.limited(ask), tries, transient)
+        for batch in itertools.chain([first], batches):
+            texts = batch.column(at).to_pylist()
+            asked_at = [k for k, value in enumerate(texts) if value is not None]
+            values: list = [None] * len(texts)
+            if asked_at:
+                for k, value in zip(asked_at, calls([[texts[k] for k in asked_at]])):
+                    values[k] = value
+            columns = [*batch.columns, pa.array(values, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, out])
+
+    # A barrier stage is only run again if its rows go into a shuffle: one that ends the job fails it.
+    return spread.mapInArrow(run, schema, barrier=True).repartition(width)
+
+
+class _Marks:
+    """The attempts at a job that have begun to ask, each a folder in one that all tasks see.
+
+    Where a store can't be reached from tasks, nothing is known: every attempt then waits a
+    period, and one that was given up is not stopped.
+    """
+
+    def __init__(self, folder: str):
+        self.folder = folder
+
+    def _open(self) -> tuple[fs.FileSystem, str]:
+        return fs.FileSystem.from_uri(self.folder) if ":" in self.folder else (fs.LocalFileSystem(), self.folder)
+
+    def seen(self) -> set[str] | None:
+        try:
+            store, path = self._open()
+            return {f.base_name for f in store.get_file_info(fs.FileSelector(path, allow_not_found=True))}
+        except (OSError, pa.ArrowException):
+            return None
+
+    def leave(self, name: str) -> None:
+        try:
+            store, path = self._open()
+            store.create_dir(f"{path}/{name}", recursive=True)
+        except (OSError, pa.ArrowException):
+            pass
+
+
 def candidate_replies(fn: CandidateFunction, prompt: Column, cand_idx: Column,
                       tries: int = TRIES, transient: tuple[type[Exception], ...] = TRANSIENT) -> Column:
-    @F.pandas_udf(StringType())
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        calls = _Calls(fn, tries, transient)
-        for prompts, numbers in batches:
-            if len(prompts):
-                yield pd.Series(calls([prompts.tolist(), numbers.tolist()]), dtype=object)
-            else:
-                yield pd.Series([], dtype=object)
-        calls.check()
-
-    return run.asNondeterministic()(prompt, cand_idx)
+    return _asking(fn, StringType(), tries, transient)(prompt, cand_idx)["reply"]
 
 
 def fan_out(df: DataFrame, n_gens: int = DEFAULT_CANDIDATES, prompt: str = "prompt",
@@ -182,18 +318,20 @@ def fan_out(df: DataFrame, n_gens: int = DEFAULT_CANDIDATES, prompt: str = "prom
 
 
 def generate(df: DataFrame, generator: CandidateFunction, n_gens: int = DEFAULT_CANDIDATES,
-             prompt: str = "prompt", max_words: int | None = None, keep_failed: bool = False) -> DataFrame:
+             prompt: str = "prompt", max_words: int | None = None, keep_failed: bool = False,
+             outcome: Outcome | None = None) -> DataFrame:
     """The long candidate table; candidates that failed are dropped, or kept with a null ``gen``."""
-    asked = fan_out(df, n_gens, prompt, max_words)
+    wanted = fan_out(df, n_gens, prompt, max_words)
     # Model calls dominate, so rows are dealt out evenly, equal prompts too.
-    spread = asked.repartition(shuffle_width(df.sparkSession))
-    made = spread.withColumn("gen", candidate_replies(generator, F.col(prompt), F.col("cand_idx")))
+    spread = wanted.repartition(shuffle_width(df.sparkSession))
+    made = asked(spread, generator, [F.col(prompt), F.col("cand_idx")], out="gen", outcome=outcome)
     return made if keep_failed else made.filter(F.col("gen").isNotNull())
 
 
 def judge(cands: DataFrame, judge_fn: BatchFunction, template: str, n: int = 1,
-          include_prompt: bool = True) -> DataFrame:
+          include_prompt: bool = True, outcome: Outcome | None = None) -> DataFrame:
     """Fill the template with each of the first n candidates and ask the judge."""
     chosen = cands.filter(F.col("cand_idx") < n)
     question = fill(template, scored_text(F.col("prompt"), F.col("gen"), include_prompt))
-    return chosen.withColumn("response", replies(judge_fn, question))
+    return asked(chosen.withColumn("_question", question), judge_fn, [F.col("_question")], out="response",
+                 outcome=outcome).drop("_question")

@@ -21,25 +21,40 @@ from quillspark.session import materialize
 LEAF_ROWS = 4096
 # Histogram size, and so the most rows one pass collects.
 HEX_DIGITS_PER_PASS = 4
+HASH_DIGITS = 32
 
 
 @dataclass(frozen=True)
 class Cut:
-    """The key of the row at some rank; ``upto`` selects the rows up to it."""
+    """The place of a rank in an order; ``upto`` selects the rows up to it.
+
+    ``values`` is the order key of the row there. If rows that are equal altogether stand on both sides,
+    no filter can tell them apart: ``taken`` of ``same`` equal rows are in front.
+    """
 
     columns: tuple[Column, ...]
     values: tuple | None  # None: before the first row
     everything: bool = False
+    taken: int = 0
+    same: int = 0
+
+    @property
+    def parts_equal_rows(self) -> bool:
+        return 0 < self.taken < self.same
+
+    def below(self) -> Column:
+        """Rows in front of those that are equal to the row at the cut."""
+        return _below(self.columns, self.values)
+
+    def equal(self) -> Column:
+        return _equal(self.columns, self.values)
 
     def upto(self) -> Column:
         if self.everything:
             return F.lit(True)
         if self.values is None:
             return F.lit(False)
-        test = F.lit(True)
-        for column, value in reversed(list(zip(self.columns, self.values))):
-            test = (column < F.lit(value)) | ((column == F.lit(value)) & test)
-        return test
+        return self.below() | self.equal()
 
 
 def hash_key(ids: Sequence[str], seed: int) -> Column:
@@ -51,8 +66,9 @@ def hash_cuts(df: DataFrame, ids: Sequence[str], seed: int,
               ranks: Sequence[int] | Callable[[int], Sequence[int]]) -> list[Cut]:
     """The cuts at the given 1-based ranks of the seeded order.
 
-    Ranks may depend on the row count, which the first pass yields anyway.
-    ``ids`` must name a unique row key.
+    Ranks may depend on the row count, which the first pass yields anyway. Rows that share
+    ``ids`` are ordered by a hash of the whole row; only if a rank falls among such rows are they
+    read, sorted apart and counted, however many they are.
     """
     columns = (hash_key(ids, seed), *[F.col(c) for c in ids])
     keys = df.select(hash_key(ids, seed).alias("_h"), *ids)
@@ -71,9 +87,7 @@ def hash_cuts(df: DataFrame, ids: Sequence[str], seed: int,
             found[rank] = Cut(columns, None, everything=True)
         else:
             open_ranks[rank] = _locate(top, rank)
-    while any(size > LEAF_ROWS for _, _, size in open_ranks.values()):
-        if width >= 32:
-            raise ValueError(f"{list(ids)} is not a unique row key")
+    while width < HASH_DIGITS and any(size > LEAF_ROWS for _, _, size in open_ranks.values()):
         buckets = {b for b, _, size in open_ranks.values() if size > LEAF_ROWS}
         inside = keys.filter(F.substring("_h", 1, width).isin(*buckets))
         finer = width + HEX_DIGITS_PER_PASS
@@ -82,22 +96,67 @@ def hash_cuts(df: DataFrame, ids: Sequence[str], seed: int,
             if size > LEAF_ROWS:
                 open_ranks[rank] = _locate({k: v for k, v in hist.items() if k.startswith(bucket)}, offset)
         width = finer
-    if open_ranks:
+    small = {rank: held for rank, held in open_ranks.items() if held[2] <= LEAF_ROWS}
+    if small:
         near = F.lit(False)
-        for bucket in {b for b, _, _ in open_ranks.values()}:
+        for bucket in {b for b, _, _ in small.values()}:
             near = near | F.col("_h").startswith(bucket)
-        rows = sorted(tuple(r) for r in keys.filter(near).collect())
-        for rank, (bucket, offset, _) in open_ranks.items():
+        rows = sorted((tuple(r) for r in keys.filter(near).collect()), key=_nulls_first)
+        for rank, (bucket, offset, _) in small.items():
             inside = [r for r in rows if r[0].startswith(bucket)]
-            found[rank] = Cut(columns, _at(inside, offset, ids))
+            key = inside[offset - 1]
+            first = inside.index(key)
+            same = inside.count(key)
+            found[rank] = Cut(columns, key, taken=same, same=same) if offset - first == same else _among(
+                df.filter(_equal(columns, key)), columns, key, offset - first)
+    for rank, (bucket, offset, _) in open_ranks.items():
+        # A whole hash in one bucket: rows of one key, unless two keys share their hash.
+        if rank not in small:
+            found[rank] = _among(df.filter(columns[0] == bucket), columns, None, offset)
     return [found[r] for r in ranks]
 
 
-def _at(rows: list[tuple], rank: int, keys: Sequence[str]) -> tuple:
-    """The key at a rank; two rows with that key would make the cut inexact."""
-    if rank < len(rows) and rows[rank] == rows[rank - 1]:
-        raise ValueError(f"{list(keys)} is not a unique row key")
-    return rows[rank - 1]
+def _nulls_first(key: tuple) -> tuple:
+    return tuple((value is not None, value) if value is not None else (False,) for value in key)
+
+
+def _among(rows: DataFrame, columns: tuple[Column, ...], key: tuple | None, rank: int) -> Cut:
+    """The cut at a rank of rows that share a hash, in the order of ids and a hash of the whole row."""
+    whole = (*columns, F.xxhash64(*rows.columns), F.hash(*rows.columns))
+    names = [f"_k{i}" for i in range(len(whole))]
+    ranked = numbered(rows.select(*[c.alias(n) for c, n in zip(whole, names)]), names)
+    values = tuple(ranked.filter(F.col("rank") == rank - 1).select(*names).first())
+    same, taken = ranked.filter(_equal([F.col(n) for n in names], values)).agg(
+        F.count(F.lit(1)), F.count_if(F.col("rank") < rank)).first()
+    return Cut(whole, values, taken=taken, same=same)
+
+
+def dealt(df: DataFrame, cuts: Sequence[Cut], name: str) -> DataFrame:
+    """``df`` with the number of the first of some ascending cuts that a row is up to; their count behind all.
+
+    A projection, but for a cut that parts equal rows: as many of those as needed get each number.
+    """
+    part = F.lit(len(cuts))
+    for i in range(len(cuts) - 1, -1, -1):
+        part = F.when(cuts[i].upto(), F.lit(i)).otherwise(part)
+    parting = {}
+    for cut in cuts:
+        if cut.parts_equal_rows:
+            parting.setdefault(cut.values, cut)
+    if not parting:
+        return df.withColumn(name, part)
+    apart = F.lit(False)
+    for cut in parting.values():
+        apart = apart | cut.equal()
+    out = df.filter(~apart).withColumn(name, part)
+    for values, cut in parting.items():
+        # How many of the equal rows are up to each cut: none for cuts in front of them, all for cuts behind.
+        at = [i for i, other in enumerate(cuts) if other.values == values]
+        upto = [cuts[i].taken if i in at else 0 if i < at[0] else cut.same for i in range(len(cuts))]
+        counts = [b - a for a, b in zip([0, *upto], [*upto, cut.same])]
+        numbers = F.flatten(F.array(*[F.array_repeat(F.lit(i), n) for i, n in enumerate(counts) if n]))
+        out = out.unionByName(df.filter(cut.equal()).limit(1).withColumn(name, F.explode(numbers)))
+    return out
 
 
 def _locate(hist: dict[str, int], rank: int) -> tuple[str, int, int]:

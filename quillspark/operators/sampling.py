@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillspark.operators.filters import partition_by_flag
-from quillspark.operators.ranking import hash_cuts, parted
+from quillspark.operators.ranking import dealt, hash_cuts, parted
 
 # Defaults of the operators.
 SEED = 42
@@ -22,9 +22,11 @@ def _names(cols: str | Sequence[str]) -> list[str]:
 
 
 def seeded_sample(df: DataFrame, ids: str | Sequence[str], n: int, seed: int = SEED) -> DataFrame:
-    """Exactly ``min(n, rows)`` rows, the first ones of the seeded order."""
+    """Exactly ``min(n, rows)`` rows, the first ones of the seeded order. Rows that share ``ids`` are ordered by their hash."""
     (cut,) = hash_cuts(df, _names(ids), seed, [n])
-    return df.filter(cut.upto())
+    if not cut.parts_equal_rows:
+        return df.filter(cut.upto())
+    return dealt(df, [cut], "_part").filter(F.col("_part") == 0).drop("_part")
 
 
 def split_sizes(total: int, ratios: Sequence[float]) -> list[int]:
@@ -37,7 +39,7 @@ def split_exact(df: DataFrame, ids: str | Sequence[str], ratios: Sequence[float]
     """Add ``split``: exact sizes by ratio over the seeded order.
 
     Parts are disjoint and cover the table; rows left over by rounding go to
-    test. ``legacy_bounds`` gives the overlapping parts of an inclusive slice:
+    test. Rows that share ``ids`` are ordered by their hash, and equal rows may go to several parts. ``legacy_bounds`` gives the overlapping parts of an inclusive slice:
     one row more in train, validation starting at that row, and all rows in test.
     """
     keys = _names(ids)
@@ -48,17 +50,13 @@ def split_exact(df: DataFrame, ids: str | Sequence[str], ratios: Sequence[float]
             return [train, train + 1, train + validation + 1]
         return [train, train + validation]
 
+    numbered = dealt(df, hash_cuts(df, keys, seed, bounds), "split")
     if not legacy_bounds:
-        first, second = hash_cuts(df, keys, seed, bounds)
-        part = F.when(first.upto(), SPLITS[0]).when(second.upto(), SPLITS[1]).otherwise(SPLITS[2])
-        return df.withColumn("split", part)
-    before, first, second = hash_cuts(df, keys, seed, bounds)
-    parts = F.array(
-        F.when(first.upto(), SPLITS[0]),
-        F.when(second.upto() & ~before.upto(), SPLITS[1]),
-        F.lit(SPLITS[2]),
-    )
-    return df.withColumn("split", F.explode(F.filter(parts, lambda s: s.isNotNull())))
+        return numbered.withColumn("split", F.element_at(F.array(*map(F.lit, SPLITS)), F.col("split") + 1))
+    train, validation, test = SPLITS
+    parts = [(train, test), (train, validation, test), (validation, test), (test,)]
+    listed = F.array(*[F.array(*map(F.lit, p)) for p in parts])
+    return numbered.withColumn("split", F.explode(F.element_at(listed, F.col("split") + 1)))
 
 
 def head(df: DataFrame, n: int, order_by: str | Sequence[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from quillspark.functions.parse import judge_score, parse_cot, parse_score, pars
 from quillspark.functions.text import scored_text
 from quillspark.operators.classify import NaiveBayes
 from quillspark.operators.metrics import accuracy
-from quillspark.operators.opaque import BatchFunction, CandidateFunction, generate, judge
+from quillspark.operators.opaque import BatchFunction, CandidateFunction, Outcome, generate, judge
 from quillspark.operators.prompts import judge_template
 from quillspark.operators.sampling import split_exact
 from quillspark.session import materialize
@@ -57,10 +57,14 @@ def distill(prompts: DataFrame, generator: CandidateFunction, judge_fn: BatchFun
             prompt_id: str, n_gens: int = 3) -> DataFrame:
     """Accuracy of a classifier that was trained on a judge's verdicts.
 
-    Model replies are written once: they are costly and may differ when asked again.
+    Model replies are written once: they are costly and may differ when asked again. A model
+    that failed on every row of the job is an error.
     """
-    cands = materialize(generate(prompts, generator, n_gens), "candidates")
-    judged = materialize(verdicts(judge(cands, judge_fn, judge_template(question), n_gens)), "verdicts")
+    generated, said = Outcome("generator"), Outcome("judge")
+    cands = materialize(generate(prompts, generator, n_gens, outcome=generated), "candidates")
+    generated.check()
+    judged = materialize(verdicts(judge(cands, judge_fn, judge_template(question), n_gens, outcome=said)), "verdicts")
+    said.check()
     rows = training_rows(judged).withColumn(
         "row_id", F.concat_ws(":", F.col(prompt_id).cast("string"), "cand_idx"))
     return accuracy(train_and_predict(rows, "row_id"), "pred", "label")

@@ -38,6 +38,25 @@ LEXICON = {
     "is": "VERB", "it": "PRON",
 }
 
+# The same and more of them with all tags they may have and a cost for each, what a word may be that the
+# lexicon lacks, and what one tag behind another costs; the empty tag stands in front of a sentence.
+TAG_COSTS = [
+    ("the", "DET", 0), ("a", "DET", 1), ("a", "ADP", 4), ("an", "DET", 0), ("la", "DET", 1), ("la", "PRON", 3),
+    ("le", "DET", 1), ("le", "PRON", 3), ("un", "DET", 1), ("un", "NUM", 3), ("der", "DET", 1), ("der", "PRON", 4),
+    ("die", "DET", 1), ("die", "VERB", 5), ("el", "DET", 0), ("of", "ADP", 0), ("in", "ADP", 1), ("in", "PRT", 4),
+    ("on", "ADP", 1), ("on", "PRT", 2), ("de", "ADP", 0), ("and", "CONJ", 0), ("und", "CONJ", 0), ("et", "CONJ", 0),
+    ("is", "VERB", 0), ("it", "PRON", 0), ("that", "CONJ", 2), ("that", "DET", 2), ("that", "PRON", 2), ("to", "PRT", 1),
+    ("to", "ADP", 1), ("que", "CONJ", 1), ("que", "PRON", 1), ("los", "DET", 1), ("los", "PRON", 3), ("as", "ADP", 1), ("as", "ADV", 2),
+]
+UNKNOWN_TAGS = [("NOUN", 2), ("VERB", 3), ("ADJ", 4)]
+TRANSITIONS = {
+    ("", "DET"): 1, ("", "PRON"): 2, ("", "NOUN"): 3, ("", "VERB"): 4, ("", "ADP"): 3, ("DET", "NOUN"): 0, ("DET", "ADJ"): 1,
+    ("ADJ", "NOUN"): 0, ("ADJ", "ADJ"): 3, ("NOUN", "VERB"): 1, ("NOUN", "ADP"): 1, ("NOUN", "CONJ"): 2, ("NOUN", "NOUN"): 3,
+    ("PRON", "VERB"): 0, ("VERB", "DET"): 1, ("VERB", "ADP"): 2, ("VERB", "PRT"): 2, ("VERB", "NOUN"): 3, ("VERB", "ADV"): 2,
+    ("ADP", "DET"): 0, ("ADP", "NOUN"): 1, ("ADP", "PRON"): 2, ("PRT", "VERB"): 0, ("CONJ", "NOUN"): 2, ("CONJ", "DET"): 1,
+    ("CONJ", "VERB"): 2, ("ADV", "ADJ"): 1, ("ADV", "VERB"): 2,
+}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -23,6 +23,9 @@ RUNTIME_SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+# Masters whose executors run on other machines; local and local-cluster are one machine.
+CLUSTERS = ("spark://", "yarn", "k8s://")
+
 # Paths given out by ``fresh_path``, in order.
 _written: list[str] = []
 
@@ -72,9 +75,24 @@ def shared_folder(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", folder)
     if folder is None:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    _refuse_own_disk(spark, folder)
     return folder.rstrip("/")
 
 
+def _refuse_own_disk(spark: SparkSession, folder: str) -> None:
+    """A cluster's executors don't see a temporary folder of the driver's machine.
+
+    Only the usual places of such folders are known to be a machine's own: a ``file:`` path may be a
+    mount that all machines share.
+    """
+    path = re.sub(r"^file:(//[^/]*)?", "", folder)
+    own = {tempfile.gettempdir(), "/tmp", "/var/tmp", "/dev/shm"}
+    local = "://" not in folder or folder.startswith("file:")
+    inside = any(path == top or path.startswith(f"{top.rstrip('/')}/") for top in own)
+    if local and inside and spark.sparkContext.master.startswith(CLUSTERS):
+        raise ValueError(f"spark.checkpoint.dir is {folder}, which executors on other machines don't see")
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     _written.append(path)
@@ -88,13 +106,29 @@ def release(spark: SparkSession, since: int = 0) -> int:
     """
     paths = _written[since:]
     del _written[since:]
-    jvm = spark.sparkContext._jvm
     for path in paths:
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        remove(spark, path)
     return len(paths)
 
 
+def _store(spark: SparkSession, path: str):
+    """The store of a path, and the path in it; any store that Spark writes to."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, if it is there."""
+    store, target = _store(spark, path)
+    store.delete(target, True)
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    """Make a folder, if it is not there."""
+    store, target = _store(spark, path)
+    store.mkdirs(target)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables written inside are deleted at the end."""

@@ -1,6 +1,7 @@
 """Operators against brute force, with hot keys and with settings forced small."""
 
 import math
+import os
 import random
 import time
 import warnings
@@ -58,10 +59,28 @@ def test_sample_is_a_prefix_of_the_seeded_order(spark, small_leaf):
     assert sp.seeded_sample(numbers(spark, 5), "k", 90).count() == 5
 
 
-def test_repeated_keys_are_refused(spark, small_leaf):
-    copies = spark.range(60).select((F.col("id") % 2).alias("k"))
-    with pytest.raises(ValueError):
-        sp.seeded_sample(copies, "k", 10)
+def test_repeated_keys_have_exact_parts(spark, monkeypatch):
+    """Two keys of rows that are equal altogether, and repeated and null keys: every size is exact."""
+    monkeypatch.setattr(rk, "LEAF_ROWS", 3)
+    monkeypatch.setattr(rk, "HEX_DIGITS_PER_PASS", 16)
+    tables = [
+        spark.range(60).select((F.col("id") % 2).alias("k")),
+        spark.range(60).select(F.when(F.col("id") % 3 > 0, F.col("id") % 20).alias("k"), F.col("id").alias("v")),
+    ]
+    for df in tables:
+        rows = Counter(map(tuple, df.collect()))
+        n = sum(rows.values())
+        before = Counter()
+        for size in (7, 8, 31):
+            found = Counter(map(tuple, sp.seeded_sample(df, "k", size).collect()))
+            assert sum(found.values()) == size and found <= rows and before <= found
+            before = found
+        assert before == Counter(map(tuple, sp.seeded_sample(df.repartition(3), "k", 31).collect()))
+        parts = sp.split_exact(df, "k", (0.5, 0.05, 0.45)).collect()
+        sizes = Counter(r["split"] for r in parts)
+        assert (sizes["train"], sizes["validation"]) == (30, 3) and Counter(tuple(r)[:-1] for r in parts) == rows
+    legacy = Counter(r["split"] for r in sp.split_exact(tables[0], "k", legacy_bounds=True).collect())
+    assert (legacy["train"], legacy["validation"], legacy["test"]) == (43, 10, n)
 
 
 def test_parted_with_a_hot_first_key(spark):
@@ -257,16 +276,14 @@ def _ngrams(tokens, n):
 
 
 @pytest.mark.parametrize("floor", [10_000, 20])
-def test_distinct_n_against_sets(spark, monkeypatch, floor):
+def test_distinct_n_against_sets(spark, floor):
     """With a low floor the hot group takes the other way to the same numbers."""
-    real = jn.split_hot
-    monkeypatch.setattr(mt, "split_hot", lambda df, key: real(df, key, floor=floor))
     random.seed(2)
     rows = [(0 if i % 3 == 0 else i % 4 + 1, " ".join(random.choices("a b c d .".split(), k=random.randint(0, 9))))
             for i in range(120)] + [(99, "only one")]
     df = spark.createDataFrame(rows, "g int, gen string")
     for normalize in ("candidates", "ngrams"):
-        found = {r["g"]: r for r in mt.distinct_n(df, "g", normalize=normalize).collect()}
+        found = {r["g"]: r for r in mt.distinct_n(df, "g", normalize=normalize, floor=floor).collect()}
         assert 99 not in found
         for g in {g for g, _ in rows} - {99}:
             texts = [t.split() for k, t in rows if k == g]
@@ -398,18 +415,59 @@ def test_bleu_and_rouge_keep_repeated_ids_apart(spark):
     assert "Join" not in plan
 
 
-def test_failures_of_a_whole_task_are_an_error(spark):
+@pytest.mark.parametrize("parts", [1, 4, 40])
+def test_failures_are_judged_by_the_whole_job(spark, parts):
+    """One bad row of eight, alone in a task or not, is a null; only a job that failed throughout is an error."""
+    def picky(texts):
+        if any(t == "bad" for t in texts):
+            raise TypeError("no such argument")
+        return [t.upper() for t in texts]
+
     def broken(texts):
         raise TypeError("no such argument")
 
-    df = spark.createDataFrame([(i, "t") for i in range(4)], "id int, t string").coalesce(1)
-    with pytest.raises(Exception, match="all 4 calls of a task failed"):
-        df.select(op.replies(broken, F.col("t")).alias("x")).collect()
-    made = op.generate(df.withColumnRenamed("t", "prompt"), lambda prompts, numbers: [
+    rows = [(i, "bad" if i == 3 else None if i == 5 else f"t{i}") for i in range(8)]
+    df = spark.createDataFrame(rows, "id int, t string").repartition(parts, "id")
+    seen = op.Outcome()
+    found = {r["id"]: r["x"] for r in op.asked(df, picky, [F.col("t")], out="x", outcome=seen).collect()}
+    assert found == {i: None if t in ("bad", None) else t.upper() for i, t in rows}
+    assert (seen.seen.get["asked"], seen.seen.get["failed"]) == (7, 1)
+    seen.check()
+    with pytest.raises(RuntimeError, match="1 of 7 calls failed"):
+        seen.check(most=0.1)
+    lost = op.Outcome()
+    assert op.asked(df, broken, [F.col("t")], out="x", outcome=lost).filter("x IS NOT NULL").count() == 0
+    with pytest.raises(RuntimeError, match="7 of 7 calls failed, one with TypeError"):
+        lost.check()
+    prompts = spark.createDataFrame([(i, "t") for i in range(4)], "id int, prompt string").repartition(parts)
+    made = op.generate(prompts, lambda prompts, numbers: [
         None if n == 1 else p for p, n in zip(prompts, numbers)], 3, keep_failed=True)
     assert made.filter("gen IS NULL").count() == 4 and made.count() == 12
 
 
+def test_a_job_without_calls_is_no_error(spark):
+    seen = op.Outcome()
+    df = spark.createDataFrame([(None,)], "t string")
+    assert op.asked(df, len, [F.col("t")], out="x", outcome=seen).collect()[0]["x"] is None
+    seen.check()
+
+
+def test_bad_rows_are_found_by_halving():
+    asked = []
+
+    def picky(texts):
+        asked.append(len(texts))
+        if "bad" in texts:
+            raise ValueError("bad")
+        return texts
+
+    calls = op._Calls(picky, 3, op.TRANSIENT)
+    texts = [f"t{i}" for i in range(10_000)]
+    texts[1234] = texts[7777] = "bad"
+    assert calls([texts]) == [None if t == "bad" else t for t in texts]
+    assert [k for k, error in enumerate(calls.errors) if error] == [1234, 7777] and len(asked) < 60
+
+
 def test_only_transient_errors_are_tried_again():
     asked = []
 
@@ -419,6 +477,7 @@ def test_only_transient_errors_are_tried_again():
 
     calls = op._Calls(down, 3, op.TRANSIENT)
     assert calls([["a", "b"]]) == [None, None] and asked == [["a", "b"]] * 3
+    assert all("down" in error for error in calls.errors)
     asked.clear()
     calls = op._Calls(lambda texts: asked.append(list(texts)) or [t for t in texts if t != "b"], 3, op.TRANSIENT)
     assert calls([["a", "b"]]) == ["a", None] and asked == [["a", "b"], ["a"], ["b"]]
@@ -452,6 +511,63 @@ def test_throttle_waits():
     assert time.monotonic() - start >= 0.19
 
 
+def test_allowance_slides():
+    clock = []
+    allowance = op.Allowance(10, 0.3)
+    ask = allowance.limited(lambda texts: clock.extend([time.monotonic()] * len(texts)) or texts)
+    assert ask([str(i) for i in range(25)]) == [str(i) for i in range(25)]
+    assert ask(["x"] * 3) == ["x"] * 3
+    assert all(sum(t <= u < t + 0.3 for u in clock) <= 10 for t in clock)
+    with pytest.raises(ValueError):
+        op.Allowance(0, 1.0)
+
+
+def _most_at_once(path, period):
+    """The most texts that were sent in any period, by the times the service has noted."""
+    with open(path) as log:
+        sent = [(float(at), int(n)) for at, n in (line.split() for line in log)]
+    return max(sum(n for u, n in sent if t <= u < t + period) for t, _ in sent), sum(n for _, n in sent)
+
+
+def test_tasks_share_a_quota(spark, tmp_path):
+    """Four tasks keep 20 texts in any 1.5 seconds together; so do they when a task dies and all are run again."""
+    period, quota = 1.5, 20
+    steady, dying, died = (str(tmp_path / name) for name in ("steady", "dying", "died"))
+    rows = [(i, None if i == 7 else "w " * (i % 5 + 1)) for i in range(70)]
+    df = spark.createDataFrame(rows, "id int, t string")
+
+    def service(log, fatal):
+        def ask(texts):
+            with open(log, "a") as file:
+                file.write(f"{time.time()} {len(texts)}\n")
+            if fatal and "w w w w w " in texts:
+                try:
+                    os.mkdir(fatal)
+                except FileExistsError:
+                    pass
+                else:
+                    os._exit(3)
+            return [len(t.split()) for t in texts]
+        return ask
+
+    expected = {i: None if t is None else float(len(t.split())) for i, t in rows}
+    for log, fatal in ((steady, None), (dying, died)):
+        made = op.scored_under_quota(df, service(log, fatal), "t", quota, period)
+        assert {r["id"]: r["score"] for r in made.collect()} == expected
+        most, total = _most_at_once(log, period)
+        assert most <= quota and total >= 69
+    assert os.path.isdir(died)
+
+
+def test_quota_smaller_than_the_tasks_and_empty_tasks(spark):
+    df = spark.createDataFrame([(1, "a b"), (2, None)], "id int, t string")
+    made = op.scored_under_quota(df, lambda texts: [len(t) for t in texts], "t", 1, 0.2, tasks=8)
+    assert sorted(made.collect()) == [(1, "a b", 3.0), (2, None, None)]
+    assert op.scored_under_quota(df.limit(0), len, "t", 5, 0.2).count() == 0
+    with pytest.raises(ValueError):
+        op.scored_under_quota(df, len, "t", 0)
+
+
 def test_fan_out_limits(spark):
     df = spark.createDataFrame([("a b c",), (None,)], "prompt string")
     rows = op.fan_out(df, 2, max_words=2).collect()
