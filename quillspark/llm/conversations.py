@@ -189,13 +189,24 @@ def counted(marked: DataFrame) -> DataFrame:
 SPAN = "conv_id {}, part int, heads string, tails string, illegal long, costs array<long>, audits array<string>"
 
 
-def _span_batch(names: pa.DataType, conv, part: int, heads: str, tails: str, illegal: int, cell: Cell) -> pa.RecordBatch:
-    found = [cell[p].get(q) for p in range(4) for q in range(4)]
-    return pa.RecordBatch.from_arrays([
-        pa.array([conv], names), pa.array([part], pa.int32()), pa.array([heads], pa.string()), pa.array([tails], pa.string()),
-        pa.array([illegal], pa.int64()), pa.array([[f and f[0] for f in found]], pa.list_(pa.int64())),
-        pa.array([[f and f[1] for f in found]], pa.list_(pa.string()))],
-        names=["conv_id", "part", "heads", "tails", "illegal", "costs", "audits"])
+class _Spans:
+    """Spans as batches of some hundred rows."""
+
+    def __init__(self):
+        self.rows: list[tuple] = []
+
+    def add(self, conv, part: int, heads: str, tails: str, illegal: int, cell: Cell) -> None:
+        found = [cell[p].get(q) for p in range(4) for q in range(4)]
+        self.rows.append((conv, part, heads, tails, illegal, [f and f[0] for f in found], [f and f[1] for f in found]))
+
+    def batches(self, names: pa.DataType, least: int) -> Iterator[pa.RecordBatch]:
+        """What is held, if it is ``least`` rows or more."""
+        if len(self.rows) >= max(1, least):
+            kinds = [names, pa.int32(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string())]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(c), kind) for c, kind in zip(zip(*self.rows), kinds)],
+                names=["conv_id", "part", "heads", "tails", "illegal", "costs", "audits"])
+            self.rows = []
 
 
 def _cell(costs: list, audits: list) -> Cell:
@@ -216,7 +227,7 @@ def _leaf_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known[key] = row_cell(*key)
         return known[key]
 
-    chart, conv, part, head, tail, illegal, names = None, None, 0, "", "", 0, None
+    chart, conv, part, head, tail, illegal, names, spans = None, None, 0, "", "", 0, None, _Spans()
     for batch in batches:
         names = batch.schema.field("conv_id").type
         for row in zip(*(batch.column(c).to_pylist() for c in (
@@ -225,7 +236,7 @@ def _leaf_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             initial = role[:1]
             if chart is None or of != conv:
                 if chart is not None:
-                    yield _span_batch(names, conv, part, head, tail, illegal, chart.whole())
+                    spans.add(conv, part, head, tail, illegal, chart.whole())
                 chart, conv, part, head, tail, illegal = Chart(), of, at, initial, None, 0
             illegal += tail is not None and _illegal(tail, initial)
             illegal += (n - 1) * _illegal(initial, initial)
@@ -233,26 +244,30 @@ def _leaf_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             chart.add(cell_of(initial, blank or not fresh, truncated))
             for _ in range(n - 1):
                 chart.add(cell_of(initial, True, truncated))
+        yield from spans.batches(names, 200)
     if chart is not None:
-        yield _span_batch(names, conv, part, head, tail, illegal, chart.whole())
+        spans.add(conv, part, head, tail, illegal, chart.whole())
+        yield from spans.batches(names, 1)
 
 
 def _joined_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One span for each conversation and group of neighbouring spans; they are sorted."""
-    chart, key, head, tail, illegal, names = None, None, "", "", 0, None
+    chart, key, head, tail, illegal, names, spans = None, None, "", "", 0, None, _Spans()
     for batch in batches:
         names = batch.schema.field("conv_id").type
         for of, at, heads, tails, wrong, costs, audits in zip(*(batch.column(c).to_pylist() for c in (
                 "conv_id", "part", "heads", "tails", "illegal", "costs", "audits"))):
             if chart is None or (of, at // SPANS) != key:
                 if chart is not None:
-                    yield _span_batch(names, *key, head, tail, illegal, chart.whole())
+                    spans.add(*key, head, tail, illegal, chart.whole())
                 chart, key, head, tail, illegal = Chart(), (of, at // SPANS), heads, None, 0
             illegal += wrong + (tail is not None and _illegal(tail, heads))
             tail = tails
             chart.add(_cell(costs, audits))
+        yield from spans.batches(names, 200)
     if chart is not None:
-        yield _span_batch(names, *key, head, tail, illegal, chart.whole())
+        spans.add(*key, head, tail, illegal, chart.whole())
+        yield from spans.batches(names, 1)
 
 
 def _bests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
