@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillspark.llm.common import ALNUM, LOWER, arrow_rows, raw_texts
+from quillspark.llm.common import ALNUM, LOWER, arrow_rows, free, raw_texts
 from quillspark.session import fresh_path, materialize
 
 SAMPLE = 32
@@ -412,9 +412,9 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFra
 
     Contaminated rows are found by id and text hash, so equal rows need no further key.
     """
-    bad = scanned(docs, benchmark, **settings).where("contaminated").select(
-        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    found = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_hash"))
+    own, digest = free(docs, "_id", "_hash")
+    bad = scanned(docs, benchmark, **settings).where("contaminated").select("doc_id", "text_hash").distinct().toDF(own, digest)
+    found = F.col("doc_id").cast("long").eqNullSafe(F.col(own)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(digest))
     return docs.join(bad, found, "left_anti")
 
 

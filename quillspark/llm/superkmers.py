@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quillspark.llm.common import WordHashes, arrow_rows, gram_hashes, keyed, mixed, raw_texts, stored
+from quillspark.llm.common import WordHashes, arrow_rows, free, gram_hashes, keyed, mixed, raw_texts, stored
 from quillspark.session import shuffle_width
 
 PAGE = 1 << 16
@@ -293,22 +293,22 @@ def removals(docs: DataFrame, **settings) -> DataFrame:
 
 def deduplicated(docs: DataFrame, **settings) -> DataFrame:
     """``docs`` without repeated words. A text that loses none stays as it is; one that loses all goes."""
-    read = keyed(docs)
-    spans = repeated_spans(read, **settings).withColumnRenamed("spans", "_spans")
+    *keys, place = free(docs, "_k1", "_k2", "_spans")
+    spans = repeated_spans(keyed(docs.select("doc_id", "text")), **settings).select("_k1", "_k2", "spans").toDF(*keys, place)
 
     def stripped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, keep = [], []
-            for raw, found in zip(raw_texts(batch), batch.column("_spans").to_pylist()):
+            for raw, found in zip(raw_texts(batch), batch.column(place).to_pylist()):
                 kept = _kept(raw.split(), found)
                 keep.append(bool(kept))
                 texts.append(b" ".join(kept).decode())
             at = batch.schema.get_field_index("text")
-            yield batch.set_column(at, "text", pa.array(texts, type=pa.string())).filter(pa.array(keep)).drop_columns(["_spans"])
+            yield batch.set_column(at, "text", pa.array(texts, type=pa.string())).filter(pa.array(keep)).drop_columns([place])
 
-    joined = read.join(spans.hint("shuffle_hash"), ["_k1", "_k2"], "left").drop("_k1", "_k2")
-    whole = joined.where("_spans IS NULL").drop("_spans")
-    changed = joined.where("_spans IS NOT NULL").mapInArrow(stripped, docs.schema)
+    joined = keyed(docs, *keys).join(spans.hint("shuffle_hash"), keys, "left").drop(*keys)
+    whole = joined.where(F.col(place).isNull()).drop(place)
+    changed = joined.where(F.col(place).isNotNull()).mapInArrow(stripped, docs.schema)
     return whole.unionByName(changed)
 
 
