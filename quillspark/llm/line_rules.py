@@ -3,11 +3,9 @@
 Lines are normalised (words joined by one space, A-Z in lower case) and hashed to 64
 bits. Per host and line the distinct documents are counted: copies of one text
 count once, as copying a document doesn't make its lines boilerplate. A line is above the
-limit if more than ``least_docs`` documents hold it, and either more than ``enough_docs``, however
-large the host, or more than ``share`` of the host's documents. The share so counts only for a
-``least_docs`` below ``enough_docs``; a bound that grew with the host would spare the boilerplate of
-the largest hosts. A document is rejected if fewer than ``least_words`` words or less than
-``least_kept`` of its words remain without such lines.
+limit if more than ``least_docs`` documents of the host hold it, however large the host: a bound that grew
+with the host would spare the boilerplate of the largest ones. A document is rejected if fewer than
+``least_words`` words or less than ``least_kept`` of its words remain without such lines.
 
 Built-in functions only. Texts are read once: a row leaves the scan as its counts and a
 list of line hashes, and this narrow table is written and feeds the counts, which are summed
@@ -23,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quillspark.functions.tokens import bind
+from quillspark.llm.common import free
 from quillspark.session import materialize
 
 # What words are made of, symbols, and the base rule's bounds.
@@ -94,26 +93,19 @@ def statistics(docs: DataFrame, host: str = "source") -> DataFrame:
     return materialize(rows, "line-rules")
 
 
-def lines_above_limit(stats: DataFrame, least_docs: int, share: float, enough_docs: int = 20) -> DataFrame:
-    """``host, h``: lines that more than the limit of the host's distinct documents hold."""
+def lines_above_limit(stats: DataFrame, least_docs: int) -> DataFrame:
+    """``host, h``: lines that more than ``least_docs`` distinct documents of the host hold."""
     texts = stats.groupBy("host", "text_hash", "n_chars").agg(
         F.any_value(F.array_distinct("lines.h")).alias("hashes"))
-    texts = materialize(texts.select("host", "hashes"), "line-rules")
-    hosts = texts.groupBy("host").agg(F.count("*").alias("host_docs"))
     counts = texts.select("host", F.explode("hashes").alias("h")).groupBy("host", "h").agg(F.count("*").alias("docs"))
-    frequent = counts.where(F.col("docs") > least_docs)
-    return (
-        frequent.join(hosts, frequent["host"].eqNullSafe(hosts["host"]))
-        .where((F.col("docs") > enough_docs) | (F.col("docs") > F.col("host_docs") * share))
-        .select(frequent["host"], "h")
-    )
+    return counts.where(F.col("docs") > least_docs).select("host", "h")
 
 
-def judged(docs: DataFrame, host: str = "source", *, least_docs: int = 20, share: float = 0.02, enough_docs: int = 20,
-           least_words: int = 10, least_kept: float = 0.3) -> DataFrame:
+def judged(docs: DataFrame, host: str = "source", *, least_docs: int = 20, least_words: int = 10,
+           least_kept: float = 0.3) -> DataFrame:
     """Base counts, ``removed_words`` (in lines above the limit), ``base_failed`` and ``kept`` for each row."""
     stats = statistics(docs, host)
-    bad = lines_above_limit(stats, least_docs, share, enough_docs)
+    bad = lines_above_limit(stats, least_docs)
     lines = stats.select("row_id", "host", F.inline("lines"))
     hits = lines.join(bad, lines["host"].eqNullSafe(bad["host"]) & (lines["h"] == bad["h"]), "left_semi")
     removed = hits.groupBy("row_id").agg(F.sum("n").alias("removed"))
@@ -128,28 +120,29 @@ def judged(docs: DataFrame, host: str = "source", *, least_docs: int = 20, share
     )
 
 
-def cleaned(docs: DataFrame, host: str = "source", *, least_docs: int = 20, share: float = 0.02, enough_docs: int = 20,
-            **limits) -> DataFrame:
+def cleaned(docs: DataFrame, host: str = "source", *, least_docs: int = 20, **limits) -> DataFrame:
     """The documents kept, with all their columns, and without the lines above the limit.
 
     Rows find their verdict by id, host and text hash, so equal rows need no further key.
     """
-    verdicts = judged(docs, host, least_docs=least_docs, share=share, enough_docs=enough_docs, **limits).where("kept").select(
-        F.col("doc_id").alias("_lines_id"), F.col("host").alias("_lines_host"), F.col("text_hash").alias("_lines_hash")).distinct()
-    bad = lines_above_limit(statistics(docs, host), least_docs, share, enough_docs)
+    own, of, digest, row, drop = free(docs, "_id", "_host", "_hash", "_row", "_drop")
+    verdicts = judged(docs, host, least_docs=least_docs, **limits).where("kept").select(
+        "doc_id", "host", "text_hash").distinct().toDF(own, of, digest)
+    bad = lines_above_limit(statistics(docs, host), least_docs)
     found = (
-        F.col("doc_id").eqNullSafe(F.col("_lines_id")) & F.col(host).eqNullSafe(F.col("_lines_host"))
-        & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_lines_hash")))
-    kept = docs.join(verdicts, found, "left_semi").withColumn("_lines_row", F.monotonically_increasing_id())
+        F.col("doc_id").eqNullSafe(F.col(own)) & F.col(host).eqNullSafe(F.col(of))
+        & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(digest)))
+    kept = docs.join(verdicts, found, "left_semi").withColumn(row, F.monotonically_increasing_id())
     kept = materialize(kept, "line-rules")
     lines = kept.select(
-        "_lines_row", F.col(host).alias("host"), F.posexplode(F.split("text", "\n")).alias("at", "line")).withColumn(
+        F.col(row).alias("row"), F.col(host).alias("host"), F.posexplode(F.split("text", "\n")).alias("at", "line")).withColumn(
         "h", line_hash(F.regexp_extract_all("line", F.lit(WORD), F.lit(0))))
     hits = lines.join(bad, lines["host"].eqNullSafe(bad["host"]) & (lines["h"] == bad["h"]), "left_semi")
-    drop = hits.groupBy("_lines_row").agg(F.collect_set("at").alias("_lines_drop"))  # at most the lines of one text
-    rest = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("_lines_drop", i))
-    return kept.join(drop, "_lines_row", "left").withColumn(
-        "text", F.when(F.col("_lines_drop").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n"))).drop("_lines_row", "_lines_drop")
+    # At most the lines of one text.
+    gone = hits.groupBy("row").agg(F.collect_set("at").alias("at")).toDF(row, drop)
+    rest = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains(F.col(drop), i))
+    return kept.join(gone, row, "left").withColumn(
+        "text", F.when(F.col(drop).isNull(), F.col("text")).otherwise(F.array_join(rest, "\n"))).drop(row, drop)
 
 
 ORACLE = r"""
@@ -176,13 +169,8 @@ WITH d AS (
   FROM lw WHERE len(ws) > 0
 ), dup AS (
   SELECT r, count(*) - count(DISTINCT line) AS n FROM ln GROUP BY r
-), hosts AS (
-  SELECT source, count(DISTINCT t) AS docs FROM d GROUP BY source
 ), bad AS (
-  SELECT c.source, c.norm
-  FROM (SELECT source, norm, count(DISTINCT t) AS n FROM ln GROUP BY source, norm) c
-  JOIN hosts h ON c.source IS NOT DISTINCT FROM h.source
-  WHERE c.n > 20 AND c.n > h.docs * 0.02
+  SELECT source, norm FROM ln GROUP BY source, norm HAVING count(DISTINCT t) > 20
 ), gone AS (
   SELECT ln.r, sum(ln.n) AS n FROM ln JOIN bad b ON ln.source IS NOT DISTINCT FROM b.source AND ln.norm = b.norm GROUP BY ln.r
 ), nw AS (

@@ -27,9 +27,9 @@ def fold(doc_id, by=5):
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % by
 
 
-def line_rules(rows, least_docs, share):
+def line_rules(rows, least_docs):
     """(doc_id, host, text) to counts and verdicts."""
-    texts, hosts = defaultdict(set), defaultdict(set)
+    texts = defaultdict(set)
 
     def lines(text):
         return [(line, ws) for line in (text or "").split("\n") if (ws := space_words(line))]
@@ -38,7 +38,6 @@ def line_rules(rows, least_docs, share):
         return b" ".join(ws).translate(LOWER)
 
     for _, host, text in rows:
-        hosts[host].add(text or "")
         for _, ws in lines(text):
             texts[host, norm(ws)].add(text or "")
     out = []
@@ -48,8 +47,7 @@ def line_rules(rows, least_docs, share):
         inside = {i + k for i in range(len(words) - 4) if grams[tuple(words[i : i + 5])] > 1 for k in range(5)}
         found = lines(text)
         removed = sum(
-            len(ws) for _, ws in found
-            if len(texts[host, norm(ws)]) > least_docs and len(texts[host, norm(ws)]) > share * len(hosts[host]))
+            len(ws) for _, ws in found if len(texts[host, norm(ws)]) > least_docs)
         failed = len(words) < 10 or 100 * len(inside) > 20 * len(words)
         left = len(words) - removed
         out.append((doc_id, len(words), sum(len(w.decode()) for w in words), len(re.findall(r"[#*$%&|<>]", text or "")),
