@@ -42,6 +42,7 @@ class Lattice:
 
     BASE = np.uint64(0x9E3779B97F4A7C15)
     GROUP = 8000  # words walked together
+    CHARACTERS = 200_000  # and characters, as a character takes some hundred bytes; a longer word is walked alone
     SHORT = 32  # longer words are walked apart, as a group takes as many steps as its longest word
 
     def __init__(self, pieces: list[str], scores: np.ndarray, byte_scores: np.ndarray):
@@ -67,8 +68,13 @@ class Lattice:
         order = np.argsort(lengths, kind="stable")
         short = int((lengths <= self.SHORT).sum())
         for part in (order[:short], order[short:]):
-            for at in range(0, len(part), self.GROUP):
-                yield part[at : at + self.GROUP]
+            running, at = np.cumsum(lengths[part]), 0
+            while at < len(part):
+                before = running[at - 1] if at else 0
+                full = int(np.searchsorted(running, before + self.CHARACTERS, "right"))
+                end = max(at + 1, min(at + self.GROUP, full))
+                yield part[at:end]
+                at = end
 
     def _edges(self, words: list[str]) -> dict[str, np.ndarray]:
         """Edges (start and end node, piece or -1, log probability) of a group; word w's nodes are ``base[w]`` and on."""
