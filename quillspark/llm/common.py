@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -108,27 +109,52 @@ def in_order(docs: DataFrame, key: str, shards: int | None = None) -> DataFrame:
 
     The bounds come from a scan of the key alone, so texts are read and moved once.
     A row finds its shard by binary search in the bounds. Rows without a key come
-    first; equal keys fall into one shard and are ordered by the other columns'
-    hash, so a key of very many rows makes one large shard.
+    first; rows of one key are ordered by the other columns' hash. A key that takes up several
+    bounds has as many shards, by ranges of that hash, and so do rows without a key; only
+    rows that are equal altogether are never parted. There are somewhat more than ``shards`` shards then.
     """
     n = shards or shuffle_width(docs.sparkSession)
     fractions = [i / n for i in range(1, n)]
-    found = docs.agg(F.percentile_approx(key, fractions, 20 * n).alias("b")).first()["b"] if n > 1 else None
-    bounds = sorted(set(found or []))
-    at = F.lit(0)
+    found, bare = {}, 0
+    if n > 1:
+        seen = docs.agg(F.percentile_approx(key, fractions, 20 * n).alias("b"), F.count("*").alias("rows"),
+                        F.count(key).alias("known")).first()
+        found = Counter(seen["b"] or [])
+        bare = n * (seen["rows"] - seen["known"]) // max(1, seen["rows"])
+    bounds = sorted(found)
+    tie = F.xxhash64(*[c for c in docs.columns if c != key])
+
+    def part(count: Column) -> Column:
+        """Which of ``count`` equal ranges the hash lies in."""
+        return F.least(F.floor((tie.cast("double") / 2.0**64 + 0.5) * count), count - 1).cast("int")
+
+    first = bare if bare > 1 else 0
+    at = F.lit(first)
     if bounds:
         steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))])
         held = F.lit(np.array(bounds, dtype=np.int64))
-        at = F.aggregate(
+        place = F.aggregate(
             steps, F.lit(0),
-            lambda found, step: F.when(
-                F.coalesce(F.get(held, found + step - 1) < F.col(key), F.lit(False)), found + step).otherwise(found),
+            lambda sofar, step: F.when(
+                F.coalesce(F.get(held, sofar + step - 1) < F.col(key), F.lit(False)), sofar + step).otherwise(sofar),
         )
-    rest = [c for c in docs.columns if c != key]
+        # Keys up to a bound are one shard; a bound's own key, if it comes again, has shards of its own behind.
+        own = np.array([found[b] if found[b] > 1 else 0 for b in bounds] + [0], dtype=np.int64)
+        starts = first + np.arange(len(own)) + np.cumsum(own) - own
+        docs = docs.withColumn("shard", place)
+        parts = F.get(F.lit(own), F.col("shard")).cast("int")
+        repeated = (parts > 0) & (F.col(key) == F.get(held, F.col("shard")))
+        at = F.get(F.lit(starts), F.col("shard")).cast("int") + F.when(repeated, 1 + part(parts)).otherwise(0)
+        total = int(starts[-1]) + 1
+    else:
+        total = first + 1
+    if first:
+        at = F.when(F.col(key).isNull(), part(F.lit(first))).otherwise(at)
+    columns = [c for c in docs.columns if c != "shard"]
     return (
-        docs.withColumn("shard", at)
-        .repartitionById(len(bounds) + 1, F.col("shard"))
-        .sortWithinPartitions("shard", key, F.xxhash64(*rest))
+        docs.select(*columns, at.alias("shard"))
+        .repartitionById(total, F.col("shard"))
+        .sortWithinPartitions("shard", key, F.xxhash64(*[c for c in columns if c != key]))
     )
 
 

@@ -1,6 +1,7 @@
 """Token files, packing and token counts against the libraries themselves."""
 
 import glob
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -154,3 +155,36 @@ def test_counts_of_the_sample(docs, sample):
     got = token_counts.count_tokens(docs, PIECES, chunk=500, overlap=8).collect()
     assert sorted((str(r.doc_id), r.n_bytes, r.n_tokens, r.over_limit) for r in got) == sorted(
         (str(i), len((t or "").encode()), n := len(MODEL.encode(t or "")), n > 4096) for i, t, _ in sample)
+
+
+def test_heavy_keys_are_parted(llm):
+    """A third of the rows has one id and a third has none: no shard holds either, and the order is kept."""
+    from quillspark.llm import common
+
+    rows = [(7 if i % 3 == 0 else None if i % 3 == 1 else i, f"text {i}", "x") for i in range(6000)]
+    docs = llm.createDataFrame(rows, "doc_id long, text string, other string").repartition(5)
+    for shards in (1, 2, 12):
+        placed = common.in_order(docs, "doc_id", shards)
+        found = placed.select("shard", "doc_id", F.spark_partition_id().alias("task"), F.xxhash64("text", "other").alias("tie")).collect()
+        assert len(found) == 6000 and all(r["task"] == r["shard"] for r in found)
+        sizes = Counter(r["shard"] for r in found)
+        if shards == 12:
+            assert max(sizes.values()) <= 2 * 6000 / 12
+        keys = [(r["shard"], r["doc_id"] is not None, r["doc_id"] or 0, r["tie"]) for r in found]
+        ordered = sorted(keys)
+        # Shards follow the order of id and hash.
+        assert [k[1:] for k in ordered] == sorted(k[1:] for k in keys)
+
+
+def test_heavy_keys_keep_their_tokens(llm, tmp_path):
+    rows = [(7 if i % 3 == 0 else None if i % 3 == 1 else i, f"text {i}, one two") for i in range(600)]
+    docs = llm.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    path = str(tmp_path / "tokens")
+    token_store.write_tokens(docs, path, BYTE_BPE, shards=8)
+    found = sorted(token_store.checksums(token_store.read_tokens(llm, path)).collect(), key=lambda r: r["start"])
+    assert len(found) == 600 and found[0]["start"] == 0
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(found, found[1:]))
+    ids = [r["doc_id"] for r in found]
+    assert ids == sorted(ids, key=lambda i: (i is not None, i or 0))
+    pieces = packing.pack(docs, BYTE_BPE, shards=8).collect()
+    assert sum(r["length"] for r in pieces) == sum(r["n_tokens"] for r in found)
