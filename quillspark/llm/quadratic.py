@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quillspark.llm.common import remainder, texts
+from quillspark.operators.joins import fits
 from quillspark.session import materialize
 
 SYMBOLS = np.zeros(256, dtype=bool)
@@ -188,9 +189,12 @@ def passing(docs: DataFrame, labels: DataFrame, label: str = "quality", *, thres
             **settings) -> DataFrame:
     """The documents that the classifier accepts, with all their columns.
 
-    The model is fitted as in ``scored``; texts are measured again where they stand, so no text moves.
+    The model is fitted as in ``scored``, on the labelled rows, whose texts alone are measured for it if the ids
+    of the labels can be broadcast, else all texts are. All texts are measured where they stand to be filtered, so no text moves.
     """
-    measured = materialize(features(docs), "quality-features")
+    marks = labels.select("doc_id").distinct()
+    known = docs.join(F.broadcast(marks), "doc_id", "left_semi") if fits(marks) else docs
+    measured = materialize(features(known), "quality-features")
     model = fit(measured, labels, label, held_out=remainder("doc_id") == 0, **settings)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
