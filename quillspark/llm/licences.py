@@ -6,9 +6,10 @@ all of which must occur before the expression is tried. Of the detections, one i
 suppressed if another of the same or an earlier priority spans it; of two with the same span
 the earlier rule stays. What is left gives the labels and, as the largest confidence, the score.
 
-The rules are built from families (name, versions, short name) and the forms in which
-licences are stated, so every family is recognised in each form. The base phrases are
-counted apart from the rules and always give their label.
+Some 140 rules are sentences of licence texts and notices (``licence_passages``), written one by one. The others
+are built from families (name, versions, short name) and the forms in which licences are stated, so
+every family is recognised in each form; a name alone, or behind "under" without the word licence, is none of them.
+The base phrases are counted apart from the rules and always give their label.
 
 Defined cases: a null or empty text has no words, no labels (empty strings) and score 0; null
 and repeated ids pass through row by row; an empty table gives no rows; other columns are
@@ -26,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quillspark.llm.common import ALNUM, LOWER, arrow_rows, raw_texts
+from quillspark.llm.licence_passages import PASSAGES
 
 # The phrases of the contract and their labels.
 BASE = [(b"cc by", "cc-by"), (b"general public license", "gpl"), (b"all rights reserved", "reserved")]
@@ -89,28 +91,6 @@ CC_PARTS = [
 ]
 CC_VERSIONS = ("1 0", "2 0", "2 5", "3 0", "4 0")
 
-# Statements outside the families. Priority, label, confidence, keywords, pattern.
-STATEMENTS = [
-    (1, "cc0", 0.95, ("cc0",), r"cc0(?: 1 0)?(?: universal)?"),
-    (1, "cc0", 0.95, ("creative commons", "zero"), r"creative commons zero(?: license)?"),
-    (1, "public-domain", 0.9, ("public domain",), r"(?:dedicated to|released into|placed in|in) the public domain"),
-    (2, "public-domain", 0.7, ("public domain",), r"public domain(?: mark)?"),
-    (1, "mit", 0.95, ("permission", "granted"), r"permission is hereby granted free of charge to any person obtaining a copy"),
-    (1, "isc", 0.9, ("permission", "purpose"), r"permission to use copy modify and or distribute this software for any purpose"),
-    (1, "bsd", 0.9, ("redistribution",), r"redistribution and use in source and binary forms with or without modification"),
-    (1, "gpl", 0.9, ("free software",), r"this program is free software you can redistribute it and or modify it"),
-    (1, "unlicense", 0.95, ("unencumbered",), r"this is free and unencumbered software released into the public domain"),
-    (2, "reserved", 0.8, ("rights reserved",), r"(?:all|some|no) rights reserved"),
-    (2, "reserved", 0.8, ("droits",), r"tous droits r\S* ?serv\S*"),
-    (2, "reserved", 0.8, ("rechte vorbehalten",), r"alle rechte vorbehalten"),
-    (2, "reserved", 0.8, ("derechos reservados",), r"todos los derechos reservados"),
-    (2, "proprietary", 0.8, ("proprietary",), r"(?:confidential and proprietary|proprietary and confidential)(?: information)?"),
-    (2, "proprietary", 0.7, ("unauthorized",), r"unauthorized (?:copying|reproduction|distribution)(?: or \w+)? (?:of this \w+ )?is (?:strictly )?prohibited"),
-    (3, "copyright", 0.5, ("copyright",), r"copyright (?:c )?(?:19|20)\d\d(?: (?:19|20)\d\d)*"),
-    (4, "licence-mention", 0.3, ("licensed under",), r"licensed under the terms of"),
-]
-
-
 @dataclass(frozen=True)
 class Rule:
     priority: int
@@ -128,8 +108,10 @@ def _rule(priority: int, label: str, confidence: float, keywords: tuple[str, ...
 def rules() -> list[Rule]:
     """All rules in order: exact versions first, then names, then short forms and statements."""
     out = []
-    granted = r"(?:licensed|released|distributed|available|published|covered) under (?:the )?(?:terms of )?(?:the )?"
     license_word = r"licen[sc]e"
+    # Only "licensed" says by itself that a licence is meant; other verbs need the word behind the name.
+    under = r"under (?:the )?(?:terms of )?(?:the )?"
+    granted = rf"(?:{license_word}d {under}{{0}}(?: {license_word})?|(?:released|distributed|available|published|covered) {under}{{0}} {license_word})"
     for label, name, versions, short in FAMILIES:
         gate = (name.split()[-1] if name.split()[-1] not in ("public", "software", "and") else name,)
         for version in versions:
@@ -137,10 +119,10 @@ def rules() -> list[Rule]:
             out.append(_rule(0, f"{label}-{version.replace(' ', '.')}", 1.0, gate, rf"(?:the )?{name}{tail}(?: or (?:any )?later(?: version)?)?"))
             out.append(_rule(0, f"{label}-{version.replace(' ', '.')}", 1.0, ("spdx",), rf"spdx license identifier {short} {version}(?: (?:only|or later))?"))
             out.append(_rule(0, f"{label}-{version.replace(' ', '.')}", 0.9, (short,), rf"{short} ?v?{version}(?: (?:only|or later))?"))
-        out.append(_rule(1, label, 0.95, gate, rf"{granted}{name}(?: {license_word})?"))
+        out.append(_rule(1, label, 0.95, gate, granted.format(name)))
         out.append(_rule(1, label, 0.95, ("spdx",), rf"spdx license identifier {short}"))
         out.append(_rule(2, label, 0.8, gate, rf"(?:the )?{name} {license_word}"))
-        out.append(_rule(2, label, 0.7, (short, "under"), rf"under (?:the )?{short}(?: {license_word})?"))
+        out.append(_rule(2, label, 0.7, (short, "under"), rf"under (?:the )?{short} {license_word}"))
     for short, words in CC_PARTS:
         name = f"cc-{short.replace(' ', '-')}"
         for version in CC_VERSIONS:
@@ -149,7 +131,7 @@ def rules() -> list[Rule]:
             out.append(_rule(0, label, 1.0, ("creative commons",), rf"creative commons {words}(?: {version}| {version} \w+|(?: \w+)? {license_word} {version})"))
         out.append(_rule(1, name, 0.9, ("cc",), rf"cc {short}"))
         out.append(_rule(1, name, 0.9, ("creative commons",), rf"creative commons {words}(?: {license_word})?"))
-    out += [_rule(*x) for x in STATEMENTS]
+    out += [_rule(*x) for x in PASSAGES]
     return sorted(out, key=lambda r: r.priority)
 
 
