@@ -60,6 +60,58 @@ def test_recall_at_the_threshold(llm):
     assert len(expected) == 300 and got >= 0.99 * len(expected)
 
 
+def test_depth_follows_the_documents(llm):
+    """Copies that differ in a word behind are met at the deepest prefix; pairs at the threshold need shorter ones."""
+    close = [(3 * g + k, " ".join([*(f"g{g}w{i}" for i in range(60)), *(["more"] * (k > 0)), *(["still"] * (k > 1))]))
+             for g in range(400) for k in range(3)]
+    told = []
+    found = lsh_forest.near_duplicates(llm.createDataFrame(close, "doc_id long, text string"), told=told).collect()
+    assert [depth for depth, _ in told] == [8] and told[0][1] >= 0.9999
+    assert all(r.n_links == 2 and r.class_id == r.doc_id // 3 * 3 for r in found)
+    far = []
+    for g in range(1100):
+        words = [f"g{g}w{i}" for i in range(100)]
+        far.append((2 * g, " ".join(words)))
+        words[30], words[70] = "changed", "altered"
+        far.append((2 * g + 1, " ".join(words)))
+    told = []
+    found = lsh_forest.near_duplicates(llm.createDataFrame(far, "doc_id long, text string"), told=told).collect()
+    depths, shares = zip(*told)
+    assert list(depths) == [8, 7, 6] and list(shares) == sorted(shares) and shares[0] < 0.9999
+    # What is found: links of 86 of 106 runs, all but a few of them.
+    assert sum(r.n_links for r in found) >= 0.999 * 2200 and max(r.n_links for r in found) == 1
+
+
+def test_trie_links_the_runs_of_every_depth(llm):
+    """Links of d and more values connect just the classes that share d values in some tree, over task bounds too."""
+    random = np.random.default_rng(5)
+    trees, deepest = 3, 4
+    signs = random.integers(0, 3, (200, trees, deepest))
+    rows = [(k, s.astype(">u2").tobytes()) for k, s in enumerate(signs)]
+    classes = llm.createDataFrame(rows, "cls long, signatures binary").repartition(5)
+    links = [(r.a, r.b, r.depth) for r in lsh_forest.trie(classes, trees, deepest, 2).collect()]
+    assert all(d >= 2 for *_, d in links)
+    for depth in (2, 3, 4):
+        expected, got = list(range(200)), list(range(200))
+
+        def root(label, x):
+            while label[x] != x:
+                x = label[x]
+            return x
+
+        for tree in range(trees):
+            first = {}
+            for k in range(200):
+                head = first.setdefault(tuple(signs[k, tree, :depth]), k)
+                a, b = root(expected, k), root(expected, head)
+                expected[max(a, b)] = min(a, b)
+        for a, b, d in links:
+            if d >= depth:
+                a, b = root(got, a), root(got, b)
+                got[max(a, b)] = min(a, b)
+        assert [root(expected, k) for k in range(200)] == [root(got, k) for k in range(200)]
+
+
 def test_prefix_is_shortened_to_the_recall():
     length = lsh_forest.prefix_length(0.8, 32, 8, 0.9999)
     reach = lambda k: 1 - (1 - 0.8**k) ** 32

@@ -80,7 +80,7 @@ def test_the_sql_states_the_rule_of_large_hosts(llm):
     rows += [(3000 + i, "h", "A banner in twenty documents only" + own.format(3000 + i)) for i in range(20)]
     given = llm.createDataFrame(rows, "doc_id long, source string, text string")
     got = lines(line_rules.judged(given))
-    assert got == Counter(tuple(map(str, row)) for row in brute.line_rules(rows and [(i, s, t) for i, s, t in rows], 20))
+    assert got == Counter(tuple(map(str, row)) for row in brute.line_rules(rows, 20))
     con = duckdb.connect()
     con.register("documents", given.toPandas())
     found = con.execute(line_rules.ORACLE)
@@ -88,7 +88,8 @@ def test_the_sql_states_the_rule_of_large_hosts(llm):
     at = [names.index(c) for c in (
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")]
     assert got == Counter(tuple(str(row[k]) for k in at) for row in found.fetchall())
-    assert sum(int(row[-1]) > 0 for row in got) == 30
+    # 31 texts hold the footer, 4 of them without a host.
+    assert sum(int(row[-1]) > 0 for row in got) == 27
 
 
 def test_no_documents(llm, none):
