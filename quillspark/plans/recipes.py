@@ -6,7 +6,7 @@ Splitting, sampling and writing are separate steps (``finish``).
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -32,6 +32,8 @@ NOT_URGENT = "not_urgent"
 URGENT = ("definitely_urgent", "extremely_urgent")
 GENRES = ("romance", "horror")
 CLICKBAIT = "clickbait"
+# The parts of the story corpus as its files name them.
+STORY_PARTS = {"train": "train", "valid": "validation", "test": "test"}
 
 
 def _keys(df: DataFrame) -> list[str]:
@@ -197,6 +199,22 @@ def story_lines(df: DataFrame, suffix: str = STORY_SUFFIX) -> DataFrame:
     return _pick(df, prompt=tx.with_instruction(tx.strip_tags(F.col("prompt")), suffix))
 
 
+def story_parts(parts: Mapping[str, DataFrame], suffix: str = STORY_SUFFIX) -> DataFrame:
+    """The story corpus from its files by the parts' own names, with ``split``."""
+    unknown = set(parts) - set(STORY_PARTS)
+    if unknown:
+        raise ValueError(f"unknown parts {sorted(unknown)}")
+    return fl.union_all([
+        story_lines(df.withColumn("split", F.lit(STORY_PARTS[part])), suffix) for part, df in parts.items()])
+
+
+def united_prompts(files: Sequence[DataFrame], ids: str, path: str | None = None, max_points: int | None = None,
+                   seed: int = sp.SEED) -> DataFrame:
+    """Prompt files whose rows carry the key ``ids``, as one corpus of prompts and continuations, shuffled and split exactly."""
+    rows = fl.union_all([struct_prompts(df.withColumn("row_id", F.col(ids))) for df in files])
+    return finish(rows, "sentiment-prompts", "row_id", path, max_points, seed)
+
+
 def five_sentence_stories(df: DataFrame, k: int = tx.STORY_SENTENCES) -> DataFrame:
     return _pick(df, prompt=tx.story_prompt([F.col(f"sentence{i + 1}") for i in range(5)], k))
 

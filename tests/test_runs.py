@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from quillspark import session as qs
-from quillspark.operators import constraints as cs, reshape as rs, similarity as sm, tagging as tg
+from quillspark.operators import constraints as cs, joins as jn, reshape as rs, similarity as sm, tagging as tg
 from quillspark.operators.kneser_ney import KneserNey, trigrams
 from quillspark.operators.language_model import BigramModel
+from quillspark.plans import recipes
 from quillspark.session import fresh_path
 from quillspark.sources import catalog as cat
 from quillspark.sources.finished import FinishedRows
@@ -371,6 +372,30 @@ def test_stored_prefixes_grow_with_the_texts(spark):
     assert sizes[1] < 2.3 * sizes[0]
 
 
+def test_parts_of_the_story_corpus(spark):
+    parts = {name: spark.createDataFrame([(f"[WP] {name} one [x]",)], "prompt string") for name in ("train", "valid", "test")}
+    found = recipes.story_parts(parts).collect()
+    assert sorted(r["split"] for r in found) == ["test", "train", "validation"]
+    assert all(r["prompt"].startswith({"validation": "valid"}.get(r["split"], r["split"])) for r in found)
+    with pytest.raises(ValueError):
+        recipes.story_parts({"dev": parts["train"]})
+
+
+def test_prompt_files_are_one_corpus(spark):
+    schema = "id string, prompt struct<text: string>, continuation struct<text: string>"
+    files = [spark.createDataFrame([(f"{k}-{i}", (f"p{k}{i}",), (f"c{k}{i}",)) for i in range(20)], schema) for k in range(3)]
+    rows = recipes.united_prompts(files, "id").collect()
+    assert Counter(r["split"] for r in rows) == {"train": 42, "validation": 9, "test": 9}
+    assert {(r["row_id"], r["prompt"], r["continuation"]) for r in rows} == {(f"{k}-{i}", f"p{k}{i}", f"c{k}{i}") for k in range(3) for i in range(20)}
+
+
+def test_grid_with_a_lookup_of_constraints(spark):
+    datasets = spark.createDataFrame([("a",), ("b",), ("c",)], "dataset string")
+    lookup = spark.createDataFrame([("a", "topic"), ("a", "spam"), ("b", "topic"), ("b", "topic")], "dataset string, constraint string")
+    grid = jn.experiment_grid(datasets, ["g"], ["j", "k"], lookup).collect()
+    assert Counter((r["dataset"], r["constraint"]) for r in grid) == {("a", "topic"): 2, ("a", "spam"): 2, ("b", "topic"): 2, ("c", None): 2}
+
+
 def test_a_driver_folder_is_refused_on_a_cluster(spark, monkeypatch):
     class Context:
         def __init__(self, master):
