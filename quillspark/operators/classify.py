@@ -15,6 +15,10 @@ from quillspark.operators.joins import SPREAD, split_lookup, stand_in
 from quillspark.session import fresh_path, materialize
 
 
+# Counted once per text beside its words.
+TEXT_MARK = "\x00"
+
+
 @dataclass(frozen=True)
 class NaiveBayes:
     """Multinomial naive Bayes with add-one smoothing over lower-cased words."""
@@ -30,14 +34,17 @@ class NaiveBayes:
         import math
 
         df = df.filter(F.col(label).isNotNull())  # rows without a label teach nothing
-        sizes = {r[0]: r[1] for r in df.groupBy(label).count().collect()}  # one row per class
+        # Each text has one word more, which no text holds: one pass counts words and texts.
+        listed = F.concat(F.coalesce(words(F.lower(F.col(text))), F.array().cast("array<string>")), F.array(F.lit(TEXT_MARK)))
+        spelled = df.select(F.col(label).alias("_c"), F.explode(listed).alias("token"))
+        by_class = materialize(spelled.groupBy("token", "_c").agg(F.count(F.lit(1)).alias("n")), "class-counts")
+        sizes = {r[0]: r[1] for r in by_class.filter(F.col("token") == TEXT_MARK).select("_c", "n").collect()}  # one row per class
         classes = sorted(sizes)
         everything = sum(sizes.values())
         priors = [math.log(sizes[c] / everything) for c in classes]
 
-        spelled = df.select(F.col(label).alias("_c"), F.explode(words(F.lower(F.col(text)))).alias("token"))
-        tf = F.array(*[F.count_if(F.col("_c") == F.lit(c)) for c in classes])
-        grouped = spelled.groupBy("token").agg(F.count(F.lit(1)).alias("n"), tf.alias("tf"))
+        tf = F.array(*[F.coalesce(F.sum(F.when(F.col("_c") == F.lit(c), F.col("n"))), F.lit(0)) for c in classes])
+        grouped = by_class.filter(F.col("token") != TEXT_MARK).groupBy("token").agg(F.sum("n").alias("n"), tf.alias("tf"))
         counts = materialize(grouped, "token-counts")
         sums = [F.sum(F.col("tf")[i]).alias(f"n{i}") for i in range(len(classes))]
         first = counts.agg(F.count(F.lit(1)).alias("v"), *sums).first()
