@@ -8,9 +8,9 @@ links to the first class of the longest run that a class belongs to, with the le
 
 Prefixes are matched from the deepest up. At each length the classes linked so far are candidates, whole
 components of them are compared by their whole sets, and the links found tell what is missing: a link of similarity
-s is met at length d with probability p = 1 - (1 - s^d)^trees, so each one found stands for 1 / p of them, and those at
-the threshold, the hardest to meet, are the most. While the links found are a smaller share of this estimate than ``recall``, or too few
-to tell, the prefix is shortened by one value. How short it gets so depends on the documents: copies with few
+s is met at length d with probability p = 1 - (1 - s^d)^trees, so each one found stands for 1 / p of them. While the links
+found are a smaller share of this estimate than ``recall``, the prefix is shortened to the longest one that is to meet that
+share, or to ``shortest`` if the links are too few to tell. How short it gets so depends on the documents: copies with few
 changes are met at the deepest prefix. ``shortest`` ends it: there a link at the threshold is met with
 probability ``recall`` whatever the documents. Only components that a shorter prefix has changed are compared again,
 in pairs of blocks of bounded size, one task each, which return the number of
@@ -230,16 +230,19 @@ def trie(classes: DataFrame, trees: int, deepest: int, shortest: int) -> DataFra
     return walked.where("part IS NULL").select("a", "b", "depth").unionByName(joints)
 
 
-def estimated_recall(levels: list[int], depth: int, trees: int) -> float:
-    """The share of all links that those found are, by their numbers at hundredths of similarity; 0 if they are too few to tell."""
+def met(similarity: float, depth: int, trees: int) -> float:
+    """The probability that a link is met at a prefix of this length."""
+    return 1.0 - (1.0 - similarity**depth) ** trees
+
+
+def estimated_recall(levels: list[int], depth: int, trees: int, at: int | None = None) -> float:
+    """The share of all links that is met at length ``at`` (else ``depth``), by the numbers of those found at ``depth`` at
+    hundredths of similarity; 0 if they are too few to tell."""
     if sum(levels) < TRUSTED:
         return 0.0
-    found = total = 0.0
-    for hundredth, count in enumerate(levels):
-        if count:
-            found += count
-            total += count / (1.0 - (1.0 - (hundredth / 100) ** depth) ** trees)
-    return found / total
+    # Each link found stands for 1 / p of them.
+    whole = [(k / 100, count / met(k / 100, depth, trees)) for k, count in enumerate(levels) if count]
+    return sum(n * met(s, at or depth, trees) for s, n in whole) / sum(n for _, n in whole)
 
 
 def near_duplicates(docs: DataFrame, *, words: int = 5, threshold: float = 0.8, trees: int = 32, deepest: int = 8,
@@ -262,27 +265,29 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, threshold: float = 0.8,
     ).withColumn("cls", F.monotonically_increasing_id()), "classes")
     shortest = prefix_length(threshold, trees, deepest, recall)
     runs = trie(classes, trees, deepest, shortest)
-    links = None
-    for depth in range(deepest, shortest - 1, -1):
+    links, depth = None, deepest
+    while True:
         # A component is named by its smallest class; its size tells whether it is the one of the longer prefix.
         candidates = components(runs.where(F.col("depth") >= depth).select("a", "b").distinct(), "candidates")
         sized = candidates.join(classes.select(F.col("cls").alias("node"), "n_shingles"), "node").groupBy("comp").agg(
             F.count("*").alias("size"), F.sum("n_shingles").alias("volume"))
         sized = materialize(sized, "candidate-sizes")
         compared = sized if links is None else sized.join(done, ["comp", "size"], "left_anti")
-        fresh = materialize(_compared(read, classes, candidates, compared, words, threshold, block_docs, block_shingles), "links")
+        fresh = _compared(read, classes, candidates, compared, words, threshold, block_docs, block_shingles)
         if links is not None:
             # A component that has grown is compared as a whole, so what its parts gave is void.
             parts = candidates.join(compared.select("comp"), "comp", "left_semi").select(F.col("node").alias("cls"))
             fresh = fresh.unionByName(links.join(parts, "cls", "left_anti"))
-            fresh = materialize(fresh, "links")
-        links, done = fresh, sized.select("comp", "size")
+        links, done = materialize(fresh, "links"), sized.select("comp", "size")
         levels = links.select(F.posexplode("alike").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n")).collect()
-        share = estimated_recall([next((r["n"] for r in levels if r["at"] == k), 0) for k in range(101)], depth, trees)
+        levels = [next((r["n"] for r in levels if r["at"] == k), 0) for k in range(101)]
+        share = estimated_recall(levels, depth, trees)
         if told is not None:
             told.append((depth, share))
-        if share >= recall:
+        if share >= recall or depth <= shortest:
             break
+        # The longest of the shorter prefixes that is to meet the share, by what was found.
+        depth = next((d for d in range(depth - 1, shortest, -1) if estimated_recall(levels, depth, trees, d) >= recall), shortest)
     counts = links.groupBy("cls").agg(F.sum("linked").alias("linked"))
     groups = components(links.select(F.col("cls").alias("a"), F.col("root").alias("b")), "groups").select(
         F.col("node").alias("cls"), "comp")
