@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quillspark.operators.joins import split_lookup, stand_in
+from quillspark.operators.joins import answered
 from quillspark.operators.language_model import START, tokens
 from quillspark.session import materialize
 
@@ -40,11 +41,11 @@ class KneserNey:
     interpolated with equal shares for all trained words and one unknown word.
     """
 
-    triples: DataFrame  # u, v, w, n; n_uv: count of (u, v) as a context; k_uv: different words after it
-    contexts: DataFrame  # u, v, n_uv, k_uv
-    pairs: DataFrame  # v, w, n: words in front of (v, w); n_v: their sum over w; k_v: different w
-    words_before: DataFrame  # v, n_v, k_v
-    singles: DataFrame  # w, n: words in front of w
+    triples: DataFrame  # u, v, w, n
+    contexts: DataFrame  # u, v, n_uv: count of (u, v) as a context; k_uv: different words after it
+    pairs: DataFrame  # v, w, n: words in front of (v, w); times: how often it occurs
+    words_before: DataFrame  # v, n_v: sum over w of the words in front of (v, w); k_v: different w; times
+    singles: DataFrame  # w, n: words in front of w; times
     discounts: tuple[float, float, float]
     n_words: int
     n_pairs: int
@@ -55,66 +56,86 @@ class KneserNey:
         seen = trigrams(df, text).filter(F.col("w").isNotNull())
         triples = materialize(seen.groupBy("u", "v", "w").agg(F.count("*").alias("n")), "kn-triples")
         contexts = materialize(triples.groupBy("u", "v").agg(F.sum("n").alias("n_uv"), F.count("*").alias("k_uv")), "kn-contexts")
-        pairs = materialize(triples.groupBy("v", "w").agg(F.count("*").alias("n")), "kn-pairs")
-        before = materialize(pairs.groupBy("v").agg(F.sum("n").alias("n_v"), F.count("*").alias("k_v")), "kn-before")
-        singles = materialize(pairs.groupBy("w").agg(F.count("*").alias("n")), "kn-singles")
+        pairs = materialize(triples.groupBy("v", "w").agg(F.count("*").alias("n"), F.sum("n").alias("times")), "kn-pairs")
+        before = materialize(pairs.groupBy("v").agg(
+            F.sum("n").alias("n_v"), F.count("*").alias("k_v"), F.sum("times").alias("times")), "kn-before")
+        singles = materialize(pairs.groupBy("w").agg(F.count("*").alias("n"), F.sum("times").alias("times")), "kn-singles")
         discounts = tuple(_discount(table, "n") for table in (triples, pairs, singles))
         n_words, n_pairs = singles.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
         total = triples.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        return KneserNey(
-            materialize(triples.join(contexts, ["u", "v"]), "kn-triples"), contexts,
-            materialize(pairs.join(before, "v"), "kn-pairs"), before, singles, discounts, n_words, n_pairs, total)
+        return KneserNey(triples, contexts, pairs, before, singles, discounts, n_words, n_pairs, total)
 
     def _shared(self, count: Column, kinds: Column, total: Column, discount: float, below: Column) -> Column:
         """The discounted share of a count, and the freed share times the order below; a context never seen leaves all to it."""
         taken = F.greatest(F.coalesce(count, F.lit(0)) - F.lit(discount), F.lit(0.0)) / total
         return F.coalesce(taken + F.lit(discount) * kinds / total * below, below)
 
-    def probabilities(self, grams: DataFrame) -> DataFrame:
-        """``u, v, w, p`` of distinct trigrams: a cascade of lookups, each order asked once per gram."""
-        rows = grams.join(self.triples.select("u", "v", "w", F.col("n").alias("n3"), F.col("n_uv").alias("a"), F.col("k_uv").alias("b")),
-                          ["u", "v", "w"], "left")
-        rows = rows.join(self.pairs.select("v", "w", F.col("n").alias("n2"), F.col("n_v").alias("c"), F.col("k_v").alias("d")),
-                         ["v", "w"], "left")
-        # Only grams that are not seen ask for their contexts and words apart.
-        unseen = F.col("n3").isNull()
-        far = rows.withColumn("_u", F.when(unseen, F.col("u"))).withColumn(
-            "_v", F.when(F.col("n2").isNull(), F.col("v")))
-        contexts = self.contexts.select(F.col("u").alias("_u"), F.col("v").alias("_uv"), "n_uv", "k_uv")
-        far = far.join(contexts, (far["_u"] == contexts["_u"]) & (F.col("v") == F.col("_uv")), "left").drop("_u", "_uv")
-        before = self.words_before.select(F.col("v").alias("_bv"), "n_v", "k_v")
-        far = far.join(before, F.col("_v") == F.col("_bv"), "left").drop("_v", "_bv")
-        far = far.join(self.singles.select("w", F.col("n").alias("n1")), "w", "left")
-        d3, d2, d1 = self.discounts
+    def _lowest(self, count: Column) -> Column:
         equal = F.lit(1.0 / (self.n_words + 1))
-        if self.n_pairs:
-            low = self._shared(F.col("n1"), F.lit(self.n_words), F.lit(self.n_pairs), d1, equal)
-        else:
-            low = equal
-        middle = self._shared(F.col("n2"), F.coalesce("d", "k_v"), F.coalesce("c", "n_v"), d2, low)
-        top = self._shared(F.col("n3"), F.coalesce("b", "k_uv"), F.coalesce("a", "n_uv"), d3, middle)
-        return far.select("u", "v", "w", top.alias("p"))
+        if not self.n_pairs:
+            return equal
+        return self._shared(count, F.lit(self.n_words), F.lit(self.n_pairs), self.discounts[2], equal)
+
+    def _unknown(self) -> float:
+        """The log probability of a word never seen, at the lowest order."""
+        freed = self.discounts[2] * self.n_words / self.n_pairs if self.n_pairs else 1.0
+        return math.log(freed / (self.n_words + 1))
+
+    def terms(self) -> DataFrame:
+        """``key, own, onward, n``: what a gram, its words joined by spaces, adds to a text's log probability.
+
+        With back-off a log probability is a sum. A word adds its lowest order, and as a context the share that is freed
+        there; a seen pair takes both back and adds its own, and frees a share in turn; so does a seen
+        trigram. ``own`` counts where the gram ends at a word, ``onward`` where a word follows; the rest of a word
+        that was never seen is ``unknown``. ``n`` is how often it was seen, about.
+        """
+        d3, d2, _ = self.discounts
+        single, left = self._lowest(F.col("n1")), F.lit(d2) * F.col("d") / F.col("c")
+        words = self.singles.select(F.col("w").alias("key"), F.col("n").alias("n1"), F.col("times").alias("t1"))
+        before = self.words_before.select(F.col("v").alias("key"), F.col("n_v").alias("c"), F.col("k_v").alias("d"), F.col("times").alias("t2"))
+        one = words.join(before, "key", "full").select(
+            "key", F.when(F.col("n1").isNotNull(), F.log(single) - F.lit(self._unknown())).otherwise(0.0).alias("own"),
+            F.coalesce(F.log(left), F.lit(0.0)).alias("onward"), F.greatest("t1", "t2").alias("n"))
+        below = self.singles.select("w", F.col("n").alias("n1"))
+        above = self.words_before.select("v", F.col("n_v").alias("c"), F.col("k_v").alias("d"))
+        pairs = self.pairs.select("v", "w", F.col("n").alias("n2"), "times").join(above, "v").join(below, "w")
+        middle = self._shared(F.col("n2"), F.col("d"), F.col("c"), d2, single)
+        pairs = materialize(pairs.select("v", "w", middle.alias("p2"), (F.log(middle) - F.log(left) - F.log(single)).alias("own"), "times"), "kn-middle")
+        # A pair is a context where a word follows; two start marks are one, and no pair.
+        freed = F.lit(d3) * F.col("k_uv") / F.col("n_uv")
+        contexts = self.contexts.select(F.concat_ws(" ", "u", "v").alias("key"), F.log(freed).alias("onward"), "n_uv")
+        two = pairs.select(F.concat_ws(" ", "v", "w").alias("key"), "own", "times").join(contexts, "key", "full").select(
+            "key", F.coalesce("own", F.lit(0.0)).alias("own"), F.coalesce("onward", F.lit(0.0)).alias("onward"),
+            F.greatest("times", "n_uv").alias("n"))
+        triples = self.triples.join(self.contexts, ["u", "v"]).join(pairs.select("v", "w", "p2"), ["v", "w"])
+        top = self._shared(F.col("n"), F.col("k_uv"), F.col("n_uv"), d3, F.col("p2"))
+        three = triples.select(F.concat_ws(" ", "u", "v", "w").alias("key"), (F.log(top) - F.log(freed) - F.log("p2")).alias("own"),
+                               F.lit(0.0).alias("onward"), "n")
+        return materialize(one.unionByName(two).unionByName(three), "kn-terms")
 
     def fluency(self, df: DataFrame, ids: str, text: str) -> DataFrame:
-        """Mean log probability per row; null for a row without words. ``ids`` is a unique key.
+        """Mean log probability per row; null for a row without words.
 
-        Grams are counted per row; distinct ones get their probability once, however many rows
-        hold them. The answers come back by a lookup that broadcasts frequent grams only.
+        Words, pairs and trigrams are keys of one table of terms, see ``terms``; a gram never seen adds nothing, so it is no
+        question behind its first lookup, and a row's terms need not meet before their sum.
         """
-        rows = trigrams(df, text, ids)
-        # A stand-in for the missing word spreads rows without words; no gram holds it.
-        none = stand_in(F.pmod(F.xxhash64(ids), F.lit(4096)))
-        facts = rows.withColumn("w", F.coalesce("w", none)).groupBy(ids, "u", "v", "w").agg(F.count("*").alias("tf"))
-        facts = materialize(facts, "kn-facts")
-        known = facts.filter(~F.col("w").startswith(stand_in(F.lit(""))))
-        grams = materialize(known.groupBy("u", "v", "w").agg(F.sum("tf").alias("weight")), "kn-grams")
-        priced = materialize(self.probabilities(grams.drop("weight")).join(grams, ["u", "v", "w"]).select(
-            "u", "v", "w", F.log("p").alias("lp"), "weight"), "kn-prices")
-        total = priced.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]
-        near, rest = split_lookup(facts, priced, ["u", "v", "w"], "weight", total)
-        found = near if rest is None else near.unionByName(rest)
-        return found.groupBy(ids).agg((F.sum(F.col("lp") * F.col("tf")) / F.sum(
-            F.when(F.col("lp").isNotNull(), F.col("tf")))).alias("fluency"))
+        terms = self.terms()
+        weight = terms.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        listed = df.select(ids, F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")).alias("_t"))
+        size, start = F.size("_t"), F.lit(START)
+        # From the second start mark on, each place with the two before it and whether a word follows.
+        placed = listed.select(ids, F.inline(F.arrays_zip(
+            F.concat(F.array(F.lit(None).cast("string"), start, start), F.slice("_t", 1, F.greatest(size - 2, F.lit(0)))).alias("u"),
+            F.concat(F.array(start, start), F.slice("_t", 1, F.greatest(size - 1, F.lit(0)))).alias("v"),
+            F.concat(F.array(start), "_t").alias("w"),
+            F.concat(F.array_repeat(F.lit(1), size), F.array(F.lit(0))).alias("rest")))).filter(F.col("w").isNotNull())
+        asked = placed.select(ids, F.inline(F.array(
+            F.struct(F.col("w").alias("key"), F.col("rest").alias("rest"), F.col("u").isNotNull().cast("int").alias("word")),
+            F.struct(F.concat("v", F.lit(" "), "w").alias("key"), F.col("rest").alias("rest"), F.lit(0).alias("word")),
+            F.struct(F.concat("u", F.lit(" "), "v", F.lit(" "), "w").alias("key"), F.lit(0).alias("rest"), F.lit(0).alias("word")))))
+        found = answered(asked, terms, "key", "n", weight, [ids, "rest"]).groupBy(ids).agg(
+            F.coalesce(F.sum(F.col("own") + F.col("rest") * F.col("onward")), F.lit(0.0)).alias("_sum"), F.sum("word").alias("_all"))
+        return found.select(ids, (F.col("_sum") / F.nullif("_all", F.lit(0)) + F.lit(self._unknown())).alias("fluency"))
 
     def perplexity(self, df: DataFrame, ids: str, text: str) -> DataFrame:
         return self.fluency(df, ids, text).select(ids, F.exp(-F.col("fluency")).alias("perplexity"))
