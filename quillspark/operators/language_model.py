@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillspark.functions.tokens import words
-from quillspark.operators.joins import SPREAD, hot_and_cold, fits, lookup, split_lookup, stand_in
+from quillspark.operators.joins import answered, hot_and_cold, fits, lookup
 from quillspark.session import materialize
 
 START = "<s>"
@@ -20,20 +21,11 @@ def tokens(text: Column) -> Column:
     return words(F.lower(text))
 
 
-def bigrams(df: DataFrame, text: str, *keep: str, empty: Column | None = None) -> DataFrame:
-    """One row per token: the token before it (or the start mark) and itself.
-
-    A text without tokens has no row, or with ``empty`` one row with that token.
-    """
-    listed = df.select(*keep, F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")).alias("_t"),
-                       *([empty.alias("_empty")] if empty is not None else []))
+def bigrams(df: DataFrame, text: str, *keep: str) -> DataFrame:
+    """One row per token: the token before it (or the start mark) and itself; ``w`` is null for a text without tokens."""
+    listed = df.select(*keep, F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")).alias("_t"))
     before = F.concat(F.array(F.lit(START)), F.slice("_t", 1, F.greatest(F.size("_t") - 1, F.lit(0))))
-    rest = [*keep, "_empty"] if empty is not None else keep
-    rows = listed.select(*rest, F.inline(F.arrays_zip(before.alias("v"), F.col("_t").alias("w"))))
-    if empty is not None:
-        return rows.withColumn("w", F.coalesce("w", "_empty")).drop("_empty")
-    # Testing the size instead would run the tokenizer a second time, in the pushed filter.
-    return rows.filter(F.col("w").isNotNull())
+    return listed.select(*keep, F.inline(F.arrays_zip(before.alias("v"), F.col("_t").alias("w"))))
 
 
 class LanguageModel(Protocol):
@@ -45,44 +37,40 @@ class LanguageModel(Protocol):
 
 @dataclass(frozen=True)
 class BigramModel:
-    pairs: DataFrame  # v, w, n: count of w after v; n_v: count of v as a left side
-    contexts: DataFrame  # v, n_v
+    pairs: DataFrame  # v, w, n: count of w after v
+    contexts: DataFrame  # v, n_v: count of v as a left side
     n_words: int  # distinct trained words
     total: int  # trained tokens
 
     @staticmethod
     def fit(df: DataFrame, text: str) -> BigramModel:
-        counted = materialize(bigrams(df, text).groupBy("v", "w").agg(F.count(F.lit(1)).alias("n")), "bigrams")
+        # Testing the size instead would run the tokenizer a second time, in the pushed filter.
+        seen = bigrams(df, text).filter(F.col("w").isNotNull())
+        counted = materialize(seen.groupBy("v", "w").agg(F.count(F.lit(1)).alias("n")), "bigrams")
         contexts = materialize(counted.groupBy("v").agg(F.sum("n").alias("n_v")), "contexts")
-        pairs = materialize(counted.join(contexts, "v").select("v", "w", "n", "n_v"), "pairs")
-        facts = pairs.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_distinct("w")).first()
-        return BigramModel(pairs, contexts, facts[1], facts[0])
+        facts = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_distinct("w")).first()
+        return BigramModel(counted, contexts, facts[1], facts[0])
 
     def fluency(self, df: DataFrame, ids: str, text: str) -> DataFrame:
         """Mean log probability per row, with add-one smoothing; null for a row without words.
 
-        A seen pair brings the count of its context along. Only unseen pairs, all
-        of them among the facts that were shuffled anyway, ask for their context.
-        Tokens leave the joins summed by row before the last shuffle.
+        The logarithm of a smoothed share is a sum: log(n + 1) of the pair, nothing for one never seen, less
+        the log of its context's room, that of an empty one for a context never seen. So pairs and
+        contexts are keys of one table of terms, unseen ones are no question, and a row's terms need not meet before their sum.
         """
-        # A stand-in for the missing token spreads rows without words; no pair holds it.
-        rows = bigrams(df, text, ids, empty=stand_in(F.pmod(F.xxhash64(ids), F.lit(SPREAD))))
-        near, far = split_lookup(rows, self.pairs, ["v", "w"], "n", self.total)
-        if far is None:
-            return self._averaged(self._with_contexts(near, ids), ids)
-        both = near.select(ids, "w", "n", "n_v").unionByName(self._with_contexts(far, ids))
-        return self._averaged(both, ids)
-
-    def _with_contexts(self, rows: DataFrame, ids: str) -> DataFrame:
-        contexts = self.contexts.withColumnRenamed("n_v", "_n_v")
-        found = lookup(rows, contexts, "v", "_n_v", self.total, asking=F.col("n_v").isNull())
-        return found.select(ids, "w", "n", F.coalesce("n_v", "_n_v").alias("n_v"))
-
-    def _averaged(self, rows: DataFrame, ids: str) -> DataFrame:
-        seen = F.coalesce(F.col("n"), F.lit(0)) + F.lit(1)
-        room = F.coalesce(F.col("n_v"), F.lit(0)) + F.lit(self.n_words + 1)
-        value = F.when(~F.col("w").startswith(stand_in(F.lit(""))), F.log(seen / room))
-        return rows.groupBy(ids).agg(F.avg(value).alias("fluency"))
+        empty = math.log(self.n_words + 1)
+        terms = self.pairs.select(F.concat_ws(" ", "v", "w").alias("key"), F.log1p("n").alias("term"), "n").unionByName(
+            self.contexts.select(F.col("v").alias("key"), (empty - F.log(F.col("n_v") + F.lit(self.n_words + 1))).alias("term"),
+                                 F.col("n_v").alias("n")))
+        placed = bigrams(df, text, ids)
+        # A row of a text without words has a start mark alone: no pair, and a context that doesn't count.
+        pair = F.when(F.col("w").isNotNull(), F.concat("v", F.lit(" "), "w"))
+        context = F.when(F.col("w").isNotNull(), F.col("v"))
+        asked = placed.select(ids, F.inline(F.array(
+            F.struct(pair.alias("key"), F.col("w").isNotNull().cast("int").alias("word")), F.struct(context.alias("key"), F.lit(0).alias("word")))))
+        found = answered(asked, terms, "key", "n", 2 * self.total, [ids]).groupBy(ids).agg(
+            F.coalesce(F.sum("term"), F.lit(0.0)).alias("_sum"), F.sum("word").alias("_all"))
+        return found.select(ids, (F.col("_sum") / F.nullif("_all", F.lit(0)) - F.lit(empty)).alias("fluency"))
 
     def perplexity(self, df: DataFrame, ids: str, text: str) -> DataFrame:
         scored = self.fluency(df, ids, text)
