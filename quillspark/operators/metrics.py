@@ -13,6 +13,15 @@ from quillspark.session import shuffle_width
 
 MAX_ORDER = 4
 
+# Bytes of texts that become n-grams of one order in one task.
+GRAM_BYTES = 16 << 20
+
+
+def _gram_width(df: DataFrame, size: Column, orders: Sequence[int]) -> int:
+    """Partitions in which the n-grams of texts of ``size`` bytes are counted: a task's counts don't grow with the table."""
+    total = df.agg(F.sum(size)).first()[0] or 0
+    return max(shuffle_width(df.sparkSession), -(-total * len(orders) // GRAM_BYTES))
+
 
 def distinct_n(cands: DataFrame, group: str, gen: str = "gen", orders: Sequence[int] = (1, 2, 3, 4),
                normalize: str = "candidates", floor: int = 10_000) -> DataFrame:
@@ -26,7 +35,8 @@ def distinct_n(cands: DataFrame, group: str, gen: str = "gen", orders: Sequence[
         raise ValueError(f"unknown normalization {normalize!r}")
     kept = cands.filter(F.col(gen).isNotNull()).select(group, gen)
     usual, hot = split_hot(kept, group, floor)
-    placed = usual.repartition(shuffle_width(cands.sparkSession), group)
+    width = _gram_width(kept, F.octet_length(gen), orders)
+    placed = usual.repartition(width, group)
     counted = _gram_counts(placed, group, gen, orders).unionByName(_gram_counts(hot, group, gen, orders))
 
     def value(n: int) -> Column:
@@ -60,7 +70,8 @@ def _clipped(df: DataFrame, ids: str, pred: str, refs: str, orders: Sequence[int
     along as rows of order 0, which a text without tokens has too.
     """
     numbered = df.select(ids, pred, refs).withColumn("_row", F.monotonically_increasing_id())
-    placed = numbered.repartition(shuffle_width(df.sparkSession), "_row")
+    size = F.coalesce(F.octet_length(pred), F.lit(0)) + F.coalesce(F.octet_length(F.array_join(refs, "")), F.lit(0))
+    placed = numbered.repartition(_gram_width(df, size, orders), "_row")
     sides = F.concat(
         F.array(F.struct(F.lit(-1).alias("side"), F.col(pred).alias("text"))),
         F.transform(F.coalesce(F.col(refs), F.array().cast("array<string>")),
