@@ -11,7 +11,7 @@ from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quillspark.functions.tokens import words
-from quillspark.operators.joins import SPREAD, split_lookup, stand_in
+from quillspark.operators.joins import answered
 from quillspark.session import fresh_path, materialize
 
 
@@ -57,15 +57,11 @@ class NaiveBayes:
     def scores(self, df: DataFrame, ids: str, text: str, limit: int | None = None) -> DataFrame:
         """``ids, scores``: one joint log score per class; unknown words do not count.
 
-        Rows without words keep their priors: each row has one word more than its
-        text, which no text holds. A row's words are summed before the last shuffle.
-        ``limit`` is the most bytes of the table to broadcast.
+        Rows without words keep their priors, by their row without a word. A row's words are summed before the last
+        shuffle, and words that the table lacks don't get there. ``limit`` is the most bytes of the table to broadcast.
         """
-        end = F.array(stand_in(F.pmod(F.xxhash64(ids), F.lit(SPREAD))))
-        spelled = df.select(ids, F.explode(
-            F.concat(F.coalesce(words(F.lower(F.col(text))), F.array().cast("array<string>")), end)).alias("token"))
-        near, far = split_lookup(spelled, self.table.select("token", "n", "ll"), ["token"], "n", self.total, limit)
-        known = near if far is None else near.unionByName(far)
+        spelled = df.select(ids, F.explode_outer(words(F.lower(F.col(text)))).alias("token"))
+        known = answered(spelled, self.table.select("token", "n", "ll"), "token", "n", self.total, [ids], limit)
         sums = [
             F.coalesce(F.sum(F.col("ll")[i]), F.lit(0.0)) + F.lit(prior)
             for i, prior in enumerate(self.priors)
