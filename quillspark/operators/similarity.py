@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from quillspark.operators.ranking import numbered
-from quillspark.session import materialize
+from quillspark.session import materialize, shuffle_width
 
 _MAXIMA = T.ArrayType(T.DoubleType())
 _BEST = T.StructType([T.StructField("pred", _MAXIMA), T.StructField("ref", _MAXIMA)])
@@ -109,6 +109,9 @@ def _near_together(df: DataFrame, pair: str, side: str, position: str, vector: s
 
 _BALL = T.StructType([T.StructField("centre", _MAXIMA), T.StructField("radius", T.DoubleType())])
 
+# Block pairs that one task bounds.
+BOUNDED = 1 << 20
+
 # Rounding of cosines near a bound; a block pair is left out only if it is worse by more.
 SLACK = 1e-9
 
@@ -151,7 +154,14 @@ def greedy_match_pruned(df: DataFrame, pair: str, side: str, position: str, vect
     other = balls.filter(F.col(side) == 1).select(pair, F.col("_block").alias("_r"), F.col("centre").alias("_rc"), F.col("radius").alias("_rr"))
     cosine = F.aggregate(F.zip_with("_pc", "_rc", lambda x, y: x * y), F.lit(0.0), lambda total, x: total + x)
     apart = F.acos(F.least(F.greatest(cosine, F.lit(-1.0)), F.lit(1.0))) - F.col("_pr") - F.col("_rr")
-    bounded = materialize(mine.join(other, pair).select(
+    # A pair's blocks meet in parts: few bytes make many block pairs, so the number of tasks follows the block pairs.
+    met = F.count_if(F.col(side) == 0) * F.count_if(F.col(side) == 1)
+    total = balls.groupBy(pair).agg(met.alias("n")).agg(F.sum("n")).first()[0] or 0
+    parts = max(1, -(-total // BOUNDED))
+    mine = mine.withColumn("_part", F.pmod(F.xxhash64("_p"), F.lit(parts))).repartition(
+        max(shuffle_width(df.sparkSession), parts), pair, "_part")
+    other = other.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    bounded = materialize(mine.join(other, [pair, "_part"]).select(
         pair, "_p", "_r", F.cos(F.greatest(apart, F.lit(0.0))).alias("bound")), "match-bounds")
 
     pred = blocks.filter(F.col(side) == 0).select(pair, F.col("_block").alias("_p"), F.col("_items").alias("_pred"))
