@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quillspark.functions.tokens import gram_rows, words_and_marks
 from quillspark.operators.filters import pending_metric, union_all
-from quillspark.operators.joins import split_hot
+from quillspark.operators.fingerprints import distinct_grams
+from quillspark.operators.joins import key_sizes, split_hot
 from quillspark.session import shuffle_width
 
 MAX_ORDER = 4
@@ -19,8 +20,11 @@ GRAM_BYTES = 16 << 20
 
 def _gram_width(df: DataFrame, size: Column, orders: Sequence[int]) -> int:
     """Partitions in which the n-grams of texts of ``size`` bytes are counted: a task's counts don't grow with the table."""
-    total = df.agg(F.sum(size)).first()[0] or 0
-    return max(shuffle_width(df.sparkSession), -(-total * len(orders) // GRAM_BYTES))
+    return _width_of(df, df.agg(F.sum(size)).first()[0], orders)
+
+
+def _width_of(df: DataFrame, total: int | None, orders: Sequence[int]) -> int:
+    return max(shuffle_width(df.sparkSession), -(-(total or 0) * len(orders) // GRAM_BYTES))
 
 
 def distinct_n(cands: DataFrame, group: str, gen: str = "gen", orders: Sequence[int] = (1, 2, 3, 4),
@@ -29,15 +33,22 @@ def distinct_n(cands: DataFrame, group: str, gen: str = "gen", orders: Sequence[
 
     Groups with one candidate drop out. The candidates of an ordinary group are
     placed together, text by text, and their n-grams never leave the task. The
-    n-grams of a hot group, one of ``floor`` candidates or more, meet by hash of group and n-gram over all tasks.
+    n-grams of a hot group, one of ``floor`` candidates or more, are counted by their fingerprints over all tasks.
+    Candidates are worked out once for the sizes of groups, and once for each kind of group that there is.
     """
     if normalize not in ("candidates", "ngrams"):
         raise ValueError(f"unknown normalization {normalize!r}")
     kept = cands.filter(F.col(gen).isNotNull()).select(group, gen)
-    usual, hot = split_hot(kept, group, floor)
-    width = _gram_width(kept, F.octet_length(gen), orders)
-    placed = usual.repartition(width, group)
-    counted = _gram_counts(placed, group, gen, orders).unionByName(_gram_counts(hot, group, gen, orders))
+    sizes = key_sizes(kept, group, floor, F.octet_length(gen))
+    usual, hot = split_hot(kept, group, floor, sizes)
+    total = {r["_hot"]: r["_total"] for r in sizes.groupBy("_hot").agg(F.sum("_size").alias("_total")).collect()}
+    parts = []
+    if False in total or not total:
+        placed = usual.repartition(_width_of(kept, total.get(False), orders), group)
+        parts.append(_gram_counts(placed, group, gen, orders))
+    if True in total:
+        parts.append(_hot_counts(hot, sizes, group, gen, orders, _width_of(kept, total[True], orders), normalize))
+    counted = union_all(parts)
 
     def value(n: int) -> Column:
         under = F.col("_candidates") if normalize == "candidates" else F.col(f"_t{n}")
@@ -46,6 +57,22 @@ def distinct_n(cands: DataFrame, group: str, gen: str = "gen", orders: Sequence[
     return counted.filter(F.col("_candidates") > 1).select(group, *[value(n) for n in orders])
 
 
+def _hot_counts(rows: DataFrame, sizes: DataFrame, group: str, gen: str, orders: Sequence[int], buckets: int,
+                normalize: str) -> DataFrame:
+    """The columns of ``_gram_counts`` for hot groups; total n-grams only if they are what is divided by."""
+    tokens = words_and_marks(F.col(gen))
+    groups = sizes.filter("_hot").select(F.col("_key").alias(group), "_id", F.col("_n").alias("_candidates"))
+    counts = distinct_grams(rows, "_id", tokens, orders, buckets)
+    if normalize == "ngrams":
+        size = F.col("_tokens")
+        totals = rows.select("_id", F.size(tokens).cast("bigint").alias("_tokens")).groupBy("_id").agg(
+            *[F.sum(F.when(size >= n, size - (n - 1))).alias(f"_t{n}") for n in orders])
+        counts = counts.join(totals, "_id")
+    else:
+        counts = counts.withColumns({f"_t{n}": F.lit(None).cast("bigint") for n in orders})
+    return groups.join(counts, "_id", "left").drop("_id")
+
+
 def _gram_counts(rows: DataFrame, group: str, gen: str, orders: Sequence[int]) -> DataFrame:
     """Per group: candidates, and distinct and total n-grams of each order.
 
